@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, quality
+from . import bpe, exact_dedup, quality
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+        "op2_bpe": bpe.op2_bpe,
         "op7_quality_rules": quality.op7_quality_rules,
+        "op10_token_counts": bpe.op10_token_counts,
     }
 
 
