@@ -18,6 +18,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,11 +59,11 @@ def staged(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, key: str, n: int | None = None) -> DataFrame:
+def bucketed(df: DataFrame, key: str) -> DataFrame:
     """Writes the rows as a table bucketed by ``key``: later joins on the key
     leave these rows where they are."""
     spark = df.sparkSession
-    n = n or partitions(spark)
+    n = partitions(spark)
     name = f"scratch_{uuid.uuid4().hex}"
     (
         df.repartition(n, key)
@@ -113,13 +115,12 @@ def _power(name: str, n: int) -> np.ndarray:
     """``base ** i`` (name "up") or its inverse ("down") modulo 2**64 for i < n."""
     have = _powers.get(name)
     if have is None or len(have) < n:
-        base = np.uint64(_BASE if name == "up" else _INVERSE)
+        step = _BASE if name == "up" else _INVERSE
         size = 1 << max(16, int(n - 1).bit_length())
         out = np.ones(1, np.uint64)
-        step = base
         while len(out) < size:
-            out = np.concatenate([out, out * step])
-            step = step * step
+            out = np.concatenate([out, out * np.uint64(step)])
+            step = step * step % (1 << 64)
         if size > 4 * CHUNK_BYTES:
             return out[:n]  # not kept: a very long text
         _powers[name] = have = out
@@ -234,11 +235,13 @@ def multikey_order(columns: list[np.ndarray]) -> np.ndarray:
     return order
 
 
-def runs(df: DataFrame, keys: list[str], keep: str) -> DataFrame:
+def runs(df: DataFrame, keys: list[str], keep: str, with_keys: bool = False) -> DataFrame:
     """Rows whose key repeats.  ``df`` has long key columns, ``doc`` and ``pos``
     (long).  ``keep`` names the rows that stay: "any" (the key has two rows or
-    more), "docs" (rows of two docs or more) or "later" (a smaller doc has it).
-    Returns doc, pos, and head and head_pos, of the key's first row by (doc, pos).
+    more), "open" (the same, and one of them has an odd pos), "docs" (rows of two
+    docs or more) or "later" (a smaller doc has it).
+    Returns doc, pos, and head and head_pos, of the key's first row by (doc, pos);
+    the keys too if ``with_keys``.
 
     Sampled splitters range-partition the rows by (key, doc, pos), so a key with
     any share of the rows spreads over as many partitions as its rows fill.  Each
@@ -249,8 +252,8 @@ def runs(df: DataFrame, keys: list[str], keep: str) -> DataFrame:
     spark = df.sparkSession
     df = staged(df)
     n = partitions(spark, df.count())
-    schema = ", ".join([f"{k} long" for k in keys] + ["doc long, pos long, head long, head_pos long, last long, n long, kind int"])
-    arrow = pa.schema([(k, pa.int64()) for k in [*keys, "doc", "pos", "head", "head_pos", "last", "n"]] + [("kind", pa.int32())])
+    schema = ", ".join([f"{k} long" for k in keys] + ["doc long, pos long, head long, head_pos long, last long, n long, odd long, kind int"])
+    arrow = pa.schema([(k, pa.int64()) for k in [*keys, "doc", "pos", "head", "head_pos", "last", "n", "odd"]] + [("kind", pa.int32())])
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         batches = [b for b in batches if b.num_rows]
@@ -269,27 +272,82 @@ def runs(df: DataFrame, keys: list[str], keep: str) -> DataFrame:
         run = np.cumsum(new) - 1
         doc, pos = columns[-2:]
         head, head_pos, last, count = doc[begin], pos[begin], doc[end - 1], end - begin
+        odd = np.maximum.reduceat(pos & 1, begin)
         edge = (run == 0) | (run == len(begin) - 1)
-        good = {"any": count[run] > 1, "docs": (last > head)[run], "later": doc > head[run]}[keep]
+        good = {"any": count[run] > 1, "open": (count > 1)[run] & (odd > 0)[run], "docs": (last > head)[run], "later": doc > head[run]}[keep]
         for rows, kind in ((~edge & good, 0), (edge, 1)):
             at = np.flatnonzero(rows)
             for i in range(0, len(at), 200_000):
                 j = at[i : i + 200_000]
                 r = run[j]
-                yield pa.RecordBatch.from_arrays([*(pa.array(c[j]) for c in columns), *(pa.array(x[r]) for x in (head, head_pos, last, count)), pa.array(np.full(len(j), kind, np.int32))], schema=arrow)
+                yield pa.RecordBatch.from_arrays([*(pa.array(c[j]) for c in columns), *(pa.array(x[r]) for x in (head, head_pos, last, count, odd)), pa.array(np.full(len(j), kind, np.int32))], schema=arrow)
         ends = np.unique([0, len(begin) - 1])
         at = begin[ends]
-        yield pa.RecordBatch.from_arrays([*(pa.array(c[at]) for c in columns), *(pa.array(x[ends]) for x in (head, head_pos, last, count)), pa.array(np.full(len(at), 2, np.int32))], schema=arrow)
+        yield pa.RecordBatch.from_arrays([*(pa.array(c[at]) for c in columns), *(pa.array(x[ends]) for x in (head, head_pos, last, count, odd)), pa.array(np.full(len(at), 2, np.int32))], schema=arrow)
 
     found = staged(df.repartitionByRange(n, *keys, "doc", "pos").mapInArrow(local, schema))
     # Two rows of each partition at most, so their number is bounded by the partitions'.
     edges = (
         found.filter("kind = 2")
         .groupBy(*keys)
-        .agg(F.min(F.struct("head", "head_pos")).alias("h"), F.max("last").alias("last"), F.sum("n").alias("n"))
-        .select(*keys, "h.head", "h.head_pos", "last", "n")
+        .agg(F.min(F.struct("head", "head_pos")).alias("h"), F.max("last").alias("last"), F.sum("n").alias("n"), F.max("odd").alias("odd"))
+        .select(*keys, "h.head", "h.head_pos", "last", "n", "odd")
     )
     pending = found.filter("kind = 1").select(*keys, "doc", "pos").join(F.broadcast(edges), keys)
-    pending = pending.filter({"any": "n > 1", "docs": "last > head", "later": "doc > head"}[keep])
-    out = ["doc", "pos", "head", "head_pos"]
+    pending = pending.filter({"any": "n > 1", "open": "n > 1 AND odd > 0", "docs": "last > head", "later": "doc > head"}[keep])
+    out = [*(keys if with_keys else []), "doc", "pos", "head", "head_pos"]
     return found.filter("kind = 0").select(out).unionByName(pending.select(out))
+
+
+# --- tables of packed texts --------------------------------------------------
+
+
+def packed_table(docs: DataFrame, summary, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """A table bucketed by doc_id with each text compressed: passes that need
+    texts again join to it by doc_id and don't shuffle texts.
+
+    ``summary(texts)`` gives for each text a digest (bytes, equal for texts that
+    count as copies) and a long.  Columns: doc_id, packed, digest, size.
+    """
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=3)
+        for batch, texts in text_chunks(batches):
+            digests, sizes = summary(texts)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([squeeze.compress(x) for x in texts], pa.binary()), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64())], ["doc_id", "packed", "digest", "size"])
+
+    rows = docs.selectExpr(f"`{key}` AS doc_id", f"`{text}` AS text")
+    return bucketed(rows.mapInArrow(pack, "doc_id long, packed binary, digest binary, size long"), "doc_id")
+
+
+def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """As ``text_chunks``, for a column ``packed``."""
+    expand = zstandard.ZstdDecompressor()
+    for batch in batches:
+        packed = batch.column(batch.schema.get_field_index("packed"))
+        at, texts, size = 0, [], 0
+        for i in range(batch.num_rows):
+            texts.append(expand.decompress(packed[i].as_py()))
+            size += len(texts[-1])
+            if size >= CHUNK_BYTES or i + 1 == batch.num_rows:
+                yield batch.slice(at, i + 1 - at), texts
+                at, texts, size = i + 1, [], 0
+
+
+def lists(batch: pa.RecordBatch, column: str) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a list column, and the row each belongs to."""
+    a = batch.column(batch.schema.get_field_index(column))
+    n = pa.compute.fill_null(pa.compute.list_value_length(a), 0).to_numpy(zero_copy_only=False)
+    return np.asarray(a.flatten(), np.int64), np.repeat(np.arange(batch.num_rows), n)
+
+
+def representatives(table: DataFrame) -> DataFrame:
+    """doc_id and copies of the least row of each digest (null keys left out)."""
+    return staged(
+        table.filter("doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies")).select("doc_id", "copies")
+    )
+
+
+def by_doc(rows: DataFrame, name: str) -> DataFrame:
+    """One row for each doc with its positions: as many as its text has at most."""
+    return rows.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list("pos").alias(name))

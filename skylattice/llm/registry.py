@@ -6,17 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, quality
+from . import bpe, exact_dedup, lm_score, ngram_join, packing, pii, quality, substring_dedup, suffix_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
         "op2_bpe": bpe.op2_bpe,
+        "op3_lm_score": lm_score.op3_lm_score,
+        "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
+        "op5_pii_surrogates": pii.op5_pii_surrogates,
+        "op6_substring_dedup": substring_dedup.op6_substring_dedup,
         "op7_quality_rules": quality.op7_quality_rules,
+        "op8_ngram_join": ngram_join.op8_ngram_join,
+        "op9_best_fit_packing": packing.op9_best_fit_packing,
         "op10_token_counts": bpe.op10_token_counts,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": exact_dedup.SQL, "op7_quality_rules": quality.SQL}
+    return {"op1_exact_dedup": exact_dedup.SQL, "op3_lm_score": lm_score.SQL, "op6_substring_dedup": substring_dedup.SQL, "op7_quality_rules": quality.SQL}
