@@ -195,13 +195,14 @@ def entities_of(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.selectExpr(f"`{key}` AS doc_id", f"`{text}` AS text").mapInArrow(run, "doc_id long, kind string, entity string")
 
 
-def assign(entities: DataFrame, secret: bytes) -> DataFrame:
+def assign(entities: DataFrame, secret: bytes, make=surrogate) -> DataFrame:
     """kind, entity and a surrogate for each, all distinct and none a real entity
-    of its kind.  Of entities that draw the same surrogate the least keeps it."""
+    of its kind.  Of entities that draw the same surrogate the least keeps it.
+    ``make`` draws as ``surrogate`` does."""
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            new = [surrogate(secret, k, e, a) for k, e, a in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True)]
+            new = [make(secret, k, e, a) for k, e, a in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(new, pa.string()), b.column(2)], ["kind", "entity", "surrogate", "attempt"])
 
     entities = common.staged(entities.select("kind", "entity").distinct())
