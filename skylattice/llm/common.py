@@ -240,8 +240,10 @@ def runs(df: DataFrame, keys: list[str], keep: str, with_keys: bool = False) ->
     (long).  ``keep`` names the rows that stay: "any" (the key has two rows or
     more), "open" (the same, and one of them has an odd pos), "docs" (rows of two
     docs or more) or "later" (a smaller doc has it).
-    Returns doc, pos, and head and head_pos, of the key's first row by (doc, pos);
-    the keys too if ``with_keys``.
+    Returns doc, pos, and head and head_pos, of the key's first row by (doc, pos)
+    in the partition; with "docs" the rows of that doc have those of the first row
+    of all partitions, so that heads lead on to the key's least doc.  The keys too
+    if ``with_keys``.
 
     Sampled splitters range-partition the rows by (key, doc, pos), so a key with
     any share of the rows spreads over as many partitions as its rows fill.  Each
@@ -275,7 +277,9 @@ def runs(df: DataFrame, keys: list[str], keep: str, with_keys: bool = False) ->
         odd = np.maximum.reduceat(pos & 1, begin)
         edge = (run == 0) | (run == len(begin) - 1)
         good = {"any": count[run] > 1, "open": (count > 1)[run] & (odd > 0)[run], "docs": (last > head)[run], "later": doc > head[run]}[keep]
-        for rows, kind in ((~edge & good, 0), (edge, 1)):
+        # Rows that no other partition can change; of a large run these are nearly all.
+        sure = good & (doc > head[run]) if keep in ("docs", "later") else good
+        for rows, kind in ((good & ~edge | sure, 0), (edge & ~sure, 1)):
             at = np.flatnonzero(rows)
             for i in range(0, len(at), 200_000):
                 j = at[i : i + 200_000]
