@@ -53,10 +53,17 @@ def scratch_dir(spark: SparkSession) -> str:
 def staged(df: DataFrame) -> DataFrame:
     """Writes the rows to scratch space and reads them back: cuts the lineage,
     keeps them from being made twice, and survives the loss of executors."""
-    spark = df.sparkSession
-    path = scratch_dir(spark)
+    return _staged_at(df, scratch_dir(df.sparkSession))
+
+
+def _staged_at(df: DataFrame, path: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def bucketed(df: DataFrame, key: str) -> DataFrame:
@@ -252,7 +259,8 @@ def runs(df: DataFrame, keys: list[str], keep: str, with_keys: bool = False) ->
     from each.
     """
     spark = df.sparkSession
-    df = staged(df)
+    path = scratch_dir(spark)
+    df = _staged_at(df, path)
     n = partitions(spark, df.count())
     schema = ", ".join([f"{k} long" for k in keys] + ["doc long, pos long, head long, head_pos long, last long, n long, odd long, kind int"])
     arrow = pa.schema([(k, pa.int64()) for k in [*keys, "doc", "pos", "head", "head_pos", "last", "n", "odd"]] + [("kind", pa.int32())])
@@ -290,6 +298,7 @@ def runs(df: DataFrame, keys: list[str], keep: str, with_keys: bool = False) ->
         yield pa.RecordBatch.from_arrays([*(pa.array(c[at]) for c in columns), *(pa.array(x[ends]) for x in (head, head_pos, last, count, odd)), pa.array(np.full(len(at), 2, np.int32))], schema=arrow)
 
     found = staged(df.repartitionByRange(n, *keys, "doc", "pos").mapInArrow(local, schema))
+    _remove(spark, path)  # nothing reads the rows again
     # Two rows of each partition at most, so their number is bounded by the partitions'.
     edges = (
         found.filter("kind = 2")
