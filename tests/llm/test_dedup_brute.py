@@ -62,8 +62,12 @@ def test_near(spark, seed, percent, words):
     assert sorted(tuple(r) for r in got.collect()) == sorted(near(docs, words, percent))
 
 
-def test_near_chain_and_large_group(spark):
-    """A chain links end to end; many near copies of one text are one component."""
+@pytest.mark.parametrize("small,block", [(32, 128), (1, 7)])
+def test_near_chain_and_large_group(spark, monkeypatch, small, block):
+    """A chain links end to end; many near copies of one text are one component;
+    long runs with several components are compared block by block."""
+    monkeypatch.setattr(ngram_join, "SMALL_RUN", small)
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
     base = [f"w{i}" for i in range(120)]
     docs = [(1000 + k, " ".join(base[:k] + [f"x{k}"] + base[k + 1 :])) for k in range(100)]
     docs += [(k, " ".join(f"c{i}" for i in range(k, k + 60))) for k in range(0, 30, 3)]
@@ -72,6 +76,16 @@ def test_near_chain_and_large_group(spark):
     assert sorted(tuple(r) for r in got.collect()) == sorted(near(docs))
 
 
+def test_sketches_bound_the_difference():
+    r = random.Random(3)
+    for _ in range(200):
+        n = r.randint(1, 300)
+        both = [r.getrandbits(64) for _ in range(r.randint(0, n))]
+        a, b = (both + [r.getrandbits(64) for _ in range(r.randint(1, n))] for _ in "ab")
+        a, b = (ngram_join.np.array(x, ngram_join.np.uint64) for x in (a, b))
+        assert ngram_join.sketches_differ(ngram_join.parity_sketch(a), ngram_join.parity_sketch(b)) <= len({*a.tolist()} ^ {*b.tolist()})
+
+
 def test_whole_tables(spark, sf_dir):
     docs = [(r.doc_id, r.text) for r in common.documents(spark, sf_dir).collect()]
     assert sorted(map(tuple, suffix_dedup.op4_suffix_dedup(spark, sf_dir).collect())) == sorted(suffixes(docs, 200))
