@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 
 def at_level(z: Column, v: Column, level: Column) -> Column:
-    """Linear between the heights that enclose ``level``; both ends of the column
-    count as inside, anything beyond is null."""
+    """Linear between the heights that enclose ``level``, and at a height its own
+    value; both ends of the column count as inside, anything beyond is null."""
     n = F.size(z)
 
     def inside(k: Column) -> Column:
@@ -20,7 +20,8 @@ def at_level(z: Column, v: Column, level: Column) -> Column:
 
     def value(k: Column) -> Column:
         share = F.try_divide(level - F.get(z, k), F.get(z, k + 1) - F.get(z, k))
-        return F.coalesce(F.get(v, k) + share * (F.get(v, k + 1) - F.get(v, k)), F.get(v, k))
+        between = F.get(v, k) + share * (F.get(v, k + 1) - F.get(v, k))
+        return F.when(level == F.get(z, k), F.get(v, k)).when(level == F.get(z, k + 1), F.get(v, k + 1)).otherwise(between)
 
     single = F.when((n == 1) & (F.get(z, F.lit(0)) == level), F.get(v, F.lit(0)))
     return F.coalesce(F.get(F.transform(F.array(k), lambda k: F.when(k.isNotNull(), value(k))), F.lit(0)), single)

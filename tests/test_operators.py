@@ -47,7 +47,7 @@ def test_rotation(spark):
         assert [tuple(x)[1:] for x in sorted(rows)] == want
 
 
-LEVELS = [([0, 10, 20], [1, 2, 4], {-1: None, 0: 1, 5: 1.5, 10: 2, 15: 3, 20: 4, 21: None}), ([5], [7], {5: 7, 4: None}), ([], [], {1: None}), ([0, 0, 10], [1, 2, 3], {0: 2, 5: 2.5}), ([0, 10], [None, 3], {5: None, 10: 3})]
+LEVELS = [([0, 10, 20], [1, 2, 4], {-1: None, 0: 1, 5: 1.5, 10: 2, 15: 3, 20: 4, 21: None}), ([5], [7], {5: 7, 4: None}), ([], [], {1: None}), ([0, 0, 10], [1, 2, 3], {0: 2, 5: 2.5}), ([0, 10], [None, 3], {5: None, 10: 3}), ([0, 10], [1, None], {0: 1, 5: None})]
 
 
 @pytest.mark.parametrize("z,v,want", LEVELS)
