@@ -53,9 +53,26 @@ def chunked(docs: DataFrame, key: str, text: str) -> DataFrame:
     return common.bucketed(rows, "chunk")
 
 
-def _grams(texts: list[bytes], order: int) -> tuple[common.Words, list[tuple[np.ndarray, np.ndarray]]]:
+class _Codes:
+    """As ``common.Words`` without the bytes, made from slices of a large chunk."""
+
+    def __init__(self, texts: list[bytes]):
+        parts, at, size = [], 0, 0
+        for i, t in enumerate(texts):
+            size += len(t)
+            if size >= common.CHUNK_BYTES or i + 1 == len(texts):
+                w = common.Words(texts[at : i + 1], lower=True)
+                parts.append((w.code, w.n))
+                at, size = i + 1, 0
+        self.code = np.concatenate([c for c, _ in parts])
+        self.n = np.concatenate([n for _, n in parts])
+        self.first = np.concatenate([[0], np.cumsum(self.n)])
+        self.doc = np.repeat(np.arange(len(texts)), self.n)
+
+
+def _grams(texts: list[bytes], order: int) -> tuple[_Codes, list[tuple[np.ndarray, np.ndarray]]]:
     """For each length the n-gram hashes, and the index of the last word of each."""
-    words = common.Words(texts, lower=True)
+    words = _Codes(texts)
     hashes, out = common.Windows(words.code), []
     for k in range(1, order + 1):
         every = hashes.every(k)
@@ -65,6 +82,7 @@ def _grams(texts: list[bytes], order: int) -> tuple[common.Words, list[tuple[np.
 
 
 def _texts(table: pa.Table) -> list[bytes]:
+    """The texts of a chunk, which always has rows."""
     expand = zstandard.ZstdDecompressor()
     return [expand.decompress(x.as_py()) for x in table.column("packed")]
 
