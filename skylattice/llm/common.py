@@ -36,6 +36,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or where ``df`` has such a column, one that it doesn't have."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
 # --- scratch space -----------------------------------------------------------
 
 
@@ -247,10 +255,10 @@ def runs(df: DataFrame, keys: list[str], keep: str, with_keys: bool = False) ->
     (long).  ``keep`` names the rows that stay: "any" (the key has two rows or
     more), "open" (the same, and one of them has an odd pos), "docs" (rows of two
     docs or more) or "later" (a smaller doc has it).
-    Returns doc, pos, and head and head_pos, of the key's first row by (doc, pos)
-    in the partition; with "docs" the rows of that doc have those of the first row
-    of all partitions, so that heads lead on to the key's least doc.  The keys too
-    if ``with_keys``.
+    Returns doc and pos.  With ``with_keys`` also the keys, and head and head_pos,
+    of the key's first row by (doc, pos) in the partition; with "docs" the rows of
+    that doc have those of the first row of all partitions, so that heads lead on
+    to the key's least doc.
 
     Sampled splitters range-partition the rows by (key, doc, pos), so a key with
     any share of the rows spreads over as many partitions as its rows fill.  Each
@@ -292,7 +300,11 @@ def runs(df: DataFrame, keys: list[str], keep: str, with_keys: bool = False) ->
             for i in range(0, len(at), 200_000):
                 j = at[i : i + 200_000]
                 r = run[j]
-                yield pa.RecordBatch.from_arrays([*(pa.array(c[j]) for c in columns), *(pa.array(x[r]) for x in (head, head_pos, last, count, odd)), pa.array(np.full(len(j), kind, np.int32))], schema=arrow)
+                given = [*(c[j] for c in columns), *(x[r] for x in (head, head_pos, last, count, odd))]
+                if kind == 0 and not with_keys:  # what nobody reads isn't written
+                    zero = np.zeros(len(j), np.int64)
+                    given = [zero] * len(keys) + given[len(keys) : len(keys) + 2] + [zero] * 5
+                yield pa.RecordBatch.from_arrays([*map(pa.array, given), pa.array(np.full(len(j), kind, np.int32))], schema=arrow)
         ends = np.unique([0, len(begin) - 1])
         at = begin[ends]
         yield pa.RecordBatch.from_arrays([*(pa.array(c[at]) for c in columns), *(pa.array(x[ends]) for x in (head, head_pos, last, count, odd)), pa.array(np.full(len(at), 2, np.int32))], schema=arrow)
@@ -308,7 +320,7 @@ def runs(df: DataFrame, keys: list[str], keep: str, with_keys: bool = False) ->
     )
     pending = found.filter("kind = 1").select(*keys, "doc", "pos").join(F.broadcast(edges), keys)
     pending = pending.filter({"any": "n > 1", "open": "n > 1 AND odd > 0", "docs": "last > head", "later": "doc > head"}[keep])
-    out = [*(keys if with_keys else []), "doc", "pos", "head", "head_pos"]
+    out = [*keys, "doc", "pos", "head", "head_pos"] if with_keys else ["doc", "pos"]
     return found.filter("kind = 0").select(out).unionByName(pending.select(out))
 
 

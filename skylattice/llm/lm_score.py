@@ -33,7 +33,7 @@ ALPHA = 0.4
 LEAST = 2
 #: Bytes of text in a chunk, and n-grams in a bucket.
 CHUNK = 8 << 20
-BUCKET = 4_000_000
+BUCKET = 2_000_000
 MICRO = 1_000_000
 
 
@@ -144,17 +144,17 @@ def lm_score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, least: i
 
     def score(chunk: pa.Table, answers: pa.Table) -> pa.Table:
         w, grams = _grams(_texts(chunk), order)
-        keys, own = np.unique(np.concatenate([g for g, _ in grams]), return_inverse=True)
+        keys = np.unique(np.concatenate([g for g, _ in grams]))
         by = np.argsort(answers.column("bucket").to_numpy())
         got = [zstandard.decompress(answers.column("counts")[int(i)].as_py()) for i in by]
         total = np.frombuffer(b"".join(got), np.uint64).astype(np.float64)
         assert len(total) == len(keys)
-        counts, at = [], 0
+        del got, answers
+        counts = []
         for g, last in grams:  # counts by length and last word
             c = np.zeros(len(w.code))
-            c[last] = total[own[at : at + len(g)]]
+            c[last] = total[np.searchsorted(keys, g)]
             counts.append(c)
-            at += len(g)
         # From single words up: a longer n-gram that is seen takes over.
         log = np.log(counts[0] / max(words, 1)) if len(w.code) else counts[0]
         longest = np.minimum(np.arange(len(w.code)) - w.first[w.doc], order - 1)

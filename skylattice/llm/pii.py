@@ -236,13 +236,14 @@ def replaced(docs: DataFrame, secret: bytes, key: str = "doc_id", text: str = "t
     drawn = common.staged(assign(found, secret))
     # Both sides are shuffled afresh, so Spark can split an entity that many rows have.
     own = found.distinct().join(drawn.hint("merge"), ["kind", "entity"])
-    own = common.staged(own.groupBy(F.col("doc_id").alias("_key")).agg(F.collect_set(F.struct("kind", "entity", "surrogate")).alias("_own")))
+    row_key, row_own = common.free_name(docs, "_key"), common.free_name(docs, "_own")
+    own = common.staged(own.groupBy(F.col("doc_id").alias(row_key)).agg(F.collect_set(F.struct("kind", "entity", "surrogate")).alias(row_own)))
     plain = [c for c in docs.columns if c not in (text, "n_replaced")]
-    joined = docs.select(*plain, text).join(own.hint("merge"), F.col(key).eqNullSafe(F.col("_key")), "left").select(*plain, text, "_own")
+    joined = docs.select(*plain, text).join(own.hint("merge"), F.col(key).eqNullSafe(F.col(row_key)), "left").select(*plain, text, row_own)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in common.text_chunks(batches, text):
-            lists = batch.column(batch.schema.get_field_index("_own")).to_pylist()
+            lists = batch.column(batch.schema.get_field_index(row_own)).to_pylist()
             column = batch.column(batch.schema.get_field_index(text))
             new, counts = [], []
             for t, own, old in zip(texts, lists, column, strict=True):
@@ -261,9 +262,7 @@ def replaced(docs: DataFrame, secret: bytes, key: str = "doc_id", text: str = "t
             keep = [batch.column(batch.schema.get_field_index(c)) for c in plain]
             yield pa.RecordBatch.from_arrays([*keep, pa.array(new, pa.string()), pa.array(counts, pa.int64())], [*plain, text, "n_replaced"])
 
-    fields = [docs.schema[c] for c in plain]
     schema = docs.select(*plain, text).schema
-    assert len(fields) == len(schema) - 1
     out = joined.mapInArrow(run, schema.add("n_replaced", "long"))
     order = [c for c in docs.columns if c != "n_replaced"]
     return out.select(*order, "n_replaced")

@@ -88,6 +88,31 @@ def line_verdicts(text: Column, rules: Rules = RULES) -> Column:
     return F.transform(F.split(text, "\n"), verdict)
 
 
+#: What ``quality`` adds, in order.
+MADE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "clean_text", "lost_share", "kept")
+
+
+def _judged(b: Column, rules: Rules) -> Column:
+    """Counts and verdict of a text; b has the text and its words, lines and verdicts."""
+    stay = F.filter(b["verdicts"], lambda v: v["why"].isNull())
+    counts = F.struct(
+        F.size(b["words"]).cast("long").alias("n_words"),
+        (F.char_length(b["text"]) - F.regexp_count(b["text"], F.lit(W))).cast("long").alias("word_chars"),
+        F.regexp_count(b["text"], F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
+        (F.size(b["lines"]) - F.size(F.array_distinct(b["lines"]))).cast("long").alias("n_dup_lines"),
+        repeated_words(b["words"]).alias("n_repeat_words"),
+        F.array_join(F.transform(stay, lambda v: v["line"]), "\n").alias("clean_text"),
+    )
+
+    def verdict(c: Column) -> Column:
+        failed = (c["n_words"] < rules.min_words) | (100 * c["n_repeat_words"] > rules.max_repeat_percent * c["n_words"])
+        lost = 1 - F.char_length(c["clean_text"]) / F.greatest(F.char_length(b["text"]), F.lit(1))
+        own = {"base_failed": failed, "lost_share": lost, "kept": ~failed & (lost <= rules.max_lost)}
+        return F.struct(*((own[n] if n in own else c[n]).alias(n) for n in MADE))
+
+    return F.transform(F.array(counts), verdict)[0]
+
+
 def quality(docs: DataFrame, text: str = "text", rules: Rules = RULES) -> DataFrame:
     """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, clean_text, lost_share and kept.
@@ -96,29 +121,17 @@ def quality(docs: DataFrame, text: str = "text", rules: Rules = RULES) -> DataFr
     most ``max_lost`` of its characters.  clean_text has the lines that stay.
     A null or empty text has no words, fails and isn't kept.  Rows are judged
     one by one, so repeated rows get the same verdict; columns of ``docs`` with
-    the names above are replaced, any others stay.
+    the names above are replaced, any others stay.  An empty table gives no rows.
     """
+    if text in MADE:
+        raise ValueError(f"the text column can't be named {text}")
     t = F.coalesce(F.col(text), F.lit(""))
-    made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "clean_text", "lost_share", "kept"]
-    docs = docs.drop(*(c for c in docs.columns if c in made and c != text))
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    df = docs.withColumns({
-        "_words": words(t), "_lines": lines, "_verdicts": line_verdicts(t, rules),
-        "word_chars": (F.char_length(t) - F.regexp_count(t, F.lit(W))).cast("long"),
-        "n_symbols": F.regexp_count(t, F.lit("[#*$%&|<>]")).cast("long"),
-    })
-    stay = F.filter("_verdicts", lambda v: v["why"].isNull())
-    df = df.withColumns({
-        "n_words": F.size("_words").cast("long"),
-        "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-        "n_repeat_words": repeated_words(F.col("_words")),
-        "clean_text": F.array_join(F.transform(stay, lambda v: v["line"]), "\n"),
-    })
-    gone = 1 - F.char_length("clean_text") / F.greatest(F.char_length(t), F.lit(1))
-    failed = (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words"))
-    df = df.withColumns({"lost_share": gone, "base_failed": failed})
-    df = df.withColumn("kept", ~F.col("base_failed") & (F.col("lost_share") <= rules.max_lost))
-    return df.drop("_words", "_lines", "_verdicts")
+    bound = F.struct(t.alias("text"), words(t).alias("words"), lines.alias("lines"), line_verdicts(t, rules).alias("verdicts"))
+    # Arrays of one bind what is used many times; as a generator's output the
+    # verdict isn't worked out again by a filter on it.
+    judged = F.transform(F.array(bound), lambda b: _judged(b, rules))
+    return docs.select(*(c for c in docs.columns if c not in MADE), F.inline(judged))
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,23 +8,31 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def at_level(z: Column, v: Column, level: Column) -> Column:
-    """Linear between the heights that enclose ``level``, and at a height its own
-    value; both ends of the column count as inside, anything beyond is null."""
+def bracket(z: Column, level: Column) -> Column:
+    """The first k with z[k] <= level < z[k + 1], the last bracket closed at its
+    top; null beyond the column."""
     n = F.size(z)
+    top = F.greatest(n - 2, F.lit(0))
 
     def inside(k: Column) -> Column:
-        return (z[k] <= level) & ((level < z[k + 1]) | ((k == n - 2) & (level == z[k + 1])))
+        return (k < n - 1) & (F.get(z, k) <= level) & ((level < F.get(z, k + 1)) | ((k == n - 2) & (level == F.get(z, k + 1))))
+
+    return F.get(F.filter(F.sequence(F.lit(0), top), inside), F.lit(0))
 
-    k = F.get(F.filter(F.sequence(F.lit(0), F.greatest(n - 2, F.lit(0))), lambda k: (k < n - 1) & inside(F.least(k, F.greatest(n - 2, F.lit(0))))), F.lit(0))
+
+def at_level(z: Column, v: Column, level: Column) -> Column:
+    """Linear between the heights that enclose ``level``, and at a height its own
+    value; both ends of the column count as inside, anything beyond is null."""
 
     def value(k: Column) -> Column:
         share = F.try_divide(level - F.get(z, k), F.get(z, k + 1) - F.get(z, k))
         between = F.get(v, k) + share * (F.get(v, k + 1) - F.get(v, k))
         return F.when(level == F.get(z, k), F.get(v, k)).when(level == F.get(z, k + 1), F.get(v, k + 1)).otherwise(between)
 
-    single = F.when((n == 1) & (F.get(z, F.lit(0)) == level), F.get(v, F.lit(0)))
-    return F.coalesce(F.get(F.transform(F.array(k), lambda k: F.when(k.isNotNull(), value(k))), F.lit(0)), single)
+    single = F.when((F.size(z) == 1) & (F.get(z, F.lit(0)) == level), F.get(v, F.lit(0)))
+    # An array of one binds the bracket, so that it is looked for once.
+    found = F.transform(F.array(bracket(z, level)), lambda k: F.when(k.isNotNull(), value(k)))
+    return F.coalesce(F.get(found, F.lit(0)), single)
 
 
 def at_levels(z: Column, v: Column, levels: Sequence[float]) -> Column:

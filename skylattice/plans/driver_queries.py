@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import catalog
 from ..functions import text as text_functions
-from ..functions.projection import Ellipsoid, Projection
+from ..functions.projection import Ellipsoid, Projection, from_attributes
 from ..operators import accum, bbox, derive, levels, merge, packing, resolve, stagger, timeaxis, wind
 from ..session import broadcast_if_small
 
@@ -49,6 +49,8 @@ def _values(rows: list[tuple]) -> str:
 def _cents():
     return F.rint(F.col("value") * 100).cast("long")
 
+_LEVELS = (5.0, 100.0, 333.0, 630.0, 9999.0)
+
 # --- sources and metadata
 
 
@@ -95,6 +97,18 @@ def axis(spark, d):
     return bbox.axis_frame(spark, _t(spark, d, "nation").count(), 1000.0, 27000.0)
 
 
+_KINDS = [(1, "lcc"), (2, "polar"), (3, "mercator"), (6, "latlon")]
+
+
+@query("S8_projection_kinds", f"SELECT s_suppkey, kind, CAST(CASE WHEN kind = 'polar' THEN CASE WHEN s_acctbal > 0 THEN 90 ELSE -90 END ELSE 0 END AS DOUBLE) AS lat_0 FROM supplier JOIN (VALUES {_values(_KINDS)}) AS k(map_proj, kind) ON map_proj = [1, 2, 3, 6][s_suppkey % 4 + 1]")
+def projection_kinds(spark, d):
+    """Each projection's attributes, for a centre in either hemisphere."""
+    made = [(k, north, p.kind, p.lat_0) for k, _ in _KINDS for north in (True, False) for p in [from_attributes({"MAP_PROJ": k, "CEN_LAT": (1 if north else -1) * (k == 2)})]]
+    table = spark.createDataFrame(made, "map_proj int, north boolean, kind string, lat_0 double")
+    s = _t(spark, d, "supplier").select("s_suppkey", F.element_at(F.array(*map(F.lit, (1, 2, 3, 6))), (F.col("s_suppkey") % 4 + 1).cast("int")).alias("map_proj"), (F.col("s_acctbal") > 0).alias("north"))
+    return s.join(broadcast_if_small(table), ["map_proj", "north"]).select("s_suppkey", "kind", "lat_0")
+
+
 @query("S9_static_fields", """
 WITH c AS (SELECT event_type AS j, user_id AS i, min(event_id) AS first_id FROM events GROUP BY 1, 2)
 SELECT j, i, value AS cosa FROM c JOIN events ON event_id = first_id
@@ -232,6 +246,31 @@ def stagger_grid(spark, d):
     return stagger.unstagger_join(g, ["user_id"], "i", "value", lambda a, b: (a + b) / 2)
 
 
+@query("J4_across_files", """
+WITH e AS (SELECT user_id, event_id, date_trunc('day', ts) AS file, CAST(round_even(value * 100, 0) AS BIGINT) AS cents, lag(date_trunc('day', ts)) OVER w AS before, lag(CAST(round_even(value * 100, 0) AS BIGINT)) OVER w AS last
+           FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+SELECT user_id, event_id, cents - last AS increment FROM e WHERE before < file
+""")
+def across_files(spark, d):
+    """Increments at the first step of a file, from the last step of the one before."""
+    e = _t(spark, d, "events").withColumns({"day": F.unix_date(F.to_date("ts")), "cents": _cents()})
+    for c, name in (("cents", "increment"), ("day", "days")):
+        e = accum.increments(e, F.col(c), ["user_id"], ["ts", "event_id"], name)
+    return e.filter("days > 0").select("user_id", "event_id", "increment")
+
+
+@query("J5_bracket", """
+WITH e AS (SELECT vec_id, 100 * label AS z0, len(embedding) AS n FROM embeddings),
+b AS (SELECT vec_id, height, z0, n, k FROM e, unnest([5, 100, 333, 630, 9999]) AS t(height), unnest(range(n - 1)) AS s(k)
+      WHERE z0 + 10 * k <= height AND (height < z0 + 10 * (k + 1) OR (k = n - 2 AND height = z0 + 10 * (k + 1))))
+SELECT vec_id, CAST(height AS DOUBLE) AS height, CAST(min(k) AS BIGINT) AS k FROM b GROUP BY vec_id, height
+""")
+def bracket(spark, d):
+    z = F.transform("embedding", lambda x, k: F.col("label") * 100.0 + k * 10.0)
+    e = _t(spark, d, "embeddings").select("vec_id", z.alias("z"), F.explode(F.array(*map(F.lit, _LEVELS))).alias("height"))
+    return e.select("vec_id", "height", levels.bracket(F.col("z"), F.col("height")).cast("long").alias("k")).filter("k IS NOT NULL")
+
+
 @query("J6_height_index", "SELECT p_partkey, CAST(list_position([2, 10, 20, 40], p_size) - 1 AS BIGINT) AS h_idx FROM part WHERE p_size IN (2, 10, 20, 40)")
 def height_index(spark, d):
     return merge.height_index(_t(spark, d, "part"), [40, 2, 10, 20], "p_size").select("p_partkey", F.col("h_idx").cast("long").alias("h_idx"))
@@ -339,6 +378,12 @@ def unstagger(spark, d):
 # --- sort and set operations
 
 
+@query("W4_rank", "SELECT event_id, CAST(row_number() OVER (PARTITION BY date_trunc('hour', ts), event_type ORDER BY event_id) AS BIGINT) AS n FROM events")
+def rank(spark, d):
+    w = timeaxis.W.partitionBy(F.date_trunc("HOUR", "ts"), "event_type").orderBy("event_id")
+    return _t(spark, d, "events").select("event_id", F.row_number().over(w).cast("long").alias("n"))
+
+
 @query("O1_O2_sorted", "SELECT DISTINCT p_brand AS path FROM part ORDER BY 1")
 def sorted_paths(spark, d):
     return _t(spark, d, "part").select(F.col("p_brand").alias("path")).distinct().orderBy("path")
@@ -454,9 +499,6 @@ def slp(spark, d):
     return _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(p, 4).alias("slp"))
 
 
-_LEVELS = (5.0, 100.0, 333.0, 630.0, 9999.0)
-
-
 @query("F13_levels", f"""
 WITH e AS (SELECT vec_id, label, {_PROFILE} AS p FROM embeddings),
 l AS (SELECT vec_id, p, CAST(height AS DOUBLE) AS height, 100.0::DOUBLE * label AS z0 FROM e, unnest([5, 100, 333, 630, 9999]) AS t(height)),

@@ -60,10 +60,11 @@ def test_same_host_stays_same():
 
 def test_replaced(spark):
     docs = [(1, "I am ann@corp.org, call +1 (988) 555-2485.", 5), (2, "Ask ann@corp.org or bob@corp.org", 6), (3, None, 7), (4, "", 8), (5, "nothing", 9), (None, "x 70.123.182.155", 1), (None, "y 70.123.182.156", 1), (2, "Ask bob@corp.org", 6)]
-    df = spark.createDataFrame(docs, "doc_id long, text string, n_replaced int").withColumn("kind", pii.F.lit("k")).withColumn("_own2", pii.F.lit(1))
+    df = spark.createDataFrame(docs, "doc_id long, text string, n_replaced int").withColumn("kind", pii.F.lit("k")).withColumn("_own", pii.F.lit(1)).withColumn("_key", pii.F.lit(2))
     rows = pii.replaced(df, KEY).collect()
     texts = sorted((r.doc_id or 0, r.text or "", r.n_replaced) for r in rows)
     assert [(i, n) for i, _, n in texts] == [(0, 1), (0, 1), (1, 2), (2, 1), (2, 2), (3, 0), (4, 0), (5, 0)]
+    assert all((r.kind, r._own, r._key) == ("k", 1, 2) for r in rows)
     whole = " ".join(t for _, t, _ in texts)
     assert not re.search(r"corp\.org|988|70\.123\.182\.15", whole)
     ann = re.search(r"I am (\S+),", whole)[1]

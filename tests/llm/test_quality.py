@@ -34,7 +34,7 @@ CASES = {
 
 @pytest.fixture(scope="module")
 def judged(spark):
-    df = spark.createDataFrame([(k, v, "x", 7) for k, v in CASES.items()], "name string, text string, kept string, extra int")
+    df = spark.createDataFrame([(k, v, "x", 7, 8) for k, v in CASES.items()], "name string, text string, kept string, extra int, _words int")
     return {r.name: r for r in quality.quality(df).collect()}
 
 
@@ -42,7 +42,7 @@ def judged(spark):
 def test_counts(judged, name):
     r = judged[name]
     assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == brute(CASES[name])
-    assert r.extra == 7
+    assert (r.extra, r._words) == (7, 8)
 
 
 def test_verdicts(judged):
