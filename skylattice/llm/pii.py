@@ -183,16 +183,19 @@ def surrogate(key: bytes, kind: str, entity: str, attempt: int) -> str:
 
 
 def entities_of(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(doc_id, kind, entity), each once for a row."""
+    """(doc_id, text_hash, kind, entity), each once for a row.  The hash keeps rows
+    apart whose key is null or repeats, so that none of them gathers all of theirs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in common.text_chunks(batches):
-            ids = batch.column(0).to_pylist()
-            rows = [(i, k, e) for i, t in zip(ids, texts, strict=True) for k, e in sorted({(k, e) for _, _, k, e in find(t.decode("utf-8", "replace"))})]
+            ids, hashes = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            rows = [(i, h, k, e) for i, h, t in zip(ids, hashes, texts, strict=True) for k, e in sorted({(k, e) for _, _, k, e in find(t.decode("utf-8", "replace"))})]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.string()), strict=True)], ["doc_id", "kind", "entity"])
+                types = (pa.int64(), pa.int64(), pa.string(), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["doc_id", "text_hash", "kind", "entity"])
 
-    return docs.selectExpr(f"`{key}` AS doc_id", f"`{text}` AS text").mapInArrow(run, "doc_id long, kind string, entity string")
+    rows = docs.selectExpr(f"`{key}` AS doc_id", f"`{text}` AS text", f"xxhash64(`{text}`) AS text_hash")
+    return rows.mapInArrow(run, "doc_id long, text_hash long, kind string, entity string")
 
 
 def assign(entities: DataFrame, secret: bytes, make=surrogate) -> DataFrame:
@@ -236,10 +239,12 @@ def replaced(docs: DataFrame, secret: bytes, key: str = "doc_id", text: str = "t
     drawn = common.staged(assign(found, secret))
     # Both sides are shuffled afresh, so Spark can split an entity that many rows have.
     own = found.distinct().join(drawn.hint("merge"), ["kind", "entity"])
-    row_key, row_own = common.free_name(docs, "_key"), common.free_name(docs, "_own")
-    own = common.staged(own.groupBy(F.col("doc_id").alias(row_key)).agg(F.collect_set(F.struct("kind", "entity", "surrogate")).alias(row_own)))
+    row_key, row_hash, row_own = (common.free_name(docs, x) for x in ("_key", "_hash", "_own"))
+    own = own.groupBy(F.col("doc_id").alias(row_key), F.col("text_hash").alias(row_hash))
+    own = common.staged(own.agg(F.collect_set(F.struct("kind", "entity", "surrogate")).alias(row_own)))
     plain = [c for c in docs.columns if c not in (text, "n_replaced")]
-    joined = docs.select(*plain, text).join(own.hint("merge"), F.col(key).eqNullSafe(F.col(row_key)), "left").select(*plain, text, row_own)
+    same = F.col(key).eqNullSafe(F.col(row_key)) & (F.xxhash64(text) == F.col(row_hash))
+    joined = docs.select(*plain, text).join(own.hint("merge"), same, "left").select(*plain, text, row_own)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in common.text_chunks(batches, text):
