@@ -114,7 +114,9 @@ def sketches_differ(a: bytes, b: bytes) -> int:
 
 def block_pairs(x: list[dict], y: list[dict], percent: int, same: bool) -> list[tuple[int, int]]:
     """Pairs of groups from two blocks of a run (or within one, if ``same``) that
-    may link: not all in one component, and sizes, positions and sketches allow it."""
+    may link: not all in one component, and sizes, positions and sketches allow it.
+    Members share a size and a prefix but no more, so the sketch of a group's least
+    speaks for a group of one only; pairs of other groups stay."""
     out = []
     column = lambda rows, c: np.array([r[c] for r in rows], np.int64)
     words = np.array([len(r["sketch"]) for r in x]), np.array([len(r["sketch"]) for r in y])
@@ -126,7 +128,7 @@ def block_pairs(x: list[dict], y: list[dict], percent: int, same: bool) -> list[
             bits = [np.frombuffer(b"".join(r["sketch"] for r in rows), np.uint8).reshape(len(rows), -1) for rows in (p, q)]
             bits = [m[:, : m.shape[1] // 2] ^ m[:, m.shape[1] // 2 :] if m.shape[1] > min(a, b) else m for m in bits]
             bits = [np.ascontiguousarray(m).view(np.uint64) for m in bits]
-            gid, low, high, pos = (column(q, c) for c in ("gid", "low", "high", "pos"))
+            gid, low, high, pos, members = (column(q, c) for c in ("gid", "low", "high", "pos", "members"))
             size, at = pos >> 32, pos & 0xFFFFFFFF
             for k, r in enumerate(p):
                 n, i = r["pos"] >> 32, r["pos"] & 0xFFFFFFFF
@@ -137,7 +139,8 @@ def block_pairs(x: list[dict], y: list[dict], percent: int, same: bool) -> list[
                 keep = np.flatnonzero(good)
                 if len(keep):
                     differ = np.bitwise_count(bits[0][k] ^ bits[1][keep]).sum(1)
-                    keep = keep[(100 + percent) * differ <= (100 - percent) * (n + size[keep])]
+                    near = (100 + percent) * differ <= (100 - percent) * (n + size[keep])
+                    keep = keep[near | (r["members"] > 1) | (members[keep] > 1)]
                     out += [(min(r["gid"], g), max(r["gid"], g)) for g in gid[keep].tolist()]
     return out
 
@@ -259,7 +262,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
 
     # Everything that the heads didn't settle: runs with more than one component left.
     members = common.staged(members.join(comps.hint("merge"), "doc", "left").withColumn("comp", F.coalesce("comp", "doc")))
-    spread = common.staged(members.groupBy("gid").agg(F.min("comp").alias("low"), F.max("comp").alias("high")))
+    spread = common.staged(members.groupBy("gid").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("members")))
     rest = common.staged(met.select("key", F.col("doc").alias("gid"), "pos").join(spread.hint("merge"), "gid"))
     mixed = rest.groupBy("key").agg(F.min("low").alias("l"), F.max("high").alias("h"), F.count(F.lit(1)).alias("m")).filter("l < h").select("key", "m")
     rest = common.staged(rest.join(common.staged(mixed).hint("merge"), "key"))
@@ -272,7 +275,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     many = rest.filter(F.col("m") > SMALL_RUN).join(sketches.select(F.col("doc").alias("gid"), "sketch").hint("merge"), "gid")
     blocks = F.ceil(F.col("m") / BLOCK)
     many = many.withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("gid"), blocks)})
-    many = common.staged(many.groupBy("key", "blocks", "block").agg(F.collect_list(F.struct("gid", "pos", "low", "high", "sketch")).alias("own")))
+    many = common.staged(many.groupBy("key", "blocks", "block").agg(F.collect_list(F.struct("gid", "pos", "low", "high", "members", "sketch")).alias("own")))
     low = many.select("key", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"), F.col("own").alias("x"))
     high = many.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("block"))).alias("i"), F.col("block").alias("j"), F.col("own").alias("y"))
     met_blocks = low.join(high.hint("merge"), ["key", "i", "j"]).select("i", "j", "x", "y")

@@ -76,6 +76,17 @@ def test_near_chain_and_large_group(spark, monkeypatch, small, block):
     assert sorted(tuple(r) for r in got.collect()) == sorted(near(docs))
 
 
+@pytest.mark.parametrize("small,block", [(32, 128), (1, 7)])
+def test_near_other_members_of_a_group(spark, monkeypatch, small, block):
+    """2 and 3 link and meet by x alone; 1 has 2's prefix and size, but is far from 3."""
+    monkeypatch.setattr(ngram_join, "SMALL_RUN", small)
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    docs = [(1, "x a b c"), (2, "x d e f"), (3, "x d e f g")]
+    docs += [(10 + k, " ".join(["a b c d e f g", *(f"u{k}_{i}" for i in range(30))])) for k in range(10)]
+    got = sorted(tuple(r) for r in ngram_join.near_duplicates(frame(spark, docs), 1).collect())
+    assert got == sorted(near(docs, 1)) and got[2] == (3, 5, 2)
+
+
 def test_sketches_bound_the_difference():
     r = random.Random(3)
     for _ in range(200):
