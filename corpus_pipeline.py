@@ -19,13 +19,17 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each text."""
-    return _kept(docs, exact_dedup.new_index(spark).dedup(docs, "pipeline").filter("kept"))
+    """One row of each text."""
+    rows, row = _numbered(docs)
+    groups = exact_dedup.new_index(spark).dedup(rows, "pipeline", key=row)
+    return _first_of_each(rows, row, groups.selectExpr("doc_id", "keep_id AS of")).select(docs.columns)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the least doc_id."""
-    return _kept(docs, ngram_join.near_duplicates(docs).filter("doc_id = component_id"))
+    """One row of each group of near duplicates."""
+    rows, row = _numbered(docs)
+    groups = ngram_join.near_duplicates(rows, key=row)
+    return _first_of_each(rows, row, groups.selectExpr("doc_id", "component_id AS of")).select(docs.columns)
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,9 +46,20 @@ def _columns(docs: DataFrame, text) -> list:
     return [text.alias(c) if c == "text" else F.char_length(text).cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
 
 
-def _kept(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that ``verdicts`` names, by doc_id."""
-    return docs.join(common.staged(verdicts.select("doc_id").distinct()), "doc_id", "left_semi")
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a number of each row's own, and its column.  It is written, as
+    a number that is made again may fall on another row."""
+    row = common.free_name(docs, "_row")
+    return common.staged(docs.withColumn(row, F.monotonically_increasing_id())), row
+
+
+def _first_of_each(rows: DataFrame, row: str, groups: DataFrame) -> DataFrame:
+    """One of ``rows`` for each value of ``of``, by the rows' own numbers (doc_id in
+    ``groups``): that of the least doc_id; a null one comes last."""
+    ids = rows.select(F.col(row).alias("_n"), F.col("doc_id").alias("_id"))
+    both = groups.select(F.col("doc_id").alias("_n"), "of").join(ids.hint("merge"), "_n")
+    first = both.groupBy("of").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_n")).alias("first"))
+    return rows.join(common.staged(first.select(F.col("first._n").alias(row))), row, "left_semi")
 
 
 STAGES = [("quality_rules", quality_rules), ("exact_dedup", exact), ("ngram_join", near), ("pii", private), ("packing", packed)]

@@ -69,3 +69,15 @@ def test_packing(stages):
         total[r.doc_id] = total.get(r.doc_id, 0) + r.length
         assert r.bin_used <= r.bin_size in packing.SIZES
     assert total == n
+
+
+def test_null_repeated_and_clashing_ids(spark):
+    """Rows, not ids, are kept or dropped."""
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    rows = [(None, a), (None, b), (None, b), (1, c), (1, c), (2, d), (2, c), (None, d), (4, "x"), (4, "y")]
+    want = [(None, a), (None, b), (1, c), (2, d), (4, "x"), (4, "y")]
+    df = spark.createDataFrame([(i, t, "p") for i, t in rows], "doc_id long, text string, source string")
+    for stage in (pipeline.exact, pipeline.near):
+        got = stage(spark, df, SF)
+        assert got.columns == df.columns
+        assert sorted((r.doc_id or 0, r.text) for r in got.collect()) == sorted((i or 0, t) for i, t in want)
