@@ -72,8 +72,7 @@ def find(text: str) -> Iterator[tuple[int, int, str, str]]:
         entity = text[a:z]
         if kind == "card":
             digits = re.sub(r"\D", "", entity)
-            # Issuers' first digits, or the check digit.
-            if digits[0] not in "3456" and not luhn_ok(digits):
+            if not luhn_ok(digits):
                 continue
         elif kind == "iban":
             plain = entity.replace(" ", "")

@@ -53,6 +53,14 @@ def test_surrogates_keep_kind_and_format(kind, entity, attempt):
         assert re.fullmatch("[0-9a-f]+", new) and len(new) == len(entity)
 
 
+@pytest.mark.parametrize("first", "0123456789")
+def test_long_numbers_that_fail_the_check_are_no_cards(first):
+    good = next(first + "02957610348221" + d for d in "0123456789" if pii.luhn_ok(first + "02957610348221" + d))
+    bad = good[:-1] + str((int(good[-1]) + 1) % 10)
+    assert [e for *_, e in pii.find(f"number {good} here")] == [good]
+    assert [*pii.find(f"number {bad} here")] == []
+
+
 def test_same_host_stays_same():
     a, b = (pii.surrogate(KEY, "email", f"{x}@corp.org", 0) for x in ("ann", "bob"))
     assert a.split("@")[1] == b.split("@")[1] and a != b
