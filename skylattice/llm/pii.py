@@ -36,7 +36,7 @@ _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 PATTERNS = {
     "email": r"(?<![\w.%+-])[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,63})@(?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,24}\b",
     "key": r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b|\bgh[pousr]_[A-Za-z0-9]{36}\b",
-    "secret": r"(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key)\b)[ \t]*[:=][ \t]*[\"']?(?P<secret_v>[^\s\"',;]{6,256})",
+    "secret": r"(?i:password|passwd|pwd|secret|token|api[_-]?key)(?:[_-][A-Za-z0-9]++|[A-Z][a-z0-9]++|\d++)*+[\"']?[ \t]*[:=][ \t]*[\"']?(?P<secret_v>[^\s\"',;]{6,})",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",

@@ -61,6 +61,15 @@ def test_long_numbers_that_fail_the_check_are_no_cards(first):
     assert [*pii.find(f"number {bad} here")] == []
 
 
+@pytest.mark.parametrize("before", ["token=", "GITHUB_TOKEN=", "AWS_SECRET_ACCESS_KEY=", "db_password: ", '{"token": "', "dbPassword = '", "secretAccessKey: ", "password2="])
+def test_long_and_prefixed_secrets(before):
+    for value in ("e3b3ed3cc8548923d6", "aB3-x_" * 200):
+        text = f"set {before}{value}\" now"
+        assert [(text[a:z], k, e) for a, z, k, e in pii.find(text)] == [(value, "secret", value)]
+        assert pii.surrogate(KEY, "secret", value, 0) != value
+    assert not [*pii.find("the secretary: Johannes, and SECRETARY: JOHANNES")]
+
+
 def test_same_host_stays_same():
     a, b = (pii.surrogate(KEY, "email", f"{x}@corp.org", 0) for x in ("ann", "bob"))
     assert a.split("@")[1] == b.split("@")[1] and a != b
