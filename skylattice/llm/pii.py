@@ -14,6 +14,7 @@ import hashlib
 import hmac
 import ipaddress
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -28,8 +29,13 @@ TITLES = {
     "f": ["Mrs", "Ms", "Miss", "Madam", "Frau", "Madame", "Mme", "Mlle", "Señora", "Sra", "Señorita", "Doña", "госпожа"],
     "": ["Dr", "Prof"],
 }
-_UP, _LOW = "A-ZÀ-ÖØ-ÞА-ЯЁΑ-Ω", "a-zß-öø-ÿа-яёα-ωάέήίόύώ"
-_NAME = f"[{_UP}][{_LOW}]+"
+#: Capitals of the Latin, Greek and Cyrillic alphabets.
+_UP = "".join(c for c in map(chr, range(0x41, 0x530)) if c.isupper())
+#: What stands in lower case before or between parts of names, and stays.
+PARTICLES = "van von der den de del della di da do dos du la le el al bin ibn ben ten ter zu zum zur y af av фон де ван".split()
+_PARTICLES = rf"(?:(?:{'|'.join(PARTICLES)})[ ]+)*"
+_NAME = rf"(?:[dl]['’])?[{_UP}](?:['’](?=[{_UP}])|[^\W\d_])+"
+_INITIAL = rf"[{_UP}]\.(?:[ ]+(?=[{_UP}])|(?=[{_UP}]))"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 #: In the order in which they win where they overlap.  A group "v" marks the
 #: entity within the match.
@@ -42,7 +48,7 @@ PATTERNS = {
     "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
     "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\w)",
     "card": r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-])",
-    "name": rf"\b(?P<title>{'|'.join(sorted({t for ts in TITLES.values() for t in ts}, key=len, reverse=True))})\.?[ ]+(?P<name_v>{_NAME}(?:[ -]{_NAME}){{0,2}})",
+    "name": rf"\b(?P<title>{'|'.join(sorted({t for ts in TITLES.values() for t in ts}, key=len, reverse=True))})\.?[ ]+(?P<name_v>{_PARTICLES}(?:{_INITIAL})*{_NAME}(?:(?:-|[ ]+{_PARTICLES}(?:{_INITIAL})*){_NAME})*)",
 }
 FINDER = re.compile("|".join(f"(?P<{k}>{p})" for k, p in PATTERNS.items()))
 GENDER = {t: g for g, ts in TITLES.items() for t in ts}
@@ -63,8 +69,32 @@ def iban_rest(text: str) -> int:
     return int("".join(str(int(c, 36)) for c in text[4:] + text[:4])) % 97
 
 
+def name_parts(name: str) -> list[tuple[str, bool]]:
+    """The pieces of a name in order, and whether each is a part that gets a
+    surrogate of its own: spaces, hyphens, particles and initials aren't."""
+    pieces = [p for p in re.split(r"([ -]|(?<=\.))", name) if p]
+    return [(p, p not in (" ", "-") and p not in PARTICLES and p[-1] != ".") for p in pieces]
+
+
 def find(text: str) -> Iterator[tuple[int, int, str, str]]:
-    """(begin, end, kind, entity).  Kinds of names carry the gender: name, name_m, name_f."""
+    """(begin, end, kind, entity) in order.  Kinds of names carry the gender: name,
+    name_m, name_f.  Names are those after a title, and what else in the text is
+    made of their parts (kind name)."""
+    found = [*_titled(text)]
+    parts = {p for _, _, k, e in found if k.startswith("name") for p, own in name_parts(e) if own}
+    if parts:
+        part = "|".join(re.escape(p) for p in sorted(parts, key=lambda p: (-len(p), p)))
+        taken = sorted((a, z) for a, z, _, _ in found)
+        begins = [a for a, _ in taken]
+        for m in re.finditer(rf"(?<!\w)(?:{part})(?:(?:-|[ ]+{_PARTICLES}(?:{_INITIAL})*)(?:{part})(?!\w))*(?!\w)", text):
+            at = bisect_left(begins, m.end()) - 1  # the last entity that begins before the mention's end
+            if at < 0 or taken[at][1] <= m.start():
+                found.append((*m.span(), "name", m.group()))
+        found.sort()
+    yield from found
+
+
+def _titled(text: str) -> Iterator[tuple[int, int, str, str]]:
     for m in FINDER.finditer(text):
         kind = m.lastgroup if m.lastgroup in PATTERNS else next(k for k in PATTERNS if m.group(k) is not None)
         group = {"secret": "secret_v", "name": "name_v"}.get(kind, kind)
@@ -177,18 +207,35 @@ def surrogate(key: bytes, kind: str, entity: str, attempt: int) -> str:
         new = iter(body + last)
         return "".join(next(new) if c.isdigit() else c for c in entity)
     gender = kind.partition("_")[2]
-    parts = re.split(r"([ -])", entity)
-    return "".join(p if p in " -" else _syllables(s, p + extra, gender if i == 0 else "") for i, p in enumerate(parts))
+    out, first = [], True
+    for p in re.split(r"([ -]|(?<=\.))", entity):
+        if p in ("", " ", "-") or p in PARTICLES:
+            out.append(p)
+        elif p.endswith("."):
+            out.append(_syllables(s, p, "")[0] + ".")
+        else:
+            out.append(_syllables(s, p.partition("'")[2] + extra if p[:2] in ("d'", "l'") else p + extra, gender if first else ""))
+            first = False
+    return "".join(out)
+
+
+def drawn_of(kind: str, entity: str) -> list[tuple[str, str]]:
+    """What surrogates are drawn for: the entity, or the parts of a name."""
+    if not kind.startswith("name"):
+        return [(kind, entity)]
+    parts = [p for p, own in name_parts(entity) if own]
+    return [(kind if i == 0 and len(parts) > 1 else "name", p) for i, p in enumerate(parts)]
 
 
 def entities_of(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(doc_id, text_hash, kind, entity), each once for a row.  The hash keeps rows
+    """(doc_id, text_hash, kind, entity), each once for a row; of a name, each of its
+    parts, the first of several with the gender.  The hash keeps rows
     apart whose key is null or repeats, so that none of them gathers all of theirs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in common.text_chunks(batches):
             ids, hashes = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-            rows = [(i, h, k, e) for i, h, t in zip(ids, hashes, texts, strict=True) for k, e in sorted({(k, e) for _, _, k, e in find(t.decode("utf-8", "replace"))})]
+            rows = [(i, h, k, e) for i, h, t in zip(ids, hashes, texts, strict=True) for k, e in sorted({x for _, _, k, e in find(t.decode("utf-8", "replace")) for x in drawn_of(k, e)})]
             if rows:
                 types = (pa.int64(), pa.int64(), pa.string(), pa.string())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["doc_id", "text_hash", "kind", "entity"])
@@ -197,9 +244,13 @@ def entities_of(docs: DataFrame, key: str, text: str) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, text_hash long, kind string, entity string")
 
 
+#: All kinds of names are one namespace.
+SPACE = "split_part(kind, '_', 1) AS space"
+
+
 def assign(entities: DataFrame, secret: bytes, make=surrogate) -> DataFrame:
     """kind, entity and a surrogate for each, all distinct and none a real entity
-    of its kind.  Of entities that draw the same surrogate the least keeps it.
+    of its kind (all kinds of names are one).  Of entities that draw the same surrogate the least keeps it.
     ``make`` draws as ``surrogate`` does."""
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,16 +259,16 @@ def assign(entities: DataFrame, secret: bytes, make=surrogate) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(new, pa.string()), b.column(2)], ["kind", "entity", "surrogate", "attempt"])
 
     entities = common.staged(entities.select("kind", "entity").distinct())
-    real = entities.select("kind", F.col("entity").alias("surrogate"))
+    real = entities.selectExpr(SPACE, "entity AS surrogate")
     left, settled, attempt = entities, None, 0
     while True:
         asked = left.select("kind", "entity", F.lit(attempt).alias("attempt"))
         drawn = common.staged(asked.mapInArrow(draw, "kind string, entity string, surrogate string, attempt int"))
-        first = drawn.groupBy("kind", "surrogate").agg(F.min("entity").alias("entity"))
-        won = first.join(real.hint("merge"), ["kind", "surrogate"], "left_anti")
+        first = drawn.selectExpr(SPACE, "*").groupBy("space", "surrogate").agg(F.min(F.struct("entity", "kind")).alias("own"))
+        won = first.join(real.hint("merge"), ["space", "surrogate"], "left_anti")
         if settled is not None:
-            won = won.join(settled.select("kind", "surrogate").hint("merge"), ["kind", "surrogate"], "left_anti")
-        won = common.staged(won.select("kind", "entity", "surrogate"))
+            won = won.join(settled.selectExpr(SPACE, "surrogate").hint("merge"), ["space", "surrogate"], "left_anti")
+        won = common.staged(won.select("own.kind", "own.entity", "surrogate"))
         settled = won if settled is None else settled.unionByName(won)
         left = common.staged(left.join(won.select("kind", "entity").hint("merge"), ["kind", "entity"], "left_anti"))
         if left.isEmpty():
@@ -235,12 +286,14 @@ def replaced(docs: DataFrame, secret: bytes, key: str = "doc_id", text: str = "t
     be drawn again, which depend on the other entities of the table.
     """
     found = common.staged(entities_of(docs, key, text))
-    drawn = common.staged(assign(found, secret))
+    # A part of names has one surrogate, of a gender if any of its names tells it.
+    kinds = found.selectExpr(SPACE, "kind", "entity").groupBy("space", "entity").agg(F.max("kind").alias("kind"))
+    drawn = common.staged(assign(kinds, secret).selectExpr(SPACE, "entity", "surrogate"))
     # Both sides are shuffled afresh, so Spark can split an entity that many rows have.
-    own = found.distinct().join(drawn.hint("merge"), ["kind", "entity"])
+    own = found.selectExpr("doc_id", "text_hash", SPACE, "entity").distinct().join(drawn.hint("merge"), ["space", "entity"])
     row_key, row_hash, row_own = (common.free_name(docs, x) for x in ("_key", "_hash", "_own"))
     own = own.groupBy(F.col("doc_id").alias(row_key), F.col("text_hash").alias(row_hash))
-    own = common.staged(own.agg(F.collect_set(F.struct("kind", "entity", "surrogate")).alias(row_own)))
+    own = common.staged(own.agg(F.collect_set(F.struct("space", "entity", "surrogate")).alias(row_own)))
     plain = [c for c in docs.columns if c not in (text, "n_replaced")]
     same = F.col(key).eqNullSafe(F.col(row_key)) & (F.xxhash64(text) == F.col(row_hash))
     joined = docs.select(*plain, text).join(own.hint("merge"), same, "left").select(*plain, text, row_own)
@@ -253,11 +306,15 @@ def replaced(docs: DataFrame, secret: bytes, key: str = "doc_id", text: str = "t
             for t, own, old in zip(texts, lists, column, strict=True):
                 n = 0
                 if own:
-                    table = {(x["kind"], x["entity"]): x["surrogate"] for x in own}
+                    table = {(x["space"], x["entity"]): x["surrogate"] for x in own}
                     t = t.decode("utf-8", "replace")
                     out, at = [], 0
                     for a, z, k, e in find(t):
-                        out += [t[at:a], table[k, e]]
+                        out.append(t[at:a])
+                        if k.startswith("name"):  # initials are too few to be distinct
+                            out += [table["name", p] if mine else surrogate(secret, "name", p, 0) for p, mine in name_parts(e)]
+                        else:
+                            out.append(table[k, e])
                         at, n = z, n + 1
                     new.append("".join([*out, t[at:]]))
                 else:

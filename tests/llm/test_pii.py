@@ -21,6 +21,19 @@ FOUND = {
 }
 
 
+WHOLE = ["McDonald", "O'Brien", "Conan O’Neill", "John Ronald Reuel Tolkien", "Ludwig van Beethoven", "de la Cruz", "J. R. R. Tolkien", "J.R. Tolkien", "Antonín Dvořák", "Šimon Černý", "Jean-Luc d'Artagnan", "Лев Толстой"]
+
+
+@pytest.mark.parametrize("name", WHOLE)
+def test_names_are_found_whole(name):
+    text = f"and Mr {name} left. Mr {name}'s car; Dr {name}, too"
+    assert [(k, e) for _, _, k, e in pii.find(text)] == [("name_m", name)] * 2 + [("name", name)]
+    kept = {"van", "de", "la"}
+    for attempt in (0, 7):
+        new = pii.surrogate(KEY, "name_m", name, attempt)
+        assert not {w for w in re.split("[ -]", name) if w not in kept and w[-1] != "."} & {*re.split("[ -]", new)}
+
+
 @pytest.mark.parametrize("text", FOUND)
 def test_find(text):
     assert [(k, e) for _, _, k, e in pii.find(text)] == FOUND[text]
@@ -91,6 +104,19 @@ def test_replaced(spark):
     assert next(r for r in rows if r.doc_id == 3).text is None
 
 
+def test_mentions_of_a_name_agree(spark):
+    texts = ["Mr John Smith met us. John Smith left; Dr Smith", "Dr Smith saw Mrs. Anna Smith; Anna's J. Smithers", "Mr Smith, and John Smith-Smith"]
+    df = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    rows = sorted(pii.replaced(df, KEY).collect())
+    a, b, c = (r.text for r in rows)
+    john, smith = re.match(r"Mr (\S+) (\S+) met", a).groups()
+    anna = re.search(r"Mrs\. (\S+)", b)[1]
+    assert a == f"Mr {john} {smith} met us. {john} {smith} left; Dr {smith}"
+    assert b == f"Dr {smith} saw Mrs. {anna} {smith}; {anna}'s J. Smithers"
+    assert c == f"Mr {smith}, and John {smith}-{smith}"
+    assert [r.n_replaced for r in rows] == [3, 3, 2] and len({john, smith, anna, "John", "Smith", "Anna"}) == 6
+
+
 def test_collisions_are_drawn_again(spark):
     """With few surrogates at first, all end up distinct and nobody's own."""
     small = lambda key, kind, entity, attempt: f"s{(hash_of(entity) + attempt * 31) % (4 if attempt < 3 else 500)}"
