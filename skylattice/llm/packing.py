@@ -72,8 +72,8 @@ def best_fit(docs: DataFrame, length: Column, sizes: Sequence[int] = SIZES, shar
     A row longer than the largest size is cut into pieces of that size and a
     rest; ``start`` is where a piece begins.  Every row has a piece 0, also those
     of length 0 or null (taken as 0).  ``bin`` is unique.  Repeated rows are
-    packed each; null keys are kept and dealt by their place in the table, so that
-    many of them don't meet in one shard.  An empty table gives no rows; other
+    packed each and null keys are kept; rows are dealt by their key and place in
+    the table, so that many of one key don't meet in one shard.  An empty table gives no rows; other
     columns aren't carried.  Which bin a row gets depends on the rows of its shard
     only.
     """
@@ -83,8 +83,7 @@ def best_fit(docs: DataFrame, length: Column, sizes: Sequence[int] = SIZES, shar
     pieces = F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("total") / largest) - 1, F.lit(0)).cast("int"))).alias("piece")
     items = common.staged(items.select("doc_id", "total", pieces).select("doc_id", "piece", (F.col("piece").cast("long") * largest).alias("start"), F.least(F.col("total") - F.col("piece").cast("long") * largest, F.lit(largest).cast("long")).alias("length")))
     shards = max(1, -(-items.count() // shard))
-    own = F.coalesce("doc_id", F.monotonically_increasing_id())  # the table is written, so its places hold
-    items = items.withColumn("shard", F.pmod(F.xxhash64(own, "piece"), F.lit(shards)))
+    items = items.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", F.monotonically_increasing_id()), F.lit(shards)))
 
     def run(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by([("doc_id", "ascending"), ("piece", "ascending")])

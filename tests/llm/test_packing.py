@@ -66,6 +66,13 @@ def test_whole_table(spark, sf_dir):
         assert sum(r.length for r in own) == own[0].bin_used <= own[0].bin_size
 
 
+def test_rows_of_one_id_are_spread(spark):
+    df = spark.createDataFrame([(7, "a b")] * 300, "doc_id long, text string")
+    rows = packing.best_fit(df, packing.n_words(), shard=20).collect()
+    held = [sum(r.bin >> 32 == s for r in rows) for s in range(15)]
+    assert sum(held) == 300 and max(held) < 60
+
+
 @pytest.mark.parametrize("shard", [3, 1000])
 def test_odd_rows(spark, shard):
     df = spark.createDataFrame([(None, "a"), (1, None), (1, None), (2, "w " * 9000), (3, "")], "doc_id long, text string")
