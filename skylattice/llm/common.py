@@ -14,7 +14,9 @@ import os
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +32,8 @@ SPACES = bytes([0x20, *range(0x09, 0x0E)])
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 #: Rows that one task of a range-partitioned sort holds.
 RUN_ROWS = 1_000_000
+#: Up to so many partitions, the rows at their edges (two of some 100 bytes each) are broadcast.
+BROADCAST_PARTITIONS = 20_000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,16 +50,37 @@ def free_name(df: DataFrame, name: str) -> str:
 
 # --- scratch space -----------------------------------------------------------
 
+#: Folders and tables made within the open scopes, those of the innermost last.
+_scopes: ContextVar[tuple[list[tuple[str, str]], ...]] = ContextVar("scopes", default=())
+#: Shuffle files go when the job that needed them has written its rows.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def scratch_dir(spark: SparkSession) -> str:
     """A new folder below ``spark.checkpoint.dir``; where that is unset, as in
     tests on one machine, below a temporary folder that goes with the process."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    conf = spark.sparkContext.getConf()
+    base = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="scratch-")
         atexit.register(shutil.rmtree, base, True)
         base = f"file://{base}"
-    return f"{base}/{uuid.uuid4().hex}"
+    path = f"{base}/{uuid.uuid4().hex}"
+    if _scopes.get():
+        _scopes.get()[-1].append(("folder", path))
+    return path
+
+
+@contextmanager
+def _freeing_shuffles(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
 
 
 def staged(df: DataFrame) -> DataFrame:
@@ -65,30 +90,60 @@ def staged(df: DataFrame) -> DataFrame:
 
 
 def _staged_at(df: DataFrame, path: str) -> DataFrame:
-    df.write.option("compression", "zstd").parquet(path)
+    with _freeing_shuffles(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def remove(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def bucketed(df: DataFrame, key: str) -> DataFrame:
+def finished(spark: SparkSession, work: Callable[[], DataFrame]) -> DataFrame:
+    """The rows of ``work()``, written to scratch space; what was written on the
+    way to them is removed."""
+    made: list[tuple[str, str]] = []
+    path = scratch_dir(spark)
+    token = _scopes.set((*_scopes.get(), made))
+    try:
+        return _staged_at(work(), path)
+    finally:
+        _scopes.reset(token)
+        for kind, what in made:
+            if kind == "table":
+                spark.sql(f"DROP TABLE IF EXISTS {what}")
+        for kind, what in made:
+            if kind == "folder":
+                remove(spark, what)
+
+
+def bucketed(df: DataFrame, key: str, in_place: bool = False) -> DataFrame:
     """Writes the rows as a table bucketed by ``key``: later joins on the key
-    leave these rows where they are."""
+    leave these rows where they are.  ``in_place`` says that they already lie by
+    the key, as those of another such table do."""
+    return bucketed_and_plain(df, key, in_place)[0]
+
+
+def bucketed_and_plain(df: DataFrame, key: str, in_place: bool = False) -> tuple[DataFrame, DataFrame]:
+    """As ``bucketed``, and the same rows without the buckets: joins shuffle these,
+    so that Spark can split a key that many rows of the other side have."""
     spark = df.sparkSession
+    path = scratch_dir(spark)
     n = partitions(spark)
     name = f"scratch_{uuid.uuid4().hex}"
-    (
-        df.repartition(n, key)
-        .write.bucketBy(n, key)
-        .option("path", scratch_dir(spark))
-        .option("compression", "zstd")
-        .format("parquet")
-        .saveAsTable(name)
-    )
-    return spark.table(name)
+    if _scopes.get():
+        _scopes.get()[-1].append(("table", name))
+    with _freeing_shuffles(spark):
+        (
+            (df if in_place else df.repartition(n, key))
+            .write.bucketBy(n, key)
+            .option("path", path)
+            .option("compression", "zstd")
+            .format("parquet")
+            .saveAsTable(name)
+        )
+    return spark.table(name), spark.read.schema(df.schema).parquet(path)
 
 
 def partitions(spark: SparkSession, rows: int = 0, each: int = RUN_ROWS) -> int:
@@ -253,12 +308,12 @@ def multikey_order(columns: list[np.ndarray]) -> np.ndarray:
 def runs(df: DataFrame, keys: list[str], keep: str, with_keys: bool = False) -> DataFrame:
     """Rows whose key repeats.  ``df`` has long key columns, ``doc`` and ``pos``
     (long).  ``keep`` names the rows that stay: "any" (the key has two rows or
-    more), "open" (the same, and one of them has an odd pos), "docs" (rows of two
-    docs or more) or "later" (a smaller doc has it).
+    more), "heads" (the same), "open" (the same, and one of them has an odd pos),
+    "docs" (rows of two docs or more) or "later" (a smaller doc has it).
     Returns doc and pos.  With ``with_keys`` also the keys, and head and head_pos,
-    of the key's first row by (doc, pos) in the partition; with "docs" the rows of
-    that doc have those of the first row of all partitions, so that heads lead on
-    to the key's least doc.
+    of the key's first row by (doc, pos) in the partition; with "docs" and "heads"
+    the rows of that doc have those of the first row of all partitions, so that
+    heads lead on to the key's least doc.
 
     Sampled splitters range-partition the rows by (key, doc, pos), so a key with
     any share of the rows spreads over as many partitions as its rows fill.  Each
@@ -292,9 +347,9 @@ def runs(df: DataFrame, keys: list[str], keep: str, with_keys: bool = False) ->
         head, head_pos, last, count = doc[begin], pos[begin], doc[end - 1], end - begin
         odd = np.maximum.reduceat(pos & 1, begin)
         edge = (run == 0) | (run == len(begin) - 1)
-        good = {"any": count[run] > 1, "open": (count > 1)[run] & (odd > 0)[run], "docs": (last > head)[run], "later": doc > head[run]}[keep]
+        good = {"any": count[run] > 1, "heads": count[run] > 1, "open": (count > 1)[run] & (odd > 0)[run], "docs": (last > head)[run], "later": doc > head[run]}[keep]
         # Rows that no other partition can change; of a large run these are nearly all.
-        sure = good & (doc > head[run]) if keep in ("docs", "later") else good
+        sure = good & (doc > head[run]) if keep in ("docs", "later", "heads") else good
         for rows, kind in ((good & ~edge | sure, 0), (edge & ~sure, 1)):
             at = np.flatnonzero(rows)
             for i in range(0, len(at), 200_000):
@@ -310,16 +365,16 @@ def runs(df: DataFrame, keys: list[str], keep: str, with_keys: bool = False) ->
         yield pa.RecordBatch.from_arrays([*(pa.array(c[at]) for c in columns), *(pa.array(x[ends]) for x in (head, head_pos, last, count, odd)), pa.array(np.full(len(at), 2, np.int32))], schema=arrow)
 
     found = staged(df.repartitionByRange(n, *keys, "doc", "pos").mapInArrow(local, schema))
-    _remove(spark, path)  # nothing reads the rows again
-    # Two rows of each partition at most, so their number is bounded by the partitions'.
+    remove(spark, path)  # nothing reads the rows again
+    # Two rows of each partition at most.
     edges = (
         found.filter("kind = 2")
         .groupBy(*keys)
         .agg(F.min(F.struct("head", "head_pos")).alias("h"), F.max("last").alias("last"), F.sum("n").alias("n"), F.max("odd").alias("odd"))
         .select(*keys, "h.head", "h.head_pos", "last", "n", "odd")
     )
-    pending = found.filter("kind = 1").select(*keys, "doc", "pos").join(F.broadcast(edges), keys)
-    pending = pending.filter({"any": "n > 1", "open": "n > 1 AND odd > 0", "docs": "last > head", "later": "doc > head"}[keep])
+    pending = found.filter("kind = 1").select(*keys, "doc", "pos").join(F.broadcast(edges) if n <= BROADCAST_PARTITIONS else edges.hint("merge"), keys)
+    pending = pending.filter({"any": "n > 1", "heads": "n > 1", "open": "n > 1 AND odd > 0", "docs": "last > head", "later": "doc > head"}[keep])
     out = [*keys, "doc", "pos", "head", "head_pos"] if with_keys else ["doc", "pos"]
     return found.filter("kind = 0").select(out).unionByName(pending.select(out))
 
@@ -327,22 +382,35 @@ def runs(df: DataFrame, keys: list[str], keep: str, with_keys: bool = False) ->
 # --- tables of packed texts --------------------------------------------------
 
 
+def numbered(docs: DataFrame, key: str) -> tuple[DataFrame, str]:
+    """``docs`` and a column whose numbers tell its rows apart and sort as the keys
+    do, nulls last: the key itself, or where it is null or repeats anywhere a new
+    column of a written copy, as a number that is made again may fall on another
+    row."""
+    odd = docs.groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1 OR _key IS NULL")
+    if odd.isEmpty():
+        return docs, key
+    row = free_name(docs, "_row")
+    return staged(docs.orderBy(F.col(key).asc_nulls_last()).withColumn(row, F.monotonically_increasing_id())), row
+
+
 def packed_table(docs: DataFrame, summary, key: str = "doc_id", text: str = "text") -> DataFrame:
     """A table bucketed by doc_id with each text compressed: passes that need
     texts again join to it by doc_id and don't shuffle texts.
 
     ``summary(texts)`` gives for each text a digest (bytes, equal for texts that
-    count as copies) and a long.  Columns: doc_id, packed, digest, size.
+    count as copies) and a long.  Columns: doc_id (see ``numbered``: rows with a
+    null or repeated key are rows of their own), id (the key), packed, digest, size.
     """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=3)
         for batch, texts in text_chunks(batches):
             digests, sizes = summary(texts)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([squeeze.compress(x) for x in texts], pa.binary()), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64())], ["doc_id", "packed", "digest", "size"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([squeeze.compress(x) for x in texts], pa.binary()), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64())], ["doc_id", "id", "packed", "digest", "size"])
 
-    rows = docs.selectExpr(f"`{key}` AS doc_id", f"`{text}` AS text")
-    return bucketed(rows.mapInArrow(pack, "doc_id long, packed binary, digest binary, size long"), "doc_id")
+    rows, row = numbered(docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")), "id")
+    return bucketed(rows.select(F.col(row).alias("doc_id"), "id", "text").mapInArrow(pack, "doc_id long, id long, packed binary, digest binary, size long"), "doc_id")
 
 
 def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
@@ -367,10 +435,8 @@ def lists(batch: pa.RecordBatch, column: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def representatives(table: DataFrame) -> DataFrame:
-    """doc_id and copies of the least row of each digest (null keys left out)."""
-    return staged(
-        table.filter("doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies")).select("doc_id", "copies")
-    )
+    """doc_id and copies of the least row of each digest."""
+    return staged(table.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies")).select("doc_id", "copies"))
 
 
 def by_doc(rows: DataFrame, name: str) -> DataFrame:

@@ -3,7 +3,7 @@
 The index is a table of digests bucketed and sorted by digest.  A batch of new
 rows is reduced to one row for each digest, a sort-merge anti-join against the
 index finds digests not seen before, and those are appended.  Digests, not
-texts, are shuffled.
+texts, are shuffled, and of the index nothing is.
 """
 
 from __future__ import annotations
@@ -21,25 +21,45 @@ def normalised(text: Column) -> Column:
 
 
 class DigestIndex:
-    """A bucketed table (digest binary, keep_id long, batch string)."""
+    """A table (digest binary, keep_id long, batch string), bucketed and sorted by
+    digest.  Joins on the digest leave it where it is: only the batch moves."""
+
+    #: Batches after which a bucket's files are merged into one sorted file again.
+    COMPACT_AFTER = 8
 
     def __init__(self, spark: SparkSession, name: str, path: str, buckets: int | None = None):
-        """Opens the table ``name`` at ``path``, and creates it if the catalog has
+        """Opens the table ``name``, and creates it below ``path`` if the catalog has
         none.  ``buckets`` counts for a new table only."""
         self.spark, self.name, self.path = spark, name, path
         self.buckets = buckets or common.partitions(spark)
-        if not spark.catalog.tableExists(name):
-            self._write(spark.createDataFrame([], "digest binary, keep_id long, batch string"))
-
-    def _write(self, rows: DataFrame) -> None:
-        (
-            rows.write.bucketBy(self.buckets, "digest").sortBy("digest").mode("append")
-            .option("path", self.path).format("parquet").saveAsTable(self.name)
-        )
+        if spark.catalog.tableExists(name):
+            detail = {r.col_name: r.data_type for r in spark.sql(f"DESCRIBE TABLE EXTENDED {name}").collect()}
+            self.buckets = int(detail["Num Buckets"])
+        else:
+            self._write(spark.createDataFrame([], "digest binary, keep_id long, batch string"), name)
+
+    def _write(self, rows: DataFrame, name: str) -> None:
+        out = rows.write.bucketBy(self.buckets, "digest").sortBy("digest").mode("append").format("parquet")
+        if not self.spark.catalog.tableExists(name):
+            out = out.option("path", f"{self.path}/{name}")
+        out.saveAsTable(name)
 
     def rows(self) -> DataFrame:
         return self.spark.table(self.name)
 
+    def batches(self) -> int:
+        return self.rows().select("batch").distinct().count()
+
+    def compact(self) -> None:
+        """Writes the index anew with one sorted file in each bucket, and takes
+        the new table in place of the old one."""
+        location = {r.col_name: r.data_type for r in self.spark.sql(f"DESCRIBE TABLE EXTENDED {self.name}").collect()}["Location"]
+        new = f"{self.name}_{uuid.uuid4().hex}"
+        self._write(self.rows().repartition(self.buckets, "digest").sortWithinPartitions("digest"), new)
+        self.spark.sql(f"DROP TABLE {self.name}")
+        self.spark.sql(f"ALTER TABLE {new} RENAME TO {self.name}")
+        common.remove(self.spark, location)
+
     def dedup(self, docs: DataFrame, batch: str, key: str = "doc_id", text: str = "text") -> DataFrame:
         """Each row of ``docs`` with keep_id, group_size, kept and text_sha256.
 
@@ -50,30 +70,43 @@ class DigestIndex:
         Rows with the same key and text are counted each and all say kept; a null
         key sorts before none and stays only if its whole group has null keys.
         An empty table gives no rows and appends nothing.  Other columns aren't
-        carried.  A batch that is given again after its append (``batch`` is the
-        same) gets the same result, and nothing is appended twice.
+        carried, so their names don't matter.  A text of any length is hashed
+        within its row.  A batch that is given again after its append (``batch``
+        is the same) gets the same result, and nothing is appended twice.
         """
-        digests = common.staged(docs.select(F.col(key).alias("doc_id"), F.sha2(normalised(F.col(text)), 256).alias("text_sha256")))
-        digest = F.unhex("text_sha256").alias("digest")
-        groups = common.staged(digests.groupBy("text_sha256").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("group_size")))
-        earlier = self.rows().filter(F.col("batch") != batch)
-        mine = self.rows().filter(F.col("batch") == batch).select("digest")
-        fresh = groups.select(digest, F.col("first_id").alias("keep_id")).repartition(self.buckets, "digest")
-        fresh = fresh.join(earlier.select("digest").hint("merge"), "digest", "left_anti").join(mine.hint("merge"), "digest", "left_anti")
-        self._write(fresh.withColumn("batch", F.lit(batch)).sortWithinPartitions("digest"))
-        # What the index has of this batch's digests, now that they are in it.
-        known = self.rows().withColumn("text_sha256", F.lower(F.hex("digest"))).select("text_sha256", "keep_id", "batch")
-        known = groups.join(known.hint("merge"), "text_sha256")
+        return common.finished(self.spark, lambda: self._dedup(docs, batch, key, text))
+
+    def _dedup(self, docs: DataFrame, batch: str, key: str, text: str) -> DataFrame:
+        digests = common.staged(docs.select(F.col(key).alias("doc_id"), F.unhex(F.sha2(normalised(F.col(text)), 256)).alias("digest")))
+        groups = digests.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("group_size"))
+        groups = common.staged(groups.repartition(self.buckets, "digest").sortWithinPartitions("digest"))
+        self._write(self.fresh(groups, batch), self.name)
+        known = self.known(groups)
         # A text that stands alone needs no look-up of its group: fewer rows meet in the join below.
         shared = common.staged(known.filter((F.col("group_size") > 1) | (F.col("batch") != batch)))
         # Both sides are shuffled afresh, so Spark can split a digest that many rows share.
-        out = digests.join(shared.drop("first_id").hint("merge"), "text_sha256", "left")
+        out = digests.join(shared.hint("merge"), "digest", "left")
         new = F.coalesce(F.col("batch"), F.lit(batch)) == batch
         keep = F.when(F.col("batch").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
-        return out.select(
+        out = out.select(
             "doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
-            (new & keep.eqNullSafe(F.col("doc_id"))).alias("kept"), "text_sha256",
+            (new & keep.eqNullSafe(F.col("doc_id"))).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"),
         )
+        out = common.staged(out)
+        if self.batches() > self.COMPACT_AFTER:
+            self.compact()
+        return out
+
+    def fresh(self, groups: DataFrame, batch: str) -> DataFrame:
+        """Rows to append: the batch's digests that no batch, this one included, has."""
+        new = groups.select("digest", F.col("first_id").alias("keep_id")).repartition(self.buckets, "digest")
+        new = new.join(self.rows().select("digest").hint("merge"), "digest", "left_anti")
+        return new.withColumn("batch", F.lit(batch)).sortWithinPartitions("digest")
+
+    def known(self, groups: DataFrame) -> DataFrame:
+        """What the index has of the batch's digests, now that they are in it."""
+        found = self.rows().select("digest", "keep_id", "batch").hint("merge")
+        return groups.repartition(self.buckets, "digest").join(found, "digest").select("digest", "group_size", "keep_id", "batch")
 
 
 def new_index(spark: SparkSession) -> DigestIndex:

@@ -1,16 +1,21 @@
-"""Stupid-backoff language-model scores of all documents from counts over all.
-
-Relations here have one row for many n-grams: a chunk of documents (some
-``CHUNK`` bytes of text) has each of its distinct n-grams once.  Rows are
-
-* (bucket, chunk, keys, counts): the chunk's n-grams of one hash bucket,
-* in each bucket, the count table: the sum over chunks for each n-gram, joined
-  back to each chunk's n-grams,
-* (chunk, bucket, counts): the answers, joined to the chunk's documents, whose
-  scores are sums over their n-grams.
-
-A word pair that many documents share is one n-gram of each chunk, so it weighs
-on its bucket by the number of chunks at most, never by its occurrences.
+"""Stupid-backoff language-model scores from n-gram count tables.
+
+A word's score is the count of the longest n-gram that ends in it and is seen,
+over the count of that n-gram without the word, times ``alpha`` for each word by
+which the context was cut.  Texts are exploded to n-grams, count tables are
+grouped by n-gram, both are joined, and logs are summed by document.
+
+``scores`` does this for any texts against any corpus, n-grams spelt out.
+
+``lm_score`` scores a corpus by itself.  There every n-gram is seen, so a text's
+score is a plain sum: plus the log of each longest n-gram's count, minus that of
+each context's.  An exploded n-gram needs no more than its hash, its document and
+a sign.  It travels in arrays, one row for each chunk of texts and each bucket of
+hashes; the buckets are the partitions, where arrays are exploded again, counted,
+and joined to their counts without another shuffle.  To bound what a shuffle holds, the
+hashes go in ``PASSES`` classes one after another.  N-grams that make up much of
+the corpus (``HOT_SHARE``) are looked up in a table of their own, of bounded size,
+so no bucket holds many rows of one n-gram.
 """
 
 from __future__ import annotations
@@ -19,166 +24,228 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
-import zstandard
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
 
 ORDER = 3
 ALPHA = 0.4
-#: n-grams of two words or more that the corpus has fewer times count as unseen.
-LEAST = 2
-#: Bytes of text in a chunk, and n-grams in a bucket.
-CHUNK = 8 << 20
-BUCKET = 2_000_000
+#: Classes of hashes, a power of two; bytes of text for each bucket of a class.
+PASSES = 2
+BUCKET_BYTES = 32 << 20
+#: An n-gram is hot if it makes up this share of all; there are as many at most as
+#: one divided by it.  A chunk of texts reports those it has this share of itself.
+HOT_SHARE = 1 / 4096
 MICRO = 1_000_000
 
 
-def chunked(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """A table bucketed by chunk: chunk, doc_id, packed text, n_words."""
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=3)
-        chunk, size = TaskContext.get().partitionId() << 32, 0
-        for batch, texts in common.text_chunks(batches):
-            if size >= CHUNK:
-                chunk, size = chunk + 1, 0
-            size += sum(map(len, texts))
-            yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(texts), pa.int64()), batch.column(0), pa.array([squeeze.compress(x) for x in texts], pa.binary()), pa.array(common.Words(texts).n)], ["chunk", "doc_id", "packed", "n_words"])
-
-    rows = docs.selectExpr(f"`{key}` AS doc_id", f"`{text}` AS text").mapInArrow(pack, "chunk long, doc_id long, packed binary, n_words long")
-    return common.bucketed(rows, "chunk")
+def micro(x: Column) -> Column:
+    """A logarithm in millionths: sums of these don't depend on their order."""
+    return F.round(F.log(x) * MICRO).cast("long")
 
 
-class _Codes:
-    """As ``common.Words`` without the bytes, made from slices of a large chunk."""
+# --- any texts against any corpus --------------------------------------------
 
-    def __init__(self, texts: list[bytes]):
-        parts, at, size = [], 0, 0
-        for i, t in enumerate(texts):
-            size += len(t)
-            if size >= common.CHUNK_BYTES or i + 1 == len(texts):
-                w = common.Words(texts[at : i + 1], lower=True)
-                parts.append((w.code, w.n))
-                at, size = i + 1, 0
-        self.code = np.concatenate([c for c, _ in parts])
-        self.n = np.concatenate([n for _, n in parts])
-        self.first = np.concatenate([[0], np.cumsum(self.n)])
-        self.doc = np.repeat(np.arange(len(texts)), self.n)
 
+def scores(docs: DataFrame, corpus: DataFrame, order: int = ORDER, alpha: float = ALPHA, least: int = 1, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_words and log_score_micro of each row of ``docs`` by the counts of
+    ``corpus``.
 
-def _grams(texts: list[bytes], order: int) -> tuple[_Codes, list[tuple[np.ndarray, np.ndarray]]]:
-    """For each length the n-gram hashes, and the index of the last word of each."""
-    words = _Codes(texts)
-    hashes, out = common.Windows(words.code), []
+    n-grams of two words or more are seen if the corpus has them ``least`` times or
+    more.  A word that the corpus hasn't counts as if it were there once.  Rows and
+    texts are taken as by ``lm_score``.  Joins shuffle both sides afresh, so Spark
+    can split an n-gram that many rows have.
+    """
+    return common.finished(docs.sparkSession, lambda: _scores(docs, corpus, order, alpha, least, key, text))
+
+
+def _words(text: str) -> Column:
+    low = F.translate(F.coalesce(F.col(text), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.filter(F.split(low, common.SPACE_CLASS + "+"), lambda w: w != "")
+
+
+def _scores(docs: DataFrame, corpus: DataFrame, order: int, alpha: float, least: int, key: str, text: str) -> DataFrame:
+    grams = corpus.select(_words(text).alias("ws")).select("ws", F.posexplode("ws").alias("at", "word"))
+    # The n-grams that end in each word, spelt out, from one word to ``order``.
+    ending = lambda k: F.when(F.col("at") >= k - 1, F.array_join(F.slice("ws", F.col("at") - (k - 2), F.lit(k)), " "))
+    counts = grams.select(F.explode(F.array(*(F.struct(F.lit(k).alias("k"), ending(k).alias("gram")) for k in range(1, order + 1)))).alias("g"))
+    counts = common.staged(counts.select("g.*").filter("gram IS NOT NULL").groupBy("k", "gram").agg(F.count(F.lit(1)).alias("n")))
+    total = counts.filter("k = 1").agg(F.coalesce(F.sum("n"), F.lit(0))).collect()[0][0]
+    rows, row = common.numbered(docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")), "id")
+    lists = rows.select(F.col(row).alias("doc"), "id", _words("text").alias("ws"))
+    at = lists.select("doc", "ws", F.posexplode("ws").alias("at", "word"))
+    at = at.select("doc", "at", *(ending(k).alias(f"g{k}") for k in range(1, order + 1)), *(F.when(F.col("at") >= k, F.array_join(F.slice("ws", F.col("at") - (k - 1), F.lit(k)), " ")).alias(f"b{k}") for k in range(1, order)))
+    for column, k in [*((f"g{k}", k) for k in range(1, order + 1)), *((f"b{k}", k) for k in range(1, order))]:
+        table = counts.filter(F.col("k") == k).select(F.col("gram").alias(column), F.col("n").alias(f"n_{column}"))
+        at = at.join(table.hint("merge"), column, "left").drop(column)
+    longest = F.least(F.col("at"), F.lit(order - 1))
+    score = micro(F.coalesce("n_g1", F.lit(1))) - micro(F.lit(float(max(total, 1)))) + longest * micro(F.lit(alpha))
+    for k in range(2, order + 1):
+        seen = micro(F.col(f"n_g{k}")) - micro(F.col(f"n_b{k - 1}")) + (longest - (k - 1)) * micro(F.lit(alpha))
+        score = F.when(F.col(f"n_g{k}") >= least, seen).otherwise(score)
+    summed = at.groupBy("doc").agg(F.sum(score).alias("score"))
+    out = lists.select("doc", "id", F.size("ws").cast("long").alias("n_words")).join(summed.hint("merge"), "doc", "left")
+    return out.select(F.col("id").alias("doc_id"), "n_words", F.coalesce("score", F.lit(0)).cast("long").alias("log_score_micro"))
+
+
+# --- a corpus by itself ------------------------------------------------------
+
+
+def entries(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The n-grams of a chunk: (hash, text, sign) of those that a text's score has,
+    and the hashes of others, which are only counted.
+
+    Of a text with ``order`` words or more, the longest n-grams count plus and their
+    contexts minus; the first context is also what its last word's score has plus.
+    A shorter text counts as a whole.
+    """
+    w = common.Words(texts, lower=True)
+    hashes = common.Windows(w.code)
+    out, only = [], []
     for k in range(1, order + 1):
         every = hashes.every(k)
-        at = np.flatnonzero(words.doc[: len(every)] == words.doc[k - 1 :]) if len(every) else np.zeros(0, np.int64)
-        out.append((every[at] ^ common.mixed(np.array([k], np.uint64)), at + k - 1))
-    return words, out
-
-
-def _texts(table: pa.Table) -> list[bytes]:
-    """The texts of a chunk, which always has rows."""
-    expand = zstandard.ZstdDecompressor()
-    return [expand.decompress(x.as_py()) for x in table.column("packed")]
-
-
-def _planes(keys: np.ndarray) -> bytes:
-    """Sorted keys as differences, byte by byte: the high bytes compress."""
-    steps = np.diff(keys, prepend=np.uint64(0))
-    return zstandard.compress(steps.view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
-
-
-def _unplanes(data: bytes) -> np.ndarray:
-    raw = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(8, -1).T
-    return np.cumsum(np.ascontiguousarray(raw).view(np.uint64).reshape(-1), dtype=np.uint64)
-
-
-def _bucket(keys: np.ndarray, n: int) -> np.ndarray:
-    """Of n ranges of hashes, the one of each key; rises with the key."""
-    return ((keys >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
-
-
-def lm_score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, least: int = LEAST, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_words, log_score_micro and mean_log_score of each row.
-
-    Words are parted by ASCII white space, with A-Z in lower case.  A word's score
-    is the count of the longest n-gram that ends in it, lies in its text and is
-    seen, over the count of that n-gram without the word, times ``alpha`` for each
-    word by which the context was cut; for single words over all words.  n-grams
-    of two words or more are seen if the corpus has them ``least`` times or more.
-    log_score_micro sums the logs, each rounded to millionths, so that it doesn't
-    depend on the order of a sum; mean_log_score is per word.  Null, empty and
-    blank texts have no words, a sum of 0 and no mean.  Repeated rows count each
-    and get the same score; a null key is kept.  An empty table gives no rows;
-    other columns aren't carried.  n-grams are 64-bit hashes.
+        at = np.flatnonzero(w.doc[: len(every)] == w.doc[k - 1 :]) if len(every) else np.zeros(0, np.int64)
+        key = every[at] ^ common.mixed(np.array([k], np.uint64))
+        doc = w.doc[at]
+        n, place = w.n[doc], at - w.first[doc]
+        plus = (n == k) | (k == order)
+        minus = (n >= order) & (k == order - 1) & (place > 0) & (place + k < n)
+        for use, sign in ((plus, 1), (minus, -1)):
+            out.append((key[use], doc[use], np.full(np.count_nonzero(use), sign, np.int32)))
+        only.append(key[~plus & ~minus])
+    return (*(np.concatenate(c) for c in zip(*out, strict=True)), np.concatenate(only))
+
+
+def often(keys: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray]:
+    """Keys that make up ``share`` of ``keys``, 16 of them at least, and their counts."""
+    least = max(16, len(keys) * share)
+    slot = (keys & np.uint64(0xFFFF)).astype(np.int64)
+    key, n = np.unique(keys[(np.bincount(slot, minlength=1 << 16) >= least)[slot]], return_counts=True)
+    return key[n >= least], n[n >= least]
+
+
+class Hot:
+    """Counts of hot n-grams, sorted by hash."""
+
+    def __init__(self, table: pa.Table):
+        keys = table.column("key").to_numpy().view(np.uint64)
+        by = np.argsort(keys)
+        self.keys, self.counts = keys[by], table.column("n").to_numpy()[by]
+
+    def at(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key in the table, -1 for those not in it."""
+        if not len(self.keys):
+            return np.full(len(keys), -1)
+        i = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[i] == keys, i, -1)
+
+
+def _pairs(key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n.astype(np.int64))], ["key", "n"])
+
+
+def lm_score(docs: DataFrame, order: int = ORDER, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_words, log_score_micro and mean_log_score of each row of a corpus.
+
+    Words are parted by ASCII white space, with A-Z in lower case.  The model's
+    counts are those of the table itself, so no word's context is ever cut but by
+    the text's beginning.  log_score_micro is the sum of the words' log scores, each
+    count's log rounded to millionths; mean_log_score is that per word.  Null, empty
+    and blank texts have no words, a sum of 0 and no mean.  Rows with a repeated or
+    null key are rows of their own; repeated texts count each and get the same
+    score.  An empty table gives no rows; other columns aren't carried, so their
+    names don't matter.  A long text is worked on whole by one task, with some 100
+    bytes for each of its bytes.  n-grams are 64-bit hashes.
+    """
+    if order < 2:
+        raise ValueError("order must be 2 or more")
+    return common.finished(docs.sparkSession, lambda: _lm_score(docs, order, key, text))
+
+
+def _lm_score(docs: DataFrame, order: int, key: str, text: str) -> DataFrame:
+    spark = docs.sparkSession
+    rows, row = common.numbered(docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")), "id")
+    rows = rows.select(F.col(row).alias("doc"), "id", "text")
+
+    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, texts in common.text_chunks(batches, "text"):
+            keys, _, _, only = entries(texts, order)
+            yield _pairs(*often(np.concatenate([keys, only]), HOT_SHARE))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(hot.value.keys), np.int64)
+        for _, texts in common.text_chunks(batches, "text"):
+            keys, _, _, only = entries(texts, order)
+            at = hot.value.at(np.concatenate([keys, only]))
+            total += np.bincount(at[at >= 0], minlength=len(total))
+        yield _pairs(hot.value.keys, total)
+
+    def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each document's words, and the part of its score that hot n-grams make."""
+        logs = np.rint(np.log(np.maximum(hot.value.counts, 1)) * MICRO)
+        for batch, texts in common.text_chunks(batches, "text"):
+            keys, doc, sign, _ = entries(texts, order)
+            at = hot.value.at(keys)
+            use = at >= 0
+            score = np.bincount(doc[use], sign[use] * logs[at[use]], len(texts)) if use.any() else np.zeros(len(texts))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([len(x.split()) for x in texts], pa.int64()), pa.array(score.astype(np.int64))], ["doc", "id", "n_words", "score"])
+
+    def packed(this: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch, texts in common.text_chunks(batches, "text"):
+                own = np.asarray(batch.column(0), np.int64)
+                keys, doc, sign, only = entries(texts, order)
+                only, n = np.unique(only[only & np.uint64(PASSES - 1) == this], return_counts=True)
+                mine = keys & np.uint64(PASSES - 1) == this
+                known = np.arange(np.count_nonzero(mine) + len(only)) < np.count_nonzero(mine)
+                n = np.concatenate([sign[mine], n]).astype(np.int32)
+                who = np.concatenate([own[doc[mine]], np.zeros(len(only), np.int64)])
+                keys = np.concatenate([keys[mine], only])
+                cold = hot.value.at(keys) < 0
+                keys, who, n, known = keys[cold], who[cold], n[cold], known[cold]
+                bucket = ((keys >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
+                by = np.argsort(bucket.astype(np.uint16) if buckets < 1 << 16 else bucket, kind="stable")
+                at = np.flatnonzero(np.diff(bucket[by], prepend=-1))
+                ends = pa.array(np.append(at, len(by)), pa.int32())
+                lists = [pa.ListArray.from_arrays(ends, x) for x in (pa.array(keys[by].view(np.int64)), pa.array(who[by], mask=~known[by]), pa.array(n[by]))]
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[by][at]), *lists], ["bucket", "keys", "docs", "signs"])
+
+        return run
+
+    found = rows.mapInArrow(candidates, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).collect()[0][0]
+    # At most one divided by the share: what chunks report is no more than there is.
+    n_grams = rows.agg(F.coalesce(F.sum(F.regexp_count(F.col("text"), F.lit(r"[^\x20\x09-\x0D]+"))), F.lit(0)).alias("n")).collect()[0].n * order
+    hot = spark.sparkContext.broadcast(Hot(found.filter(F.col("n") >= float(n_grams * HOT_SHARE)).toArrow()))
+    hot = spark.sparkContext.broadcast(Hot(rows.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()))
+    buckets = common.partitions(spark, size, PASSES * BUCKET_BYTES)
+    sized = common.staged(rows.mapInArrow(begin, "doc long, id long, n_words long, score long"))
+    parts = sized.select("doc", "score")
+    for this in range(PASSES):
+        sent = rows.mapInArrow(packed(this), "bucket int, keys array<long>, docs array<long>, signs array<int>")
+        parts = parts.unionByName(common.staged(joined(sent, buckets)))
+    summed = parts.groupBy("doc").agg(F.sum("score").alias("score"))
+    out = sized.select("doc", "id", "n_words").join(summed.hint("merge"), "doc")
+    words = n_grams // order
+    score = F.col("score") - F.when(F.col("n_words") > 0, micro(F.lit(float(max(words, 1))))).otherwise(F.lit(0))
+    mean = F.when(F.col("n_words") > 0, score / F.lit(float(MICRO)) / F.col("n_words"))
+    return out.select(F.col("id").alias("doc_id"), "n_words", score.alias("log_score_micro"), mean.alias("mean_log_score"))
+
+
+def joined(sent: DataFrame, buckets: int) -> DataFrame:
+    """(doc, score): exploded n-grams joined to their count table, summed.
+
+    Both have the partitions of the one shuffle.  N-grams that the corpus has once
+    have a log of 0, so the table leaves them out.
     """
-    table = chunked(docs, key, text)
-    words = table.agg(F.coalesce(F.sum("n_words"), F.lit(0))).collect()[0][0]
-    buckets = common.partitions(docs.sparkSession, words * order, BUCKET)
-
-    def ask(chunk: pa.Table) -> pa.Table:
-        _, grams = _grams(_texts(chunk), order)
-        keys, counts = np.unique(np.concatenate([g for g, _ in grams]), return_counts=True)
-        bucket = _bucket(keys, buckets)
-        cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(keys) else np.zeros(0, np.int64)
-        ends = np.append(cut[1:], len(keys))
-        rows = [(bucket[a], chunk.column("chunk")[0].as_py(), _planes(keys[a:z]), zstandard.compress(counts[a:z].astype(np.uint32).tobytes(), 1)) for a, z in zip(cut, ends, strict=False)]
-        return _table(rows, [("bucket", pa.int64()), ("chunk", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
-
-    def count(rows: pa.Table) -> pa.Table:
-        """The bucket's count table, and from it each chunk's n-grams' counts."""
-        keys = [_unplanes(x.as_py()) for x in rows.column("keys")]
-        counts = [np.frombuffer(zstandard.decompress(x.as_py()), np.uint32) for x in rows.column("counts")]
-        known, own = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.bincount(own, weights=np.concatenate(counts), minlength=len(known)).astype(np.uint64)
-        out, at = [], 0
-        for chunk, k in zip(rows.column("chunk").to_pylist(), keys, strict=True):
-            out.append((chunk, rows.column("bucket")[0].as_py(), zstandard.compress(total[own[at : at + len(k)]].tobytes(), 1)))
-            at += len(k)
-        return _table(out, [("chunk", pa.int64()), ("bucket", pa.int64()), ("counts", pa.binary())])
-
-    def score(chunk: pa.Table, answers: pa.Table) -> pa.Table:
-        w, grams = _grams(_texts(chunk), order)
-        keys = np.unique(np.concatenate([g for g, _ in grams]))
-        by = np.argsort(answers.column("bucket").to_numpy())
-        got = [zstandard.decompress(answers.column("counts")[int(i)].as_py()) for i in by]
-        total = np.frombuffer(b"".join(got), np.uint64).astype(np.float64)
-        assert len(total) == len(keys)
-        del got, answers
-        counts = []
-        for g, last in grams:  # counts by length and last word
-            c = np.zeros(len(w.code))
-            c[last] = total[np.searchsorted(keys, g)]
-            counts.append(c)
-        # From single words up: a longer n-gram that is seen takes over.
-        log = np.log(counts[0] / max(words, 1)) if len(w.code) else counts[0]
-        longest = np.minimum(np.arange(len(w.code)) - w.first[w.doc], order - 1)
-        log = log + np.log(alpha) * longest
-        for k in range(1, order):
-            seen = (counts[k] >= least) & (longest >= k)
-            context = np.zeros(len(w.code))
-            context[1:] = counts[k - 1][:-1]
-            at = np.flatnonzero(seen)
-            log[at] = np.log(counts[k][at] / context[at]) + np.log(alpha) * (longest[at] - k)
-        micro = np.concatenate([[0], np.cumsum(np.rint(log * MICRO).astype(np.int64))])
-        sums = micro[w.first[1:]] - micro[w.first[:-1]]
-        mean = [s / MICRO / n if n else None for s, n in zip(sums.tolist(), w.n.tolist(), strict=True)]
-        return pa.table([chunk.column("doc_id"), pa.array(w.n), pa.array(sums), pa.array(mean, pa.float64())], ["doc_id", "n_words", "log_score_micro", "mean_log_score"])
-
-    asked = table.select("chunk", "packed").groupBy("chunk").applyInArrow(ask, "bucket long, chunk long, keys binary, counts binary")
-    answered = asked.groupBy("bucket").applyInArrow(count, "chunk long, bucket long, counts binary")
-    both = table.select("chunk", "doc_id", "packed").groupBy("chunk").cogroup(answered.groupBy("chunk"))
-    return both.applyInArrow(score, "doc_id long, n_words long, log_score_micro long, mean_log_score double")
-
-
-def _table(rows: list[tuple], schema: list) -> pa.Table:
-    columns = zip(*rows, strict=True) if rows else ([] for _ in schema)
-    return pa.table([pa.array(c, t) for c, (_, t) in zip(columns, schema, strict=True)], [n for n, _ in schema])
+    lists = sent.repartitionById(buckets, "bucket").select("bucket", "docs", "signs", F.posexplode("keys").alias("at", "key"))
+    grams = lists.select("bucket", "key", F.get("docs", F.col("at")).alias("doc"), F.get("signs", F.col("at")).alias("sign"))
+    # The count of docs makes this read the same columns, so one shuffle serves both.
+    counts = grams.groupBy("bucket", "key").agg(F.sum(F.abs("sign")).alias("n"), F.count("doc").alias("in_texts"))
+    counts = counts.filter("n > 1 AND in_texts > 0").select("bucket", "key", micro(F.col("n")).alias("log"))
+    both = grams.filter("doc IS NOT NULL").join(counts.hint("shuffle_hash"), ["bucket", "key"])
+    return both.groupBy("doc").agg(F.sum(F.col("sign") * F.col("log")).alias("score"))
 
 
 def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -191,13 +258,13 @@ w AS (SELECT doc_id, i, ws[i] AS c, CASE WHEN i > 1 THEN ws[i - 1] END AS b, CAS
 k1 AS (SELECT c, count(*) AS n FROM w GROUP BY c),
 k2 AS (SELECT b, c, count(*) AS n FROM w WHERE b IS NOT NULL GROUP BY b, c),
 k3 AS (SELECT a, b, c, count(*) AS n FROM w WHERE a IS NOT NULL GROUP BY a, b, c),
-s AS (SELECT doc_id, least(i - 1, 2) AS longest, x.n AS c1, y.n AS c2, z.n AS c3, xb.n AS b1, yb.n AS b2
+s AS (SELECT doc_id, x.n AS c1, y.n AS c2, z.n AS c3, xb.n AS b1, yb.n AS b2
       FROM w JOIN k1 x ON x.c = w.c LEFT JOIN k2 y ON y.b = w.b AND y.c = w.c LEFT JOIN k3 z ON z.a = w.a AND z.b = w.b AND z.c = w.c
       LEFT JOIN k1 xb ON xb.c = w.b LEFT JOIN k2 yb ON yb.b = w.a AND yb.c = w.b),
-l AS (SELECT doc_id, CASE WHEN c3 >= {LEAST} THEN ln(c3 / b2)
-                          WHEN c2 >= {LEAST} THEN ln(c2 / b1) + ln({ALPHA}) * (longest - 1)
-                          ELSE ln(c1 / (SELECT count(*) FROM w)) + ln({ALPHA}) * longest END AS l FROM s),
-m AS (SELECT doc_id, count(*) AS n_words, CAST(sum(CAST(round(l * {MICRO}) AS BIGINT)) AS BIGINT) AS log_score_micro FROM l GROUP BY doc_id)
+l AS (SELECT doc_id, CASE WHEN c3 >= 1 THEN round(ln(c3) * {MICRO}) - round(ln(b2) * {MICRO})
+                          WHEN c2 >= 1 THEN round(ln(c2) * {MICRO}) - round(ln(b1) * {MICRO})
+                          ELSE round(ln(c1) * {MICRO}) - round(ln((SELECT count(*) FROM w)) * {MICRO}) END AS l FROM s),
+m AS (SELECT doc_id, count(*) AS n_words, CAST(sum(CAST(l AS BIGINT)) AS BIGINT) AS log_score_micro FROM l GROUP BY doc_id)
 SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(log_score_micro, 0) AS log_score_micro,
        log_score_micro / {MICRO} / n_words AS mean_log_score
 FROM d LEFT JOIN m USING (doc_id)

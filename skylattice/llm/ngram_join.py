@@ -2,14 +2,17 @@
 
 Two sets with Jaccard similarity t share an item among the first n - ceil(t n) + 1
 of each, in any order common to all sets.  The order here puts rare items first:
-by the count of the item's slot (a table of ``SLOTS`` counts over all documents,
-of fixed size) and then by its hash.
+heavy items (``HEAVY_SHARE``) last by their own counts, all others by the count of
+their slot (a table of ``SLOTS`` counts over all documents, of fixed size), ties by
+hash.  The order decides what is compared, never what links.
 
 * Documents with equal sets are one; documents with equal prefix and size form a
   group, which stands in the join as one entry for each item of its prefix.
 * Groups that share an item meet in a run of sorted entries (``common.runs``,
   which spreads any run over partitions).  First every group is paired with the
-  head of each run only, and the members of a group with its least; pairs that
+  head of each run only, and the members of a group with its least.  The head is
+  the group with the item earliest in its order: it has the fewest items that are
+  rarer, so of a text's altered copies it is the text itself.  Pairs that
   pass the size and position filters and a filter on parity sketches are verified
   on the whole sets, and what links falls into components.
 * Then every other pair of groups in a run is taken whose members aren't all in
@@ -34,6 +37,11 @@ WORDS = 5
 PERCENT = 80
 SLOT_BITS = 16
 SLOTS = 1 << SLOT_BITS
+#: An item is heavy if it makes up this share of all, so there are as many heavy
+#: items at most as one divided by it.  Those with fewer than ``LOCAL`` among the
+#: ``AT_ONCE`` items that a task counts at a time aren't reported.
+HEAVY_SHARE = 1 / 500_000
+LOCAL, AT_ONCE = 4, 4_000_000
 #: Runs of more groups than this are compared block by block within tasks.
 SMALL_RUN = 32
 BLOCK = 128
@@ -66,30 +74,62 @@ def summary(words: int):
     return run
 
 
-def slot_counts(sets: DataFrame, words: int) -> np.ndarray:
-    """How many sets have an item of each slot: ``SLOTS`` numbers for any input."""
+class Order:
+    """An order of items: rare ones first."""
+
+    def __init__(self, slots: np.ndarray, heavy: np.ndarray, counts: np.ndarray):
+        """``heavy`` is sorted, and has an item for each of ``counts``."""
+        self.slots, self.heavy, self.counts = slots, heavy, counts
+
+    def of(self, items: np.ndarray) -> np.ndarray:
+        slot = self.slots[(items >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]
+        if not len(self.heavy):
+            return slot
+        at = np.minimum(np.searchsorted(self.heavy, items), len(self.heavy) - 1)
+        return np.where(self.heavy[at] == items, self.counts[at] + (1 << 48), slot)
+
+
+def item_order(sets: DataFrame, words: int) -> Order:
+    """How many sets have an item of each slot, ``SLOTS`` numbers for any input, and
+    the counts of heavy items, one divided by ``HEAVY_SHARE`` at most."""
     block = 1024
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SLOTS, np.int64)
+        held: list[np.ndarray] = []
+
+        def repeated() -> pa.RecordBatch:
+            item, n = np.unique(np.concatenate([*held, np.zeros(0, np.uint64)]), return_counts=True)
+            item, n = item[n >= LOCAL], n[n >= LOCAL]
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.nulls(len(n), pa.int64()), pa.nulls(len(n), pa.list_(pa.int64())), pa.array(item.view(np.int64)), pa.array(n.astype(np.int64))], ["block", "n", "item", "count"])
+
         for _, texts in common.unpacked(batches):
-            total += np.bincount((shingles(texts, words)[0] >> np.uint64(64 - SLOT_BITS)).astype(np.int64), minlength=SLOTS)
+            held.append(shingles(texts, words)[0])
+            total += np.bincount((held[-1] >> np.uint64(64 - SLOT_BITS)).astype(np.int64), minlength=SLOTS)
+            if sum(map(len, held)) >= AT_ONCE:
+                yield repeated()
+        yield repeated()
         parts = total.reshape(-1, block)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts))), pa.array(list(parts), pa.list_(pa.int64()))], ["block", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts))), pa.array(list(parts), pa.list_(pa.int64())), pa.nulls(len(parts), pa.int64()), pa.nulls(len(parts), pa.int64())], ["block", "n", "item", "count"])
 
-    parts = sets.mapInArrow(count, "block long, n array<long>").selectExpr("block", "posexplode(n) AS (at, n)")
+    counted = common.staged(sets.mapInArrow(count, "block long, n array<long>, item long, count long"))
+    parts = counted.filter("block IS NOT NULL").selectExpr("block", "posexplode(n) AS (at, n)")
     rows = parts.groupBy("block", "at").agg(F.sum("n").alias("n")).groupBy("block").agg(F.array_sort(F.collect_list(F.struct("at", "n"))).alias("n")).collect()
-    out = np.zeros((SLOTS // block, block), np.int64)
+    slots = np.zeros((SLOTS // block, block), np.int64)
     for r in rows:
-        out[r.block] = [x.n for x in r.n]
-    return out.reshape(-1)
+        slots[r.block] = [x.n for x in r.n]
+    items = counted.filter("item IS NOT NULL").groupBy("item").agg(F.sum("count").alias("count"))
+    heavy = items.filter(F.col("count") >= float(max(slots.sum() * HEAVY_SHARE, LOCAL))).toArrow()
+    item = heavy.column("item").to_numpy().view(np.uint64)
+    by = np.argsort(item)
+    return Order(slots.reshape(-1), item[by], heavy.column("count").to_numpy()[by])
 
 
-def _prefixes(texts: list[bytes], words: int, percent: int, counts: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def _prefixes(texts: list[bytes], words: int, percent: int, order: Order) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(index, items in order, those of them in the prefix) of each text with items."""
     item, doc, first = shingles(texts, words)
-    by = np.lexsort((item, counts[(item >> np.uint64(64 - SLOT_BITS)).astype(np.int64)], doc))
-    item = item[by]
+    item = item[np.lexsort((item, order.of(item), doc))]
     for i, (a, z) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
         if z > a:
             yield i, item[a:z], item[a : a + (z - a) - -(-percent * (z - a) // 100) + 1]
@@ -122,12 +162,13 @@ def block_pairs(x: list[dict], y: list[dict], percent: int, same: bool) -> list[
     words = np.array([len(r["sketch"]) for r in x]), np.array([len(r["sketch"]) for r in y])
     for a in np.unique(words[0]):
         for b in np.unique(words[1]):
-            if max(a, b) > 2 * min(a, b):
-                continue  # sizes too far apart
             p, q = ([r for r, n in zip(rows, w.tolist(), strict=True) if n == k] for rows, w, k in ((x, words[0], a), (y, words[1], b)))
-            bits = [np.frombuffer(b"".join(r["sketch"] for r in rows), np.uint8).reshape(len(rows), -1) for rows in (p, q)]
-            bits = [m[:, : m.shape[1] // 2] ^ m[:, m.shape[1] // 2 :] if m.shape[1] > min(a, b) else m for m in bits]
-            bits = [np.ascontiguousarray(m).view(np.uint64) for m in bits]
+            bits = []
+            for rows in (p, q):
+                m = np.frombuffer(b"".join(r["sketch"] for r in rows), np.uint8).reshape(len(rows), -1)
+                while m.shape[1] > min(a, b):
+                    m = m[:, : m.shape[1] // 2] ^ m[:, m.shape[1] // 2 :]
+                bits.append(np.ascontiguousarray(m).view(np.uint64))
             gid, low, high, pos, members = (column(q, c) for c in ("gid", "low", "high", "pos", "members"))
             size, at = pos >> 32, pos & 0xFFFFFFFF
             for k, r in enumerate(p):
@@ -171,15 +212,21 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     text with fewer words has the whole sequence as its one item, a null, empty
     or blank text has none and links with nothing.  Two rows link when 100 *
     intersection >= percent * union; component_id is the least key that links
-    lead to, the row's own included.  Repeated rows get the same result each.  A
-    null key isn't compared and has a null component.  An empty table gives no
-    rows; other columns aren't carried.  Items are 64-bit hashes.
+    lead to, the row's own included; a null key counts as the greatest.  Rows with
+    a repeated or null key are rows of their own.  An empty table gives no rows;
+    other columns aren't carried, so their names don't matter.  A long text is
+    worked on whole by one task, with some 50 bytes for each of its bytes.  Items
+    are 64-bit hashes.
     """
+    return common.finished(docs.sparkSession, lambda: _near_duplicates(docs, words, percent, key, text))
+
+
+def _near_duplicates(docs: DataFrame, words: int, percent: int, key: str, text: str) -> DataFrame:
     table = common.packed_table(docs, summary(words), key, text)
     reps = common.representatives(table.filter("size > 0")).select("doc_id")
-    sets = table.select("doc_id", "packed").join(reps, "doc_id")
-    # Of fixed size, whatever the input.
-    counts = docs.sparkSession.sparkContext.broadcast(slot_counts(sets, words))
+    sets = table.select("doc_id", "packed").join(reps.hint("merge"), "doc_id")
+    # Of bounded size, whatever the input.
+    counts = docs.sparkSession.sparkContext.broadcast(item_order(sets, words))
 
     def group_info(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in common.unpacked(batches):
@@ -198,17 +245,21 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
                 at = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
                 size = np.repeat(np.array([len(s) for _, s, _ in found], np.int64), length)
                 doc = np.repeat(ids[[i for i, _, _ in found]], length)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([p for _, _, p in found]).view(np.int64)), pa.array(doc), pa.array(size << 32 | at)], ["key", "doc", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([p for _, _, p in found]).view(np.int64)), pa.array(at << 32 | size), pa.array(doc)], ["key", "doc", "pos"])
 
-    info = common.staged(sets.mapInArrow(group_info, "doc long, size long, prefix long, sketch binary"))
-    sketches = info.select("doc", "size", "sketch")
-    info = info.select("doc", "size", "prefix")
+    # In buckets for the side of a pair that few pairs share, plain for the other.
+    info, plain = common.bucketed_and_plain(sets.mapInArrow(group_info, "doc long, size long, prefix long, sketch binary"), "doc", in_place=True)
+    sketches, own_sketches = plain.select("doc", "size", "sketch"), info.select("doc", "size", "sketch")
+    info = plain.select("doc", "size", "prefix")
     groups = common.staged(info.groupBy("size", "prefix").agg(F.min("doc").alias("gid"), F.count(F.lit(1)).alias("members")))
     # Members of groups of one need no look-up.
     members = info.join(groups.filter("members > 1").hint("merge"), ["size", "prefix"], "left")
     members = common.staged(members.select("doc", F.coalesce("gid", "doc").alias("gid"), "size"))
-    firsts = table.select("doc_id", "packed").join(groups.select(F.col("gid").alias("doc_id")), "doc_id")
-    met = common.staged(common.runs(firsts.mapInArrow(entries, "key long, doc long, pos long"), ["key"], "docs", with_keys=True))
+    firsts = table.select("doc_id", "packed").join(groups.select(F.col("gid").alias("doc_id")).hint("merge"), "doc_id")
+    # Runs are sorted by place in the prefix, so that stands for ``doc`` there.
+    met = common.runs(firsts.mapInArrow(entries, "key long, doc long, pos long"), ["key"], "heads", with_keys=True)
+    place = lambda c: f"(({c} & 4294967295) << 32 | ({c} >> 32))"
+    met = common.staged(met.selectExpr("key", "pos AS doc", f"{place('doc')} AS pos", "head_pos AS head", f"{place('head')} AS head_pos"))
 
     def may_link(a: str, b: str) -> str:
         """SQL: sizes and positions (size << 32 | index in the prefix) allow a link."""
@@ -224,21 +275,23 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
 
     def filtered(pairs: DataFrame) -> DataFrame:
         """Of pairs (a, b) those that their sketches allow to link."""
-        one = pairs.join(sketches.toDF("a", "na", "x").hint("merge"), "a")
-        two = one.join(sketches.toDF("b", "nb", "y").hint("merge"), "b").select("a", "b", "na", "x", "nb", "y")
+        one = pairs.hint("merge").join(own_sketches.toDF("b", "nb", "y"), "b")
+        two = one.join(sketches.toDF("a", "na", "x").hint("merge"), "a").select("a", "b", "na", "x", "nb", "y")
         return common.staged(two.mapInArrow(alike, "a long, b long"))
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Of pairs (a, b) those that link, on their whole sets."""
         pairs = filtered(pairs)
-        ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+        ids = pairs.select(F.col("a").alias("doc_id"), F.lit(True).alias("first")).union(pairs.select("b", F.lit(False)))
+        ids = ids.groupBy("doc_id").agg(F.max("first").alias("first"))
 
         def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch, texts in common.unpacked(batches):
                 item, _, first = shingles(texts, words)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([item[x:y].tobytes() for x, y in zip(first[:-1], first[1:], strict=True)], pa.binary())], ["doc", "items"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([item[x:y].tobytes() for x, y in zip(first[:-1], first[1:], strict=True)], pa.binary())], ["doc", "first", "items"])
 
-        own = common.staged(table.select("doc_id", "packed").join(ids, "doc_id").mapInArrow(hashes, "doc long, items binary"))
+        own = table.select("doc_id", "packed").join(ids.hint("merge"), "doc_id").mapInArrow(hashes, "doc long, first boolean, items binary")
+        own, plain = common.bucketed_and_plain(own, "doc", in_place=True)
 
         def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -249,9 +302,11 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
                     good.append(100 * both >= percent * (len(x) + len(y) - both))
                 yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-        # Both sides are shuffled afresh, so Spark can split a doc with many pairs.
-        one = pairs.join(own.toDF("a", "x").hint("merge"), "a")
-        two = one.join(own.toDF("b", "y").hint("merge"), "b").select("a", "b", "x", "y")
+        # The set of b is sent once for a pair, that of a once for all its pairs.
+        # Both sides of the join on a are shuffled afresh, so Spark can split a
+        # head that many rows have.
+        one = pairs.hint("merge").join(own.select(F.col("doc").alias("b"), F.col("items").alias("y")), "b")
+        two = one.join(plain.filter("first").select(F.col("doc").alias("a"), F.col("items").alias("x")).hint("merge"), "a").select("a", "b", "x", "y")
         return common.staged(two.mapInArrow(link, "a long, b long"))
 
     stars = met.filter(f"doc <> head AND {may_link('pos', 'head_pos')}").select(F.col("head").alias("a"), F.col("doc").alias("b"))
@@ -297,12 +352,15 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     comps = components(links.union(more)) if not more.isEmpty() else comps
 
     # Back to all rows: only sets with copies or links need a look-up.
-    kinds = table.filter("size > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("doc"), F.count(F.lit(1)).alias("copies"))
+    kinds = table.filter("size > 0").groupBy("digest").agg(F.min("doc_id").alias("doc"), F.count(F.lit(1)).alias("copies"))
     kinds = kinds.join(comps.hint("merge"), "doc", "left").filter("copies > 1 OR comp IS NOT NULL")
-    kinds = common.staged(kinds.select("digest", F.coalesce("comp", "doc").alias("comp")))
-    out = table.select("doc_id", "digest", "size").join(kinds.hint("merge"), "digest", "left")
-    comp = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id"))
-    return out.select("doc_id", F.col("size").alias("n_shingles"), comp.alias("component_id"))
+    kinds = kinds.select("digest", F.coalesce("comp", "doc").alias("comp"))
+    # The component's least row by its own key.
+    names = table.select(F.col("doc_id").alias("comp"), F.col("id").alias("component_id"))
+    kinds = common.staged(kinds.join(names.hint("merge"), "comp"))
+    out = table.select("id", "digest", "size").join(kinds.hint("merge"), "digest", "left")
+    comp = F.when(F.col("comp").isNotNull(), F.col("component_id")).otherwise(F.col("id"))
+    return out.select(F.col("id").alias("doc_id"), F.col("size").alias("n_shingles"), comp.alias("component_id"))
 
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -112,7 +112,7 @@ def finish(w: int, texts_too: bool):
             for i, text in enumerate(texts):
                 words = text.split()
                 keep = np.ones(len(words), bool)
-                if not copies[i].is_valid and batch.column(0)[i].is_valid and len(words) >= w:
+                if not copies[i].is_valid and len(words) >= w:
                     keep[:] = False  # an exact copy of an earlier row
                 for a, z in common.union_length(np.unique(starts[cut[i] : cut[i + 1]]), w):
                     keep[a:z] = False
@@ -121,7 +121,7 @@ def finish(w: int, texts_too: bool):
                 gone.append(int((~keep).sum()))
                 digest.append(hashlib.sha256(kept).hexdigest())
                 kept_text.append(kept.decode("utf-8", "replace"))
-            columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(digest, pa.string())]
+            columns = [batch.column(batch.schema.get_field_index("id")), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(digest, pa.string())]
             names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
             if texts_too:
                 columns, names = [*columns, pa.array(kept_text, pa.string())], [*names, "kept_text"]
@@ -135,13 +135,18 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, key: str = "doc_id",
 
     A word goes if a window of ``window`` words that covers it also starts in a
     row with a smaller key; windows are judged on the input.  Null and empty
-    texts have no words and lose none, as do texts shorter than the window.  Keys
-    identify texts: rows that repeat key and text get the same result each.  Rows
-    with a null key aren't compared and lose nothing.  An empty table gives no
-    rows; other columns aren't carried.  Windows are told apart by 128 bits: the
-    hash of the window and that of its first word.
+    texts have no words and lose none, as do texts shorter than the window.  Rows
+    with a repeated or null key are rows of their own, in some fixed order, nulls
+    last.  An empty table gives no rows; other columns aren't carried, so their
+    names don't matter.  A long text is worked on whole by one task, with some 50
+    bytes for each of its bytes.  Windows are told apart by 128 bits: the hash of
+    the window and that of its first word.
     """
     assert window >= 4
+    return common.finished(docs.sparkSession, lambda: _substring_dedup(docs, window, key, text, texts_too))
+
+
+def _substring_dedup(docs: DataFrame, window: int, key: str, text: str, texts_too: bool) -> DataFrame:
     table = common.packed_table(docs, summary, key, text)
     first = common.representatives(table)
     keys = ["key", "lead"]
@@ -149,10 +154,10 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, key: str = "doc_id",
     def level(rows: DataFrame, run) -> DataFrame:
         return table.select("doc_id", "packed").join(rows, "doc_id").mapInArrow(run, ROWS)
 
-    found = common.runs(level(first.filter("doc_id IS NOT NULL").select("doc_id"), first_level(window)), keys, "docs")
+    found = common.runs(level(first.select("doc_id"), first_level(window)), keys, "docs")
     found = common.runs(level(common.by_doc(found, "at"), second_level(window)), keys, "docs")
     found = common.runs(level(common.by_doc(found, "at"), third_level(window)), keys, "later")
-    done = table.select("doc_id", "packed").join(first, "doc_id", "left").join(common.by_doc(found, "at"), "doc_id", "left")
+    done = table.select("doc_id", "id", "packed").join(first, "doc_id", "left").join(common.by_doc(found, "at"), "doc_id", "left")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * texts_too
     return done.mapInArrow(finish(window, texts_too), schema)
 

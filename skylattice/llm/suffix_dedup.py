@@ -153,7 +153,7 @@ def finish(length: int, texts_too: bool):
             columns: list[list] = [[], [], [], [], []]
             for i, text in enumerate(texts):
                 spans = common.union_length(np.unique(starts[cut[i] : cut[i + 1]]), length)
-                if copies[i] != 1 and batch.column(0)[i].is_valid and len(text) >= length:
+                if copies[i] != 1 and len(text) >= length:
                     spans = np.array([[0, len(text)]])
                 kept, at = [], 0
                 for a, z in spans.tolist():
@@ -162,7 +162,7 @@ def finish(length: int, texts_too: bool):
                 kept = b"".join([*kept, text[at:]])
                 for c, x in zip(columns, (len(text), len(text) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), kept), strict=True):
                     c.append(x)
-            arrays = [batch.column(0), *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.string())]
+            arrays = [batch.column(batch.schema.get_field_index("id")), *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.string())]
             names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
             if texts_too:
                 arrays, names = [*arrays, pa.array(columns[4], pa.binary())], [*names, "kept_bytes"]
@@ -177,20 +177,23 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", tex
     A byte goes if a string of ``length`` bytes that covers it also starts
     anywhere else, in the same text or another; strings overlap, don't cross
     texts and are judged on the input.  Null and empty texts, and those shorter
-    than ``length``, lose nothing.  Keys identify texts; rows that repeat key and
-    text are copies of each other and lose all if they are long enough.  Rows with
-    a null key aren't compared and lose nothing.  An empty table gives no rows;
-    other columns aren't carried.  Strings are told apart by their first 8 bytes
-    and a 64-bit hash.
+    than ``length``, lose nothing.  Rows with a null or repeated key are rows of
+    their own: copies lose all if they are long enough.  An empty table gives no
+    rows; other columns aren't carried, so their names don't matter.  A long text
+    is worked on whole by one task, with some 50 bytes for each of its bytes.
+    Strings are told apart by their first 8 bytes and a 64-bit hash.
     """
     assert length >= 16
+    return common.finished(docs.sparkSession, lambda: _suffix_dedup(docs, length, key, text, texts_too))
+
+
+def _suffix_dedup(docs: DataFrame, length: int, key: str, text: str, texts_too: bool) -> DataFrame:
     table = common.packed_table(docs, summary, key, text)
     first = common.representatives(table)
 
     def level(rows: DataFrame, run) -> DataFrame:
         return table.select("doc_id", "packed").join(rows, "doc_id").mapInArrow(run, ROWS)
 
-    # Repeated rows share a key, and their text is taken up once.
     table_once = first.select("doc_id")
     anchors = common.staged(common.by_doc(common.runs(level(table_once, find_anchors(length)), KEYS, "any"), "at"))
     found = common.staged(common.runs(level(anchors, test_steps(length)), KEYS, "any").select("doc", "pos"))
@@ -198,7 +201,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, key: str = "doc_id", tex
     cores = common.by_doc(common.runs(cores, KEYS, "open"), "at")
     between = common.runs(level(cores, test_between(length)), KEYS, "any").select("doc", "pos")
     spans = common.by_doc(found.unionByName(between), "at")
-    done = table.select("doc_id", "packed").join(first, "doc_id", "left").join(spans, "doc_id", "left")
+    done = table.select("doc_id", "id", "packed").join(first, "doc_id", "left").join(spans, "doc_id", "left")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_bytes binary" * texts_too
     return done.mapInArrow(finish(length, texts_too), schema)
 

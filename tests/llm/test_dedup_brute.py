@@ -105,15 +105,40 @@ def test_whole_tables(spark, sf_dir):
 
 
 def test_odd_rows(spark):
-    text = " ".join(f"word{i}" for i in range(60))
-    odd = frame(spark, [(None, text), (5, text), (5, text), (7, None)])
-    assert sorted((r.doc_id or -1, r.n_removed) for r in suffix_dedup.suffix_dedup(odd).collect()) == [(-1, 0), (5, len(text)), (5, len(text)), (7, 0)]
-    assert sorted((r.doc_id or -1, r.n_removed) for r in substring_dedup.substring_dedup(odd).collect()) == [(-1, 0), (5, 0), (5, 0), (7, 0)]
-    assert sorted((r.doc_id or -1, r.component_id) for r in ngram_join.near_duplicates(odd).collect()) == [(-1, None), (5, 5), (5, 5), (7, 7)]
+    """Rows with a null or repeated key are rows of their own."""
+    text, other = (" ".join(f"{x}{i}" for i in range(60)) for x in ("word", "term"))
+    odd = frame(spark, [(None, text), (5, text), (5, text), (5, other), (None, other), (7, None)])
+    key = lambda r: r.doc_id or -1
+    whole = [len(other), len(text)]
+    assert sorted((key(r), r.n_removed) for r in suffix_dedup.suffix_dedup(odd).collect()) == sorted([(-1, n) for n in whole] + [(5, n) for n in [*whole, len(text)]] + [(7, 0)])
+    assert sorted((key(r), r.n_removed) for r in substring_dedup.substring_dedup(odd).collect()) == [(-1, 60), (-1, 60), (5, 0), (5, 0), (5, 60), (7, 0)]
+    assert sorted((key(r), r.component_id) for r in ngram_join.near_duplicates(odd).collect()) == [(-1, 5), (-1, 5), (5, 5), (5, 5), (5, 5), (7, 7)]
     for f in (suffix_dedup.suffix_dedup, substring_dedup.substring_dedup, ngram_join.near_duplicates):
         assert f(odd.limit(0)).count() == 0
 
 
+def test_repeated_key_with_different_texts(spark):
+    """As many rows come out as went in."""
+    odd = frame(spark, [(1, "a" * 300), (1, "b" * 300), (2, "a" * 300)])
+    assert suffix_dedup.suffix_dedup(odd).count() == substring_dedup.substring_dedup(odd).count() == ngram_join.near_duplicates(odd).count() == 3
+
+
+def test_nothing_is_left_behind(spark):
+    """Tables and folders made on the way go; the result stays readable."""
+    before = {t.name for t in spark.catalog.listTables()}
+    got = ngram_join.near_duplicates(frame(spark, made(1)))
+    assert {t.name for t in spark.catalog.listTables()} == before and got.count() == 60
+
+
+@pytest.mark.parametrize("share", [0.0, 1.0])
+def test_heavy_items_change_no_result(spark, monkeypatch, share):
+    monkeypatch.setattr(ngram_join, "HEAVY_SHARE", share)
+    monkeypatch.setattr(ngram_join, "LOCAL", 2)
+    monkeypatch.setattr(ngram_join, "AT_ONCE", 50)
+    docs = made(9)
+    assert sorted(tuple(r) for r in ngram_join.near_duplicates(frame(spark, docs), 3, 60).collect()) == sorted(near(docs, 3, 60))
+
+
 def test_long_text(spark):
     """One text that is longer than a chunk, twice within another."""
     r = random.Random(5)
@@ -135,18 +160,18 @@ def test_runs_across_partitions(spark, monkeypatch):
     by = {}
     for a, b, d, p in rows:
         by.setdefault((a, b), []).append((d, p))
-    for keep in ("any", "open", "docs", "later"):
+    for keep in ("any", "heads", "open", "docs", "later"):
         want = []
         for k, v in by.items():
             head, last = min(v), max(v)
             for d, p in v:
-                good = {"any": len(v) > 1, "open": len(v) > 1 and any(q & 1 for _, q in v), "docs": last[0] > head[0], "later": d > head[0]}[keep]
+                good = {"any": len(v) > 1, "heads": len(v) > 1, "open": len(v) > 1 and any(q & 1 for _, q in v), "docs": last[0] > head[0], "later": d > head[0]}[keep]
                 if good:
                     want.append((*k, d, p))
         got = common.runs(df, ["a", "b"], keep, with_keys=True).collect()
         assert sorted(tuple(r)[:4] for r in got) == sorted(want)
         heads = {(r.a, r.b, r.doc): r.head for r in got}
-        for r in got if keep == "docs" else ():  # heads lead to the least doc
+        for r in got if keep in ("docs", "heads") else ():  # heads lead to the least doc
             assert (r.head, r.head_pos) in by[r.a, r.b] and (r.head, r.head_pos) <= (r.doc, r.pos)
             at = r.doc
             while at in (x[2] for x in heads if x[:2] == (r.a, r.b)) and heads[r.a, r.b, at] != at:
