@@ -2,10 +2,18 @@
 
 Every stage works on all rows that the one before it kept; rows pass between
 stages as Parquet.  All stages but the last return the columns of ``documents``.
+
+Every stage takes rows with a null text as empty ones, keeps columns that it
+doesn't know, and gives no rows for an empty table.  Rows are kept or dropped,
+not doc_ids: rows with a null or repeated doc_id are rows of their own, and of a
+group the row with the least doc_id stays (a null one last; among equal ones any,
+always one).  Texts of any length are worked on whole.
 """
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,16 +28,14 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each text."""
-    rows, row = _numbered(docs)
-    groups = exact_dedup.new_index(spark).dedup(rows, "pipeline", key=row)
-    return _first_of_each(rows, row, groups.selectExpr("doc_id", "keep_id AS of")).select(docs.columns)
+    rows, row = common.numbered(docs, "doc_id")
+    return _first_of_each(docs, rows, row, exact_dedup.new_index(spark).dedup(rows, "pipeline", key=row).filter("kept"))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near duplicates."""
-    rows, row = _numbered(docs)
-    groups = ngram_join.near_duplicates(rows, key=row)
-    return _first_of_each(rows, row, groups.selectExpr("doc_id", "component_id AS of")).select(docs.columns)
+    rows, row = common.numbered(docs, "doc_id")
+    return _first_of_each(docs, rows, row, ngram_join.near_duplicates(rows, key=row).filter("doc_id = component_id"))
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,20 +52,11 @@ def _columns(docs: DataFrame, text) -> list:
     return [text.alias(c) if c == "text" else F.char_length(text).cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
 
 
-def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
-    """``docs`` with a number of each row's own, and its column.  It is written, as
-    a number that is made again may fall on another row."""
-    row = common.free_name(docs, "_row")
-    return common.staged(docs.withColumn(row, F.monotonically_increasing_id())), row
-
-
-def _first_of_each(rows: DataFrame, row: str, groups: DataFrame) -> DataFrame:
-    """One of ``rows`` for each value of ``of``, by the rows' own numbers (doc_id in
-    ``groups``): that of the least doc_id; a null one comes last."""
-    ids = rows.select(F.col(row).alias("_n"), F.col("doc_id").alias("_id"))
-    both = groups.select(F.col("doc_id").alias("_n"), "of").join(ids.hint("merge"), "_n")
-    first = both.groupBy("of").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_n")).alias("first"))
-    return rows.join(common.staged(first.select(F.col("first._n").alias(row))), row, "left_semi")
+def _first_of_each(docs: DataFrame, rows: DataFrame, row: str, first: DataFrame) -> DataFrame:
+    """The ``rows`` whose number is the doc_id of ``first``.  The join has one way at
+    every size; numbers are distinct, so none is skewed."""
+    keep = first.select(F.col("doc_id").alias(row))
+    return rows.join(keep.hint("merge"), row, "left_semi").select(docs.columns)
 
 
 STAGES = [("quality_rules", quality_rules), ("exact_dedup", exact), ("ngram_join", near), ("pii", private), ("packing", packed)]
@@ -70,8 +67,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
+    """All stages over ``documents``.  What a stage wrote on the way to its rows goes
+    when these are written."""
     docs = common.documents(spark, sf_dir)
     for _, stage in STAGES:
-        docs = common.staged(stage(spark, docs, sf_dir))
+        docs = common.finished(spark, partial(stage, spark, docs, sf_dir))
     return docs
