@@ -239,9 +239,11 @@ def joined(sent: DataFrame, buckets: int) -> DataFrame:
     Both have the partitions of the one shuffle.  N-grams that the corpus has once
     have a log of 0, so the table leaves them out.
     """
+    # What the join would infer is said for both sides, so that one shuffle serves both.
+    sent = sent.filter("keys IS NOT NULL AND docs IS NOT NULL AND signs IS NOT NULL")
     lists = sent.repartitionById(buckets, "bucket").select("bucket", "docs", "signs", F.posexplode("keys").alias("at", "key"))
     grams = lists.select("bucket", "key", F.get("docs", F.col("at")).alias("doc"), F.get("signs", F.col("at")).alias("sign"))
-    # The count of docs makes this read the same columns, so one shuffle serves both.
+    # The count of docs makes this read the same columns.
     counts = grams.groupBy("bucket", "key").agg(F.sum(F.abs("sign")).alias("n"), F.count("doc").alias("in_texts"))
     counts = counts.filter("n > 1 AND in_texts > 0").select("bucket", "key", micro(F.col("n")).alias("log"))
     both = grams.filter("doc IS NOT NULL").join(counts.hint("shuffle_hash"), ["bucket", "key"])

@@ -1,11 +1,12 @@
 """Personal data and secrets replaced by surrogates.
 
-Entities of all documents are gathered by kind; each gets a surrogate made from
-a keyed digest: same kind, script, gender and format, so texts stay natural.
-Equal entities have equal surrogates in all documents.  Surrogates that two
-entities share, or that are somebody's real entity, are found by joins and drawn
-again until all are distinct.  Then each document's entities are joined to it
-and replaced.
+A mention has an identity: the digits of a phone or card number, an address
+without case, the parts of a name without title.  Each identity of all documents gets one
+surrogate made from a keyed digest, of the same kind, script and gender, which
+every mention shows in its own format; so texts stay natural and what referred to
+the same still does.  Surrogates that two identities share, or that are somebody's
+real identity, are found by joins and drawn again until all are distinct.  Only
+documents that have mentions are moved; all others pass as they are.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +31,31 @@ TITLES = {
     "f": ["Mrs", "Ms", "Miss", "Madam", "Frau", "Madame", "Mme", "Mlle", "Señora", "Sra", "Señorita", "Doña", "госпожа"],
     "": ["Dr", "Prof"],
 }
+#: Given names by script and gender.  One of them before a capitalised word is a
+#: name without a title, and surrogates begin and end as they do.
+GIVEN = {
+    "latin": {
+        "m": "James John Robert Michael William David Richard Thomas Daniel Matthew Anthony Andrew Peter Paul Martin Hans Klaus Jürgen Stefan Pierre Jacques Antoine Carlos José Miguel Diego Giovanni Marco Ahmed Omar".split(),
+        "f": "Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Sarah Karen Emily Anna Julia Laura Hannah Ursula Greta Ingrid Claudia Camille Chloé Sophie Carmen Lucía Isabel María Francesca Giulia Fatima Aisha".split(),
+    },
+    "cyrillic": {
+        "m": "Иван Сергей Дмитрий Алексей Михаил Николай Павел Лев Олег Борис".split(),
+        "f": "Анна Мария Елена Ольга Наталья Татьяна Ирина Светлана Екатерина Вера".split(),
+    },
+    "greek": {"m": "Γιώργος Νίκος Δημήτρης Κώστας Παύλος Ανδρέας".split(), "f": "Μαρία Ελένη Κατερίνα Σοφία Άννα Ειρήνη".split()},
+}
+#: Family names by script, which surrogates begin and end as.
+FAMILY = {
+    "latin": "Smith Johnson Miller Davis Wilson Anderson Taylor Walker Robinson Mitchell Carter Turner Parker Collins Morgan Bennett Fischer Weber Wagner Becker Schneider Hoffmann Keller Lefèvre Moreau Girard Fontaine García Romero Navarro Rossi Ferrari Lindberg Novak Kowalski Haddad".split(),
+    "cyrillic": "Соколов Морозов Волков Лебедев Козлов Новиков Макаров Орлов Никитин Захаров".split(),
+    "greek": "Παπαδόπουλος Νικολαΐδης Γεωργίου Δημητρίου Αντωνίου Βλάχος".split(),
+}
+#: Syllables put in between when a name has to be drawn again.
+SYLLABLES = {
+    "latin": "ba be bi bo da de di do fa fe ga go ka ke la le li lo ma me mi mo na ne ni no pa pe ra re ri ro sa se si so ta te ti to va ve vi".split(),
+    "cyrillic": "ба бе ва ве ви да де ди ка ки ла ле ли ло ма ми мо на не ни но ра ре ри ро са си та те ти".split(),
+    "greek": "βα βε γα γο δα δι κα κο λα λε λι λο μα με μι να νε νι ρα ρι σα σι τα τε τι".split(),
+}
 #: Capitals of the Latin, Greek and Cyrillic alphabets.
 _UP = "".join(c for c in map(chr, range(0x41, 0x530)) if c.isupper())
 #: What stands in lower case before or between parts of names, and stays.
@@ -36,22 +63,26 @@ PARTICLES = "van von der den de del della di da do dos du la le el al bin ibn be
 _PARTICLES = rf"(?:(?:{'|'.join(PARTICLES)})[ ]+)*"
 _NAME = rf"(?:[dl]['’])?[{_UP}](?:['’](?=[{_UP}])|[^\W\d_])+"
 _INITIAL = rf"[{_UP}]\.(?:[ ]+(?=[{_UP}])|(?=[{_UP}]))"
+_MORE = rf"(?:(?:-|[ ]+{_PARTICLES}(?:{_INITIAL})*){_NAME})"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-#: In the order in which they win where they overlap.  A group "v" marks the
-#: entity within the match.
+_listed = [n for genders in GIVEN.values() for names in genders.values() for n in names]
+_longest_first = lambda words: "|".join(sorted(words, key=lambda w: (-len(w), w)))
+#: In the order in which they win where two begin together; else the first does.
+#: A group "v" marks the entity within the match.
 PATTERNS = {
-    "email": r"(?<![\w.%+-])[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,63})@(?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,24}\b",
-    "key": r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b|\bgh[pousr]_[A-Za-z0-9]{36}\b",
-    "secret": r"(?i:password|passwd|pwd|secret|token|api[_-]?key)(?:[_-][A-Za-z0-9]++|[A-Z][a-z0-9]++|\d++)*+[\"']?[ \t]*[:=][ \t]*[\"']?(?P<secret_v>[^\s\"',;]{6,})",
-    "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
-    "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
-    "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\w)",
-    "card": r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-])",
-    "name": rf"\b(?P<title>{'|'.join(sorted({t for ts in TITLES.values() for t in ts}, key=len, reverse=True))})\.?[ ]+(?P<name_v>{_PARTICLES}(?:{_INITIAL})*{_NAME}(?:(?:-|[ ]+{_PARTICLES}(?:{_INITIAL})*){_NAME})*)",
+    "email": re.compile(r"(?<![\w.%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*+@(?:[A-Za-z0-9-]++\.)+[A-Za-z]{2,}\b"),
+    "key": re.compile(r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b|\bgh[pousr]_[A-Za-z0-9]{36}\b"),
+    "secret": re.compile(r"(?i:password|passwd|pwd|secret|token|api[_-]?key)(?:[_-][A-Za-z0-9]++|[A-Z][a-z0-9]++|\d++)*+[\"']?[ \t]*[:=][ \t]*[\"']?(?P<v>[^\s\"',;]{6,})"),
+    "iban": re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"),
+    "ssn": re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"),
+    "ip": re.compile(rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)"),
+    "phone": re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\w)"),
+    "card": re.compile(r"(?<![\w.-])\d(?:[ -]?\d)*+"),
+    "titled": re.compile(rf"\b(?P<title>{_longest_first(t for ts in TITLES.values() for t in ts)})\.?[ ]+(?P<v>{_PARTICLES}(?:{_INITIAL})*{_NAME}{_MORE}*)"),
+    "listed": re.compile(rf"\b(?P<v>(?:{_longest_first(_listed)})(?!\w){_MORE}+)"),
 }
-FINDER = re.compile("|".join(f"(?P<{k}>{p})" for k, p in PATTERNS.items()))
 GENDER = {t: g for g, ts in TITLES.items() for t in ts}
+GENDER_OF_NAME = {n.lower(): g for genders in GIVEN.values() for g, names in genders.items() for n in names}
 #: Tries that keep every detail of the format; later ones may change less visible ones.
 STRICT_TRIES = 6
 
@@ -76,11 +107,20 @@ def name_parts(name: str) -> list[tuple[str, bool]]:
     return [(p, p not in (" ", "-") and p not in PARTICLES and p[-1] != ".") for p in pieces]
 
 
-def find(text: str) -> Iterator[tuple[int, int, str, str]]:
+# --- finding -----------------------------------------------------------------
+
+
+def find(text: str) -> list[tuple[int, int, str, str]]:
     """(begin, end, kind, entity) in order.  Kinds of names carry the gender: name,
-    name_m, name_f.  Names are those after a title, and what else in the text is
-    made of their parts (kind name)."""
-    found = [*_titled(text)]
+    name_m, name_f.  Names are those after a title or with a listed given name, and
+    what else in the text is made of their parts (kind name)."""
+    rank = {k: i for i, k in enumerate(PATTERNS)}
+    all_of = sorted((x for k in _kinds(text) for x in _matches(text, k)), key=lambda x: (x[0], rank[x[4]]))
+    found, end = [], 0
+    for a, z, kind, entity, _ in all_of:
+        if a >= end:
+            found.append((a, z, kind, entity))
+            end = z
     parts = {p for _, _, k, e in found if k.startswith("name") for p, own in name_parts(e) if own}
     if parts:
         part = "|".join(re.escape(p) for p in sorted(parts, key=lambda p: (-len(p), p)))
@@ -91,30 +131,90 @@ def find(text: str) -> Iterator[tuple[int, int, str, str]]:
             if at < 0 or taken[at][1] <= m.start():
                 found.append((*m.span(), "name", m.group()))
         found.sort()
-    yield from found
-
-
-def _titled(text: str) -> Iterator[tuple[int, int, str, str]]:
-    for m in FINDER.finditer(text):
-        kind = m.lastgroup if m.lastgroup in PATTERNS else next(k for k in PATTERNS if m.group(k) is not None)
-        group = {"secret": "secret_v", "name": "name_v"}.get(kind, kind)
-        a, z = m.span(group)
-        entity = text[a:z]
-        if kind == "card":
-            digits = re.sub(r"\D", "", entity)
-            if not luhn_ok(digits):
-                continue
-        elif kind == "iban":
+    return found
+
+
+def _kinds(text: str) -> Iterator[str]:
+    """The patterns that can match at all: most texts have no letter of most."""
+    if "@" in text:
+        yield "email"
+    if re.search(r"\d", text):
+        yield from ("iban", "ssn", "ip", "phone", "card")
+    if any(w in text for w in ("AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_")):
+        yield "key"
+    low = text.lower()
+    if any(w in low for w in ("passw", "pwd", "secret", "token", "api")):
+        yield "secret"
+    if any(t in text for t in GENDER):
+        yield "titled"
+    if any(n in text for n in _listed):
+        yield "listed"
+
+
+def _matches(text: str, pattern: str) -> Iterator[tuple[int, int, str, str, str]]:
+    for m in PATTERNS[pattern].finditer(text):
+        a, z = m.span("v" if "v" in m.re.groupindex else 0)
+        entity, kind = text[a:z], pattern
+        if pattern == "card":
+            if re.match(r"[\w-]", text[z : z + 1]):  # the last group goes on as something else
+                entity = entity[: max(entity.rfind(" "), entity.rfind("-"), 0)]
+            yield from ((a + i, a + j, kind, entity[i:j], pattern) for i, j in cards(entity))
+            continue
+        if pattern == "iban":
             plain = entity.replace(" ", "")
             if not 15 <= len(plain) <= 34 or iban_rest(plain) != 1:
                 continue
-        elif kind == "name" and GENDER[m.group("title")]:
-            kind = "name_" + GENDER[m.group("title")]
-        yield a, z, kind, entity
+        if pattern in ("titled", "listed"):
+            first = next((p.lower() for p, own in name_parts(entity) if own), "")
+            gender = GENDER[m.group("title")] if pattern == "titled" else ""
+            gender = gender or GENDER_OF_NAME.get(first, "")
+            kind = f"name_{gender}" if gender else "name"
+        yield a, z, kind, entity, pattern
+
+
+def cards(run: str) -> list[tuple[int, int]]:
+    """Of digits in groups between single spaces or hyphens, (begin, end) of those
+    groups that make a card number: 13 to 19 digits that pass the check."""
+    groups = [m.span() for m in re.finditer(r"\d+", run)]
+    out, i = [], 0
+    while i < len(groups):
+        for j in range(i, len(groups)):
+            digits = re.sub(r"\D", "", run[groups[i][0] : groups[j][1]])
+            if len(digits) > 19:
+                j = len(groups)
+                break
+            if len(digits) >= 13 and luhn_ok(digits):
+                out.append((groups[i][0], groups[j][1]))
+                break
+        else:
+            j = len(groups)
+        i = j + 1 if j < len(groups) else i + 1
+    return out
+
+
+# --- identities and surrogates -----------------------------------------------
+
+
+def identities(kind: str, entity: str) -> list[tuple[str, str]]:
+    """What surrogates are drawn for, the same for all spellings of one thing: (kind,
+    identity), of a name one for each of its parts."""
+    digits = re.sub(r"\D", "", entity)
+    if kind.startswith("name"):
+        parts = [p.lower() for p, own in name_parts(entity) if own]
+        return [(kind if i == 0 and len(parts) > 1 else "name", p) for i, p in enumerate(parts)]
+    if kind == "email":
+        return [(kind, entity.lower())]
+    if kind in ("card", "ssn"):
+        return [(kind, digits)]
+    if kind == "iban":
+        return [(kind, entity.replace(" ", ""))]
+    if kind == "phone":
+        return [(kind, digits if entity[0] != "+" else digits[1:] if digits[0] == "1" and len(digits) == 11 else "+" + digits)]
+    return [(kind, entity)]
 
 
 class Stream:
-    """A keyed stream of numbers for an entity and a try."""
+    """A keyed stream of numbers for an identity and a try."""
 
     def __init__(self, key: bytes, *what: str):
         self.key, self.what, self.n, self.have = key, "\0".join(what).encode(), 0, b""
@@ -126,7 +226,7 @@ class Stream:
         x, self.have = int.from_bytes(self.have[:8], "big"), self.have[8:]
         return x % n
 
-    def pick(self, letters: str) -> str:
+    def pick(self, letters):
         return letters[self.below(len(letters))]
 
 
@@ -140,49 +240,48 @@ def _like(s: Stream, text: str) -> str:
     return "".join(out)
 
 
-def _syllables(s: Stream, word: str, gender: str) -> str:
-    """A name of about the word's length in its script, with its gender's ending."""
-    scripts = (("А", "я", "бвгдклмнпрст", "аеиоу", "а", "н"), ("Α", "ω", "βγδκλμνπρστ", "αειο", "α", "ς"), ("", "\uffff", "bdfgklmnprstv", "aeiou", "a", "n"))
-    _, _, consonants, vowels, f, m = next(x for x in scripts if x[0] <= word[0] <= x[1])
-    want = max(3, len(word))
-    out = "".join(s.pick(consonants) + s.pick(vowels) for _ in range((want + 1) // 2))[: want - 1]
-    if gender == "f":
-        out += f
-    elif gender == "m":
-        out += s.pick(consonants.replace("в", "")) if m != "ς" else m
-    else:
-        out += s.pick(vowels + consonants)
-    return out[0].upper() + out[1:]
-
-
-def surrogate(key: bytes, kind: str, entity: str, attempt: int) -> str:
-    """A replacement of the same kind and format; another one for each attempt."""
-    s = Stream(key, kind, entity, str(attempt))
+def script_of(word: str) -> str:
+    letter = next((c for c in word if c.isalpha()), "a")
+    return "cyrillic" if "\u0400" <= letter <= "\u052f" else "greek" if "\u0370" <= letter <= "\u03ff" else "latin"
+
+
+def _name(s: Stream, kind: str, part: str, attempt: int) -> str:
+    """Begins as one name of its script and gender and ends as another; each
+    attempt but the first has one more syllable in between."""
+    script = script_of(part)
+    gender = kind.partition("_")[2]
+    names = GIVEN[script][gender] if gender else FAMILY[script]
+    head, tail = s.pick(names), s.pick(names)
+    cut = 2 + s.below(2)
+    return head[:cut].lower() + "".join(s.pick(SYLLABLES[script]) for _ in range(attempt)) + tail[cut - 1 :].lower()
+
+
+def surrogate(key: bytes, kind: str, identity: str, attempt: int) -> str:
+    """The identity that stands for another one of the kind; another for each attempt."""
+    s = Stream(key, kind, identity, str(attempt))
     loose = attempt >= STRICT_TRIES
     extra = "" if not loose else _like(s, "a" * (attempt - STRICT_TRIES + 1))
     if kind == "email":
-        local, host = entity.split("@", 1)
+        local, host = identity.split("@", 1)
         labels = host.split(".")
         # A host keeps one surrogate host, below a domain that is nobody's.
-        h = Stream(key, "host", host.lower())
+        h = Stream(key, "host", host)
         name = ".".join(_like(h, x) for x in labels[:-1]) or "mail"
         return f"{_like(s, local)}{extra}@{re.sub('^-|-$', 'x', name)}.example"
     if kind == "key":
         at = 4
-        return entity[:at] + _like(s, entity[at:])
+        return identity[:at] + _like(s, identity[at:])
     if kind == "secret":
-        return _like(s, entity) + extra
+        return _like(s, identity) + extra
     if kind == "iban":
-        plain = entity.replace(" ", "")
-        body = _like(s, plain[4:])
-        new = iter(f"{plain[:2]}{98 - iban_rest(plain[:2] + '00' + body):02d}{body}")
-        return "".join(c if c == " " else next(new) for c in entity)
+        body = _like(s, identity[4:])
+        return f"{identity[:2]}{98 - iban_rest(identity[:2] + '00' + body):02d}{body}"
     if kind == "ssn":
         # Area numbers from 900 on are never given out.
-        return f"9{s.below(100):02d}-{1 + s.below(99):02d}-{1 + s.below(9999):04d}" if not loose else _like(s, entity)
+        return f"9{s.below(100):02d}{1 + s.below(99):02d}{1 + s.below(9999):04d}"
     if kind == "ip":
-        old = entity.split(".")
-        private = ipaddress.ip_address(entity).is_private
+        old = identity.split(".")
+        private = ipaddress.ip_address(identity).is_private
         fixed = {"10": 1, "172": 2, "192": 2, "127": 1}.get(old[0], 0) if private else 0
         new = list(old[:fixed])
         for o in old[fixed:]:
@@ -192,57 +291,46 @@ def surrogate(key: bytes, kind: str, entity: str, attempt: int) -> str:
             new[0] = str({1: 8, 2: 20, 3: 130}[len(new[0])])
         return ".".join(new)
     if kind == "phone":
-        country = re.match(r"\+\d{1,3}(?=\D)", entity)
-        head = country.group() if country else entity[:2] if entity[0] == "+" else ""
-        out, first = [head], True
-        for c in entity[len(head) :]:
-            out.append(s.pick("23456789" if first else "0123456789") if c.isdigit() else c)
-            first = not c.isdigit()
-        return "".join(out)
+        head = identity[:3] if identity[0] == "+" else ""
+        rest = identity[len(head) :]
+        # No area or exchange begins with 0 or 1 where numbers have ten digits.
+        return head + "".join(s.pick("23456789" if i == 0 or i == 3 and len(rest) == 10 else "0123456789") for i in range(len(rest)))
     if kind == "card":
+        body = identity[0] + _like(s, identity[1:-1])
+        return body + next(d for d in "0123456789" if luhn_ok(body + d))
+    return _name(s, kind, identity, attempt)
+
+
+def shown(kind: str, entity: str, table: dict[tuple[str, str], str], secret: bytes) -> str:
+    """The mention's surrogate in the mention's format.  ``table`` has (space,
+    identity) of all that the mention has."""
+    if kind.startswith("name"):
+        out = []
+        for p, own in name_parts(entity):
+            if own:
+                new = table["name", p.lower()]
+                out.append(new.upper() if len(p) > 1 and p.isupper() else new[0].upper() + new[1:])
+            elif p[-1] == ".":  # initials are too few to be distinct
+                out.append(_name(Stream(secret, "initial", p), "name", p, 0)[0].upper() + ".")
+            else:
+                out.append(p)
+        return "".join(out)
+    ((_, identity),) = identities(kind, entity)
+    new = table[kind, identity]
+    if kind in ("card", "ssn", "phone"):
         digits = re.sub(r"\D", "", entity)
-        body = digits[0] + _like(s, digits[1:-1])
-        good = next(d for d in "0123456789" if luhn_ok(body + d))
-        last = good if luhn_ok(digits) else str((int(good) + 1 + s.below(9)) % 10)
-        new = iter(body + last)
-        return "".join(next(new) if c.isdigit() else c for c in entity)
-    gender = kind.partition("_")[2]
-    out, first = [], True
-    for p in re.split(r"([ -]|(?<=\.))", entity):
-        if p in ("", " ", "-") or p in PARTICLES:
-            out.append(p)
-        elif p.endswith("."):
-            out.append(_syllables(s, p, "")[0] + ".")
-        else:
-            out.append(_syllables(s, p.partition("'")[2] + extra if p[:2] in ("d'", "l'") else p + extra, gender if first else ""))
-            first = False
-    return "".join(out)
-
-
-def drawn_of(kind: str, entity: str) -> list[tuple[str, str]]:
-    """What surrogates are drawn for: the entity, or the parts of a name."""
-    if not kind.startswith("name"):
-        return [(kind, entity)]
-    parts = [p for p, own in name_parts(entity) if own]
-    return [(kind if i == 0 and len(parts) > 1 else "name", p) for i, p in enumerate(parts)]
-
-
-def entities_of(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(doc_id, text_hash, kind, entity), each once for a row; of a name, each of its
-    parts, the first of several with the gender.  The hash keeps rows
-    apart whose key is null or repeats, so that none of them gathers all of theirs."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in common.text_chunks(batches):
-            ids, hashes = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-            rows = [(i, h, k, e) for i, h, t in zip(ids, hashes, texts, strict=True) for k, e in sorted({x for _, _, k, e in find(t.decode("utf-8", "replace")) for x in drawn_of(k, e)})]
-            if rows:
-                types = (pa.int64(), pa.int64(), pa.string(), pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["doc_id", "text_hash", "kind", "entity"])
+        whole = re.sub(r"\D", "", new)
+        each = iter(digits[: len(digits) - len(whole)] + whole)
+        return "".join(next(each) if c.isdigit() else c for c in entity)
+    if kind == "iban":
+        each = iter(new)
+        return "".join(c if c == " " else next(each) for c in entity)
+    if kind == "email":
+        return "".join(c.upper() if i < len(entity) and entity[i].isupper() else c for i, c in enumerate(new))
+    return new
 
-    rows = docs.selectExpr(f"`{key}` AS doc_id", f"`{text}` AS text", f"xxhash64(`{text}`) AS text_hash")
-    return rows.mapInArrow(run, "doc_id long, text_hash long, kind string, entity string")
 
+# --- all documents -----------------------------------------------------------
 
 #: All kinds of names are one namespace.
 SPACE = "split_part(kind, '_', 1) AS space"
@@ -276,57 +364,67 @@ def assign(entities: DataFrame, secret: bytes, make=surrogate) -> DataFrame:
         attempt += 1
 
 
-def replaced(docs: DataFrame, secret: bytes, key: str = "doc_id", text: str = "text") -> DataFrame:
+def replaced(docs: DataFrame, secret: bytes, text: str = "text") -> DataFrame:
     """``docs`` with the entities of ``text`` replaced, and n_replaced (long).
 
-    All columns stay; a column n_replaced is replaced.  Null and empty texts stay
-    as they are with 0 replaced, as do texts without entities.  Rows with the same
-    or a null key are each treated by their own text.  An empty table gives no
-    rows.  The same ``secret`` gives the same surrogates but for those that had to
-    be drawn again, which depend on the other entities of the table.
+    All columns stay, whatever their names; a column n_replaced is replaced.  Null
+    and empty texts stay as they are with 0 replaced, as do texts without entities.
+    Every row is treated by its own text, so keys don't matter.  An empty table
+    gives no rows.  Texts and entities of any length are worked on whole.  The same
+    ``secret`` gives the same surrogates but for those that had to be drawn again,
+    which depend on the other entities of the table.
     """
-    found = common.staged(entities_of(docs, key, text))
-    # A part of names has one surrogate, of a gender if any of its names tells it.
-    kinds = found.selectExpr(SPACE, "kind", "entity").groupBy("space", "entity").agg(F.max("kind").alias("kind"))
-    drawn = common.staged(assign(kinds, secret).selectExpr(SPACE, "entity", "surrogate"))
-    # Both sides are shuffled afresh, so Spark can split an entity that many rows have.
-    own = found.selectExpr("doc_id", "text_hash", SPACE, "entity").distinct().join(drawn.hint("merge"), ["space", "entity"])
-    row_key, row_hash, row_own = (common.free_name(docs, x) for x in ("_key", "_hash", "_own"))
-    own = own.groupBy(F.col("doc_id").alias(row_key), F.col("text_hash").alias(row_hash))
-    own = common.staged(own.agg(F.collect_set(F.struct("space", "entity", "surrogate")).alias(row_own)))
     plain = [c for c in docs.columns if c not in (text, "n_replaced")]
-    same = F.col(key).eqNullSafe(F.col(row_key)) & (F.xxhash64(text) == F.col(row_hash))
-    joined = docs.select(*plain, text).join(own.hint("merge"), same, "left").select(*plain, text, row_own)
+    row, own = common.free_name(docs, "_row"), common.free_name(docs, "_own")
+    schema = docs.select(*plain, text).schema
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows that have entities, numbered, with what surrogates are drawn for."""
+        n = TaskContext.get().partitionId() << 33
+        for batch, texts in common.text_chunks(batches, text):
+            lists = [sorted({x for _, _, k, e in find(t.decode("utf-8", "replace")) for x in identities(k, e)}) for t in texts]
+            use = [i for i, x in enumerate(lists) if x]
+            if use:
+                got = batch.take(pa.array(use))
+                pairs = pa.array([[{"kind": k, "entity": e} for k, e in lists[i]] for i in use], pa.list_(pa.struct([("kind", pa.string()), ("entity", pa.string())])))
+                yield pa.RecordBatch.from_arrays([*got.columns, pa.array(range(n, n + len(use)), pa.int64()), pairs], [*plain, text, row, own])
+                n += len(use)
+
+    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in common.text_chunks(batches, text):
+            got = batch.take(pa.array([i for i, t in enumerate(texts) if not find(t.decode("utf-8", "replace"))], pa.int64()))
+            yield pa.RecordBatch.from_arrays([*got.columns, pa.array([0] * got.num_rows, pa.int64())], [*plain, text, "n_replaced"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in common.text_chunks(batches, text):
-            lists = batch.column(batch.schema.get_field_index(row_own)).to_pylist()
-            column = batch.column(batch.schema.get_field_index(text))
+            tables = batch.column(batch.schema.get_field_index(own)).to_pylist()
             new, counts = [], []
-            for t, own, old in zip(texts, lists, column, strict=True):
-                n = 0
-                if own:
-                    table = {(x["space"], x["entity"]): x["surrogate"] for x in own}
-                    t = t.decode("utf-8", "replace")
-                    out, at = [], 0
-                    for a, z, k, e in find(t):
-                        out.append(t[at:a])
-                        if k.startswith("name"):  # initials are too few to be distinct
-                            out += [table["name", p] if mine else surrogate(secret, "name", p, 0) for p, mine in name_parts(e)]
-                        else:
-                            out.append(table[k, e])
-                        at, n = z, n + 1
-                    new.append("".join([*out, t[at:]]))
-                else:
-                    new.append(old.as_py())
-                counts.append(n)
+            for t, pairs in zip(texts, tables, strict=True):
+                table = {(x["space"], x["entity"]): x["surrogate"] for x in pairs}
+                t, out, at = t.decode("utf-8", "replace"), [], 0
+                found = find(t)
+                for a, z, k, e in found:
+                    out += [t[at:a], shown(k, e, table, secret)]
+                    at = z
+                new.append("".join([*out, t[at:]]))
+                counts.append(len(found))
             keep = [batch.column(batch.schema.get_field_index(c)) for c in plain]
             yield pa.RecordBatch.from_arrays([*keep, pa.array(new, pa.string()), pa.array(counts, pa.int64())], [*plain, text, "n_replaced"])
 
-    schema = docs.select(*plain, text).schema
-    out = joined.mapInArrow(run, schema.add("n_replaced", "long"))
+    source = docs.select(*plain, text)
+    wide = docs.select(*plain, text, F.lit(0).cast("long").alias(row), F.lit(None).cast("array<struct<kind:string,entity:string>>").alias(own)).schema
+    found = common.staged(source.mapInArrow(marked, wide))
+    pairs = found.select(row, F.explode(own).alias("x")).select(row, "x.*")
+    # A part of names has one surrogate, of a gender if any of its names tells it.
+    kinds = pairs.selectExpr(SPACE, "kind", "entity").groupBy("space", "entity").agg(F.max("kind").alias("kind"))
+    drawn = common.staged(assign(kinds, secret).selectExpr(SPACE, "entity", "surrogate"))
+    # Both sides are shuffled afresh, so Spark can split an entity that many rows have.
+    mine = pairs.selectExpr(f"`{row}`", SPACE, "entity").distinct().join(drawn.hint("merge"), ["space", "entity"])
+    mine = common.staged(mine.groupBy(row).agg(F.collect_list(F.struct("space", "entity", "surrogate")).alias(own)))
+    done = found.drop(own).join(mine.hint("merge"), row).drop(row)
+    both = source.mapInArrow(others, schema.add("n_replaced", "long")).unionByName(done.mapInArrow(put, schema))
     order = [c for c in docs.columns if c != "n_replaced"]
-    return out.select(*order, "n_replaced")
+    return both.select(*order, "n_replaced")
 
 
 #: For the query only; a deployment passes its own.
