@@ -16,6 +16,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import regex
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
 from . import common
@@ -58,6 +59,10 @@ def _spaces(pattern: str) -> str:
     return "".join(out)
 
 
+def _steps(spec: dict | None, of: str) -> list[dict]:
+    return [] if not spec else spec.get(of, [spec])
+
+
 class Vocabulary:
     """A BPE file: merges as sorted pair keys, split and normalisation."""
 
@@ -80,18 +85,36 @@ class Vocabulary:
         keys = self.left << 32 | self.right
         self.rank = np.argsort(keys, kind="stable")
         self.keys = keys[self.rank]
+        self._check(spec)
         split = BYTE_SPLIT
-        steps = spec["pre_tokenizer"].get("pretokenizers", [spec["pre_tokenizer"]])
-        for step in steps:
+        for step in _steps(spec["pre_tokenizer"], "pretokenizers"):
             if step["type"] == "Split":
                 split = step["pattern"]["Regex"]
         self.split = regex.compile(_spaces(split))
-        kinds = [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [])]
-        self.normalised = kinds == ["NFC", "Replace", "Lowercase"]
+        self.normalised = bool(spec.get("normalizer"))
         self.at_special = regex.compile("(" + "|".join(regex.escape(x) for x in sorted(self.special, key=len, reverse=True)) + ")")
         self.white = regex.compile(f"[{WHITE}]+")
         self.cache: dict[str, bytes] = {}
 
+    def _check(self, spec: dict) -> None:
+        """Raises ValueError for what this class would do otherwise than the file says."""
+        model = spec["model"]
+        odd = [k for k in ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges") if model.get(k)]
+        if model["type"] != "BPE" or odd:
+            raise ValueError(f"model {model['type']} with {odd} isn't supported")
+        kinds = [x["type"] for x in _steps(spec.get("normalizer"), "normalizers")]
+        if kinds not in ([], ["NFC", "Replace", "Lowercase"]):
+            raise ValueError(f"normaliser {kinds} isn't supported")
+        for step in _steps(spec.get("normalizer"), "normalizers"):
+            if step["type"] == "Replace" and (step["pattern"] != {"Regex": r"\s+"} or step["content"] != " "):
+                raise ValueError(f"normaliser {step} isn't supported")
+        for step in _steps(spec.get("pre_tokenizer"), "pretokenizers"):
+            split = step["type"] == "Split" and "Regex" in step["pattern"] and (step["behavior"], step.get("invert", False)) in (("Isolated", False), ("Removed", True))
+            if not split and not (step["type"] == "ByteLevel" and not step.get("add_prefix_space")):
+                raise ValueError(f"split {step} isn't supported")
+        if any(x.get("lstrip") or x.get("rstrip") or x.get("single_word") for x in spec["added_tokens"]):
+            raise ValueError("added tokens that take spaces or whole words aren't supported")
+
     # --- encoding
 
     def normalise(self, text: str) -> str:
@@ -389,15 +412,28 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(common.documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def packed_counts(counts: np.ndarray) -> bytes:
+    """Counts at every prefix as differences, one plane of bytes after another: nearly
+    all are 0 or 1."""
+    steps = np.diff(counts, prepend=np.int32(0)).astype("<i4")
+    return zstandard.compress(steps.view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def unpacked_counts(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<i4").reshape(-1), dtype=np.int32)
+
+
 def token_counts(docs: DataFrame, path: str, limit: int = 1024, store: bool = False, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit, and limit_bytes: the longest prefix,
     cut between characters, of at most ``limit`` tokens.
 
-    With ``store`` also ``counts`` (array<int>): entry i is the number of tokens
-    of the first i bytes, which answers any truncation or budget question.  A
-    null or empty text has 0 bytes and tokens.  Each row stands alone: repeated
-    rows repeat, an empty table gives none, a null key stays null, other columns
-    aren't carried.
+    With ``store`` also ``counts`` (binary, see ``unpacked_counts``): entry i is the
+    number of tokens of the first i bytes, which answers any truncation or budget
+    question (``truncated``).  A null or empty text has 0 bytes and tokens.  Each
+    row stands alone: repeated rows repeat, an empty table gives none, a null key
+    stays null, other columns aren't carried, so their names don't matter.  A long
+    text is worked on whole by one task.
     """
     data = _file(docs.sparkSession, path)
 
@@ -416,19 +452,26 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024, store: bool = Fa
             columns = [batch.column(0), pa.array([len(x) for x in raw], pa.int64()), pa.array([int(c[-1]) for c in counts], pa.int64()), pa.array([bool(c[-1] > limit) for c in counts]), pa.array(cuts, pa.int64())]
             names = ["doc_id", "n_bytes", "n_tokens", "over_limit", "limit_bytes"]
             if store:
-                columns, names = [*columns, pa.array(counts, pa.list_(pa.int32()))], [*names, "counts"]
+                columns, names = [*columns, pa.array([packed_counts(c) for c in counts], pa.binary())], [*names, "counts"]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    schema = "doc_id long, n_bytes long, n_tokens long, over_limit boolean, limit_bytes long" + ", counts array<int>" * store
+    schema = "doc_id long, n_bytes long, n_tokens long, over_limit boolean, limit_bytes long" + ", counts binary" * store
     return docs.selectExpr(f"`{key}` AS doc_id", f"`{text}` AS text").mapInArrow(run, schema)
 
 
 def truncated(counted: DataFrame, budget: int) -> DataFrame:
-    """From stored counts: the longest prefix in bytes of at most ``budget`` tokens."""
-    return counted.selectExpr("doc_id", f"cast(array_max(transform(counts, (c, i) -> if(c <= {int(budget)}, i, 0))) as bigint) AS n_bytes")
+    """doc_id and n_bytes from stored counts, without the texts: the longest prefix
+    of at most ``budget`` tokens."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends = [int(np.flatnonzero(unpacked_counts(x.as_py()) <= budget)[-1]) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ends, pa.int64())], ["doc_id", "n_bytes"])
+
+    return counted.select("doc_id", "counts").mapInArrow(run, "doc_id long, n_bytes long")
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return token_counts(common.documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+    return token_counts(common.documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), store=True)

@@ -1,14 +1,15 @@
 """Best-fit packing into sequences of several permitted lengths.
 
 Items are dealt by a hash into shards of bounded size, which are packed on their
-own: best fit by decreasing length.  An item that fits in no open bin opens the
-size of least cost for each token that it can still hold; at the end each bin is
-cut down to the least size that holds its contents.
+own: best fit by decreasing length.  An item that fits in no open bin opens a new
+one: for every permitted size it is worked out what the items left would fill it
+with, and the size of least cost for each token that it would hold is taken.  At
+the end each bin is cut down to the least size that holds its contents.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Sequence
 
 import numpy as np
@@ -29,6 +30,24 @@ def cost(size: float, fixed: float = FIXED, square: float = SQUARE) -> float:
     return fixed + size + size * size / square
 
 
+def filled(n: int, size: int, left: list[int], count: list[int]) -> int:
+    """What a bin of ``size`` with an item of ``n`` holds when the largest of the
+    items left that fits goes in again and again.  ``left`` has their lengths,
+    sorted, and ``count`` how many there are of each."""
+    at = len(left)
+    while n < size:
+        at = bisect_right(left, size - n, 0, at) - 1
+        if at < 0 or not left[at]:
+            break
+        n += left[at] * min(count[at], (size - n) // left[at])
+    return n
+
+
+def price(used: int, sizes: Sequence[int]) -> float:
+    """The cost for each token of a bin cut down to what it holds."""
+    return cost(sizes[bisect_left(sizes, used)]) / max(1, used)
+
+
 def pack(lengths: np.ndarray, sizes: Sequence[int] = SIZES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(bin, offset) of each item and the size of each bin.  Items longer than the
     largest size aren't allowed; items of length 0 take no room."""
@@ -39,9 +58,14 @@ def pack(lengths: np.ndarray, sizes: Sequence[int] = SIZES) -> tuple[np.ndarray,
     size: list[int] = []
     room: list[int] = []  # distinct free room of open bins, sorted
     open_: dict[int, list[int]] = {}  # the bins that have it
-    left = int(lengths.sum())
+    values, counts = np.unique(lengths, return_counts=True)
+    left, count = values.tolist(), counts.tolist()  # lengths still to pack, and how many of each
     for i in order.tolist():
         n = int(lengths[i])
+        count[-1] -= 1
+        if not count[-1]:
+            left.pop()
+            count.pop()
         at = bisect_left(room, n)
         if at < len(room):
             free = room[at]
@@ -50,14 +74,12 @@ def pack(lengths: np.ndarray, sizes: Sequence[int] = SIZES) -> tuple[np.ndarray,
                 del open_[free], room[at]
         else:
             b = len(used)
-            # What can still go in: the tokens left, this item's included.
-            best = min((s for s in sizes if s >= n), key=lambda s: cost(s) / max(1, min(s, left)))
+            best = min((s for s in sizes if s >= n), key=lambda s: price(filled(n, s, left, count), sizes))
             used.append(0)
             size.append(best)
             free = best
         bins[i], offsets[i] = b, used[b]
         used[b] += n
-        left -= n
         if free > n:
             if free - n not in open_:
                 insort(room, free - n)

@@ -98,6 +98,10 @@ def test_queries_over_whole_table(spark, sf_dir):
         text = docs[r.doc_id]
         n = len(byte.encode(text, add_special_tokens=False).ids)
         assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(text.encode()), n, n > 1024)
+        counts = bpe.unpacked_counts(r.counts)
+        assert len(counts) == r.n_bytes + 1 and counts[-1] == n
+        half = text[: len(text) // 2]
+        assert counts[len(half.encode())] == len(byte.encode(half, add_special_tokens=False).ids)
         cut = text.encode()[: r.limit_bytes].decode()
         assert len(byte.encode(cut, add_special_tokens=False).ids) <= 1024
 
@@ -106,7 +110,25 @@ def test_odd_rows(spark):
     df = spark.createDataFrame([(1, None, "a"), (1, None, "a"), (None, "x", "b"), (2, "", "c")], "doc_id long, text string, ids string")
     assert sorted((r.doc_id or 0, len(r.ids), r.decoded) for r in bpe.encode(df, WORD).collect()) == [(0, 1, "x</w>"), (1, 0, ""), (1, 0, ""), (2, 0, "")]
     stored = bpe.token_counts(df, BYTE, store=True)
-    assert sorted((r.doc_id or 0, r.n_tokens, r.counts) for r in stored.collect()) == [(0, 1, [0, 1]), (1, 0, [0]), (1, 0, [0]), (2, 0, [0])]
+    assert sorted((r.doc_id or 0, r.n_tokens, bpe.unpacked_counts(r.counts).tolist()) for r in stored.collect()) == [(0, 1, [0, 1]), (1, 0, [0]), (1, 0, [0]), (2, 0, [0])]
     assert bpe.encode(df.limit(0), WORD).count() == 0
     hello = spark.createDataFrame([(5, "Hello world, again")], "doc_id long, text string")
     assert bpe.truncated(bpe.token_counts(hello, BYTE, store=True), 2).collect()[0].n_bytes == len("Hello world")
+
+
+@pytest.mark.parametrize("change", [{"normalizer": {"type": "NFKC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"model": {"unk_token": "?"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True}}])
+def test_steps_that_are_not_known_are_refused(change):
+    import json
+
+    spec = json.loads(open(BYTE, "rb").read())
+    spec |= {k: spec["model"] | v if k == "model" else v for k, v in change.items()}
+    with pytest.raises(ValueError, match="isn't supported"):
+        bpe.Vocabulary(json.dumps(spec).encode())
+
+
+def test_long_text(spark):
+    text = "A long text, again and again. " * 20_000
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    (row,) = bpe.token_counts(df, BYTE).collect()
+    assert row.n_bytes == len(text) and row.n_tokens == len(tokenizers.Tokenizer.from_file(BYTE).encode(text).ids)
+    assert len(bpe.encode(df, WORD).collect()[0].ids) == len(tokenizers.Tokenizer.from_file(WORD).encode(text, add_special_tokens=False).ids)

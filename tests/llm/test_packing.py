@@ -40,6 +40,77 @@ def test_opens_the_size_of_least_cost_and_downsizes():
     assert sorted(final.tolist()) == [128] + [512] * 10
 
 
+def naive(lengths, sizes):
+    """The method with plain lists: the contents of each bin and its final size."""
+    cost = lambda s: 16 + s + s * s / 65536
+    down = lambda used: min(s for s in sizes if s >= used)
+    todo = sorted(lengths, reverse=True)
+    bins = []
+    while todo:
+        n = todo.pop(0)
+        fits = [b for b in bins if b["size"] - sum(b["items"]) >= n > 0 or n == 0 and b["size"] > sum(b["items"])]
+        if fits:  # of equally tight ones, that which changed last
+            best = min(fits, key=lambda b: (b["size"] - sum(b["items"]), -b["at"]))
+            best["items"].append(n)
+            best["at"] = -len(todo)
+            continue
+        prices = []
+        for s in sorted(x for x in sizes if x >= n):
+            used = n
+            for x in todo:
+                used += x if used + x <= s else 0
+            prices.append((cost(down(used)) / max(1, used), s))
+        bins.append({"size": min(prices)[1], "items": [n], "at": -len(todo)})
+    return sorted((down(sum(b["items"])), sum(b["items"])) for b in bins)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(1, 200), max_size=60))
+def test_against_plain_lists(lengths):
+    sizes = (32, 64, 100, 200)
+    bins, _, final = packing.pack(np.array(lengths, np.int64), sizes)
+    used = np.bincount(bins, np.array(lengths), len(final)).astype(int) if lengths else []
+    assert sorted(zip(final.tolist(), [*used], strict=True)) == naive(lengths, sizes)
+
+
+def test_near_the_best_of_all_partitions():
+    """Cost against every way to part few items into bins."""
+    sizes, r = (10, 20, 40), np.random.default_rng(3)
+
+    def partitions(items):
+        if not items:
+            yield []
+            return
+        for rest in partitions(items[1:]):
+            yield [[items[0]], *rest]
+            for i in range(len(rest)):
+                yield rest[:i] + [[items[0], *rest[i]]] + rest[i + 1 :]
+
+    total = least = 0
+    for _ in range(12):
+        items = r.integers(1, 40, 6).tolist()
+        ways = ([sum(b) for b in p] for p in partitions(items))
+        least += min(sum(packing.cost(min(s for s in sizes if s >= u)) for u in p) for p in ways if max(p) <= 40)
+        total += sum(packing.cost(float(s)) for s in packing.pack(np.array(items), sizes)[2])
+    assert least <= total <= 1.1 * least
+
+
+def test_size_is_chosen_by_what_fills_it():
+    # Two items of 60 leave 8 empty in 128; three fill 180 of 192.
+    _, final = holds([60] * 6, (64, 128, 180))
+    assert final.tolist() == [180, 180]
+    _, final = holds([60] * 4, (64, 120, 200))
+    assert final.tolist() == [120, 120]
+
+
+def test_clashing_columns_and_odd_rows(spark):
+    """Columns of the result's names in the input change nothing."""
+    df = spark.createDataFrame([(1, "a b", 9, 9, 9), (1, "a b", 9, 9, 9), (None, None, 9, 9, 9), (2, "", 9, 9, 9)], "doc_id long, text string, total int, piece int, length int")
+    rows = packing.best_fit(df, packing.n_words()).collect()
+    assert sorted((r.doc_id or 0, r.piece, r.length) for r in rows) == [(0, 0, 0), (1, 0, 2), (1, 0, 2), (2, 0, 0)]
+    assert packing.best_fit(df.limit(0), packing.n_words()).count() == 0
+
+
 def test_little_is_wasted():
     r = np.random.default_rng(1)
     lengths = np.minimum(r.lognormal(5.5, 1, 5000).astype(np.int64), 4096)
