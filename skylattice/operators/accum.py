@@ -26,7 +26,7 @@ def increments(df: DataFrame, value: Column, by: Sequence[str], order: Sequence[
 
 
 def increments_between(df: DataFrame, axis: DataFrame, value: Column, by: Sequence[str], name: str, start: str | None, end: str | None, time: str = "time") -> DataFrame:
-    """Increments of a time range, reading only one step before it.
+    """Increments of a time range, from rows no earlier than one step before it.
 
     All cells share the axis, so the step before ``start`` is the same for all;
     one small query over the axis finds it, and earlier data aren't scanned.

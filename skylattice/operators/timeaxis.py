@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -17,6 +19,11 @@ def to_time(text: str) -> Column:
     return F.lit(text).cast("timestamp_ntz")
 
 
+def parsed(text: str) -> datetime:
+    """The same on the driver."""
+    return datetime.fromisoformat(text)
+
+
 def first_of_each_time(rows: DataFrame, time: str, *order: str) -> DataFrame:
     """Of rows with equal times the first by ``order``.
 
@@ -51,5 +58,14 @@ def output_index(axis: DataFrame) -> DataFrame:
 
 
 def locate(axis: DataFrame, wanted: DataFrame) -> DataFrame:
-    """File and index within it of global time indices (a column g_idx)."""
+    """File and index within it of global time indices (a column g_idx).  An index
+    that the axis hasn't is left out; ``locate_one`` raises for it."""
     return wanted.join(axis.select("g_idx", "file", "t_idx"), "g_idx")
+
+
+def locate_one(axis: DataFrame, g_idx: int) -> tuple[str, int]:
+    """The same for one index; IndexError past either end."""
+    found = axis.filter(F.col("g_idx") == g_idx).select("file", "t_idx").collect()
+    if not found:
+        raise IndexError(f"time index {g_idx} is out of range")
+    return found[0].file, found[0].t_idx

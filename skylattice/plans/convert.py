@@ -31,9 +31,12 @@ class Request:
     def times(self, df: DataFrame) -> DataFrame:
         return timeaxis.between_times(df, self.start, self.end)
 
-    def cells(self, table: str, **halo: int) -> DataFrame:
+    def cells(self, table: str, step_before: bool = False, **halo: int) -> DataFrame:
+        """Rows of the box; times are the range's, or those and the step before it,
+        or more (``times`` cuts them)."""
         names = {"u_stag": {"i": "i_stag"}, "v_stag": {"j": "j_stag"}}.get(table, {})
-        return bbox.within(self.source.timed(table), self.window, **halo, **names)
+        start = self.source.before(self.start) if step_before else self.start
+        return bbox.within(self.source.timed(table, start, self.end), self.window, **halo, **names)
 
 
 def request(source: ModelSource, variables=None, start=None, end=None, bbox_degrees=None, target_levels=None, above_ground=False) -> Request:
@@ -70,7 +73,7 @@ def _surface(r: Request, v: Variable) -> DataFrame:
         return r.times(r.cells("surface")).select(*CELL, derive.sea_level_pressure(*(F.col(s).cast("double") for s in v.sources)).alias("value"))
     if v.transform == "accumulation_increment":
         total = accum.total([F.col(s) for s in v.sources])
-        df = accum.increments_between(r.cells("surface"), r.source.axis, total, ["j", "i"], "value", r.start, r.end)
+        df = accum.increments_between(r.cells("surface", step_before=True), r.source.axis, total, ["j", "i"], "value", r.start, r.end)
         return df.select(*CELL, "value")
     raise ValueError(f"Unknown transform {v.transform!r}")
 

@@ -12,8 +12,9 @@ the file:
     grid       j, i, COSALPHA, SINALPHA          optional, static
     geo        j, i, XLONG, XLAT                 grids in degrees
 
-All files of a dataset are one scan; Spark prunes columns and pushes box and
-time filters into it.
+All files of a dataset are one scan.  Box bounds reach it as literals; of a time
+range, the axis (one row a step) says which files have it and the bounds of
+``t_idx``, so other files aren't opened and those bounds reach the scan too.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ from ..catalog import CATALOGUE, Variable, available
 from ..functions.projection import Projection, from_attributes
 from ..functions.text import attribute
 from ..operators import bbox, timeaxis
+from ..session import broadcast_if_small
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -63,16 +65,44 @@ class ModelSource:
     def has(self, table: str) -> bool:
         return exists(self.spark, f"{self.input_paths[0]}/{table}.parquet")
 
-    def read(self, table: str) -> DataFrame:
-        """A table of all files, with ``file`` (sorts as the files do)."""
-        df = self.spark.read.parquet(*(f"{p}/{table}.parquet" for p in self.input_paths))
-        return df.withColumn("file", F.regexp_extract("_metadata.file_path", rf"([^/]+)/{table}\.parquet", 1))
+    def read(self, table: str, files: Iterable[str] | None = None) -> DataFrame:
+        """A table of all files, or of those named, with ``file``: the whole path,
+        as two inputs may share their last name, which sorts as the inputs do."""
+        paths = [p for p in self.input_paths if files is None or self._folder(p) in {*files}]
+        df = self.spark.read.parquet(*(f"{p}/{table}.parquet" for p in paths))
+        return df.withColumn("file", F.regexp_extract(F.url_decode(F.replace(F.expr("parse_url(_metadata.file_path, 'PATH')"), F.lit("+"), F.lit("%2B"))), rf"^(.*)/{table}\.parquet(?:/|$)", 1))
 
-    def timed(self, table: str) -> DataFrame:
+    def _folder(self, path: str) -> str:
+        """A path as ``read`` has it, without scheme and host."""
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).makeQualified(p).toUri().getPath()
+
+    @cached_property
+    def steps(self) -> list:
+        """The axis on the driver, in time order: a row for each step, however large
+        the grid."""
+        return self.axis.orderBy("g_idx").collect()
+
+    def timed(self, table: str, start: str | None = None, end: str | None = None) -> DataFrame:
         """A table with ``time`` in place of file and step; of files that overlap,
-        the first has a time."""
-        axis = self.axis.select("file", "t_idx", "time")
-        return self.read(table).join(axis, ["file", "t_idx"]).drop("file", "t_idx")
+        the first has a time.  Times outside the range may be left out unread."""
+        axis, files = self.axis.select("file", "t_idx", "time"), None
+        bounds = F.lit(True)
+        if start is not None or end is not None:
+            own = self.within(start, end) or self.steps[:1]
+            files = {s.file for s in own}
+            bounds = F.col("t_idx").between(min(s.t_idx for s in own), max(s.t_idx for s in own))
+        return self.read(table, files).filter(bounds).join(broadcast_if_small(axis), ["file", "t_idx"]).drop("file", "t_idx")
+
+    def within(self, start: str | None, end: str | None) -> list:
+        """The steps of a time range, both ends included."""
+        lo, hi = (x and timeaxis.parsed(x) for x in (start, end))
+        return [s for s in self.steps if (lo is None or s.time >= lo) and (hi is None or s.time <= hi)]
+
+    def before(self, start: str | None) -> str | None:
+        """The last step before a time, as text; without one, the time itself."""
+        earlier = [s.time for s in self.steps if start is not None and s.time < timeaxis.parsed(start)]
+        return str(earlier[-1]) if earlier else start
 
     # --- metadata, from the first file but for times
 

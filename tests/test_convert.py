@@ -153,6 +153,37 @@ def test_overlapping_files_first_wins(spark, tmp_path):
     assert [got[f"2023-02-12 0{t}:00:00", 2.0, 0, 0] for t in range(3)] == [280, 281, 382]
 
 
+def test_two_inputs_of_one_name(spark, tmp_path):
+    """Whole paths tell files apart, also with a space or a plus in them."""
+    synth.write_file(spark, f"{tmp_path}/a b/out", steps=2, first=0)
+    synth.write_file(spark, f"{tmp_path}/a+c/out", start="2023-02-12 02:00:00", steps=2, first=100)
+    source = ModelSource(spark, [f"{tmp_path}/a b/out", f"{tmp_path}/a+c/out"])
+    out = plan.convert(source, "T2")["air_temp"]
+    got = rows(out)
+    assert out.count() == len(got) == 4 * 63
+    assert [got[f"2023-02-12 0{t}:00:00", 2.0, 0, 0] for t in range(4)] == [280, 281, 380, 381]
+
+
+def test_time_range_reaches_the_scan(source):
+    """Files without a step of the range aren't opened; t_idx has literal bounds."""
+    for name, files in (("T2", 1), ("precip", 2)):
+        (df,) = plan.convert(source, name, start="2023-02-12T04:00", end="2023-02-12T05:00").values()
+        text = df._jdf.queryExecution().executedPlan().toString()
+        scan = next(x for x in text.splitlines() if "FileScan" in x and "surface" in x)
+        assert "GreaterThanOrEqual(t_idx,0)" in scan and f"LessThanOrEqual(t_idx,{1 if files == 1 else 3})" in scan
+        assert f"InMemoryFileIndex({files} paths)" in scan
+        assert len(rows(df)) == 2 * 63
+
+
+def test_locate(source):
+    from skylattice.operators import timeaxis
+
+    assert timeaxis.locate_one(source.axis, 5) == (source.steps[5].file, 1)
+    for bad in (8, -1):
+        with pytest.raises(IndexError):
+            timeaxis.locate_one(source.axis, bad)
+
+
 def test_without_rotation(spark, tmp_path):
     synth.write_file(spark, f"{tmp_path}/a", steps=1, rotation=False)
     got = rows(plan.convert(ModelSource(spark, f"{tmp_path}/a"), "U10")["u_wind"])
