@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 #: A side of a join is broadcast only if Spark's own estimate of it is below this.
@@ -30,3 +35,16 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame
     """``df`` with a broadcast hint if it is estimated below ``limit``; beyond it
     the join is left to the optimizer, which shuffles."""
     return df.hint("broadcast") if estimated_bytes(df) < limit else df
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder below ``spark.checkpoint.dir``; where that is unset, on one
+    machine, a temporary one that goes with the process."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="grid-")
+        atexit.register(shutil.rmtree, base, True)
+        base = f"file://{base}"
+    return f"{base}/{uuid.uuid4().hex}"
