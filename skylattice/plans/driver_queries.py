@@ -4,7 +4,6 @@ and embeddings stand in for steps, cells and model columns."""
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -140,7 +139,31 @@ def locate(spark, d):
 # --- sinks
 
 
-@query("K4_output_names", f"SELECT * FROM (VALUES {_values([(v.key, catalog.stored_name(v.out), catalog.CF_ATTRIBUTES[v.out]['standard_name'], catalog.CF_ATTRIBUTES[v.out]['units']) for v in catalog.CATALOGUE.values()])}) AS t(key, name, standard_name, units)")
+# What each key is stored as.
+_STORED = """
+T2 air_temperature air_temperature K
+PSFC surface_pressure surface_air_pressure Pa
+Q2 specific_humidity specific_humidity kg kg-1
+RAIN precipitation precipitation_amount mm
+WIND10 wind_speed wind_speed m/s
+WIND_DIR10 wind_direction wind_from_direction deg
+TSK soil_temp soil_temperature K
+SWDOWN shortwave_radiation surface_downwelling_shortwave_flux_in_air W m-2
+GLW longwave_radiation surface_downwelling_longwave_flux_in_air W m-2
+SNOWH snow_depth surface_snow_thickness m
+T air_temperature air_temperature K
+WIND wind_speed wind_speed m/s
+WIND_DIR wind_direction wind_from_direction deg
+U10 u_wind eastward_wind m/s
+V10 v_wind northward_wind m/s
+U u_wind eastward_wind m/s
+V v_wind northward_wind m/s
+Q specific_humidity specific_humidity kg kg-1
+SLP mslp air_pressure_at_mean_sea_level Pa
+"""
+
+
+@query("K4_output_names", f"SELECT * FROM (VALUES {_values([tuple(x.split(' ', 3)) for x in _STORED.strip().splitlines()])}) AS t(key, name, standard_name, units)")
 def output_names(spark, d):
     names = {v.out for v in catalog.CATALOGUE.values()}
     rows = [(n, catalog.stored_name(n), *(catalog.attributes(n)[a] for a in ("standard_name", "units"))) for n in sorted(names)]
@@ -310,9 +333,9 @@ def bounds(spark, d):
     return bbox.bounds(_t(spark, d, "lineitem"), ["l_quantity", "l_extendedprice"], ["l_returnflag"])
 
 
-@query("A4_group", "SELECT p_type, array_to_string(list(p_brand || '/' || p_partkey ORDER BY p_partkey), ',') AS keys FROM part WHERE p_size = 7 GROUP BY p_type")
+@query("A4_group", "SELECT p_type, array_to_string(list(p_brand || '/' || p_partkey ORDER BY p_partkey), ',') AS keys FROM part GROUP BY p_type")
 def group(spark, d):
-    p = _t(spark, d, "part").filter("p_size = 7").select("p_type", "p_partkey", F.concat_ws("/", "p_brand", "p_partkey").alias("key"))
+    p = _t(spark, d, "part").select("p_type", "p_partkey", F.concat_ws("/", "p_brand", "p_partkey").alias("key"))
     return merge.group_frame(p, "p_type", "p_partkey", "key").select("p_type", F.array_join("keys", ",").alias("keys"))
 
 
@@ -518,24 +541,19 @@ _POLAR = Projection("polar", -71.0, 0.0, -90.0, 173.0)
 _LON, _LAT = "radians(160.0 + s_suppkey % 25 - 173.0)", "radians(-48.0 + s_suppkey % 15)"
 
 
-def _t_sql(lat: str, e: float) -> str:
-    return f"(tan({math.pi / 4!r} - ({lat}) / 2) / pow((1 - {e!r} * sin({lat})) / (1 + {e!r} * sin({lat})), {e / 2!r}))"
-
-
-def _projection_sql() -> str:
-    n, f, origin = _LCC._cone()
-    a, e = _LCC.ellipsoid.a, _LCC.ellipsoid.e
-    m = _MERCATOR.ellipsoid.a * _MERCATOR._m(math.radians(_MERCATOR.lat_1))
-    return f"""
+# The formulas of the three projections with their constants worked out by hand
+# from the ellipsoid: first eccentricity 0.0818..., cone constant, scaled radii.
+_T = lambda lat: f"(tan(pi() / 4 - ({lat}) / 2) / pow((1 - 0.08181919084262149 * sin({lat})) / (1 + 0.08181919084262149 * sin({lat})), 0.040909595421310746))"
+_PROJECTED = f"""
 WITH s AS (SELECT s_suppkey, {_LON} AS lon, {_LAT} AS lat FROM supplier),
-t AS (SELECT s_suppkey, lon, lat, {a * f!r} * pow({_t_sql('lat', e)}, {n!r}) AS rho, {_POLAR._polar_scale()!r} * {_t_sql('-lat', e)} AS polar FROM s)
-SELECT s_suppkey, round(rho * sin(lon * {n!r}), 3) AS lcc_x, round({origin!r} - rho * cos(lon * {n!r}), 3) AS lcc_y,
+t AS (SELECT s_suppkey, lon, lat, 6378137.0::DOUBLE * -1.790073618827417::DOUBLE * pow({_T('lat')}, -0.7156710979405948::DOUBLE) AS rho, 12367396.218459861::DOUBLE * {_T('-lat')} AS polar FROM s)
+SELECT s_suppkey, round(rho * sin(lon * -0.7156710979405948::DOUBLE), 3) AS lcc_x, round(-6526426.625305105::DOUBLE - rho * cos(lon * -0.7156710979405948::DOUBLE), 3) AS lcc_y,
        round(polar * sin(lon), 3) AS polar_x, round(polar * cos(lon), 3) AS polar_y,
-       round(lon * {m!r}, 3) AS mercator_x, round(-ln(tan({math.pi / 4!r} - lat / 2)) * {m!r}, 3) AS mercator_y FROM t
+       round(lon * 4807500.026019058::DOUBLE, 3) AS mercator_x, round(-ln(tan(pi() / 4 - lat / 2)) * 4807500.026019058::DOUBLE, 3) AS mercator_y FROM t
 """
 
 
-@query("F14_projections", _projection_sql())
+@query("F14_projections", _PROJECTED)
 def projections(spark, d):
     lon, lat = F.lit(160.0) + F.col("s_suppkey") % 25, F.lit(-48.0) + F.col("s_suppkey") % 15
     out = []
