@@ -310,8 +310,9 @@ def runs(df: DataFrame, keys: list[str], keep: str, with_keys: bool = False) ->
     (long).  ``keep`` names the rows that stay: "any" (the key has two rows or
     more), "heads" (the same), "open" (the same, and one of them has an odd pos),
     "docs" (rows of two docs or more) or "later" (a smaller doc has it).
-    Returns doc and pos.  With ``with_keys`` also the keys, and head and head_pos,
-    of the key's first row by (doc, pos) in the partition; with "docs" and "heads"
+    Returns doc and ``at``, arrays of pos; a doc may have several rows.  With
+    ``with_keys`` a row each with the keys, doc, pos, and head and head_pos of the
+    key's first row by (doc, pos) in the partition; with "docs" and "heads"
     the rows of that doc have those of the first row of all partitions, so that
     heads lead on to the key's least doc.
 
@@ -325,8 +326,8 @@ def runs(df: DataFrame, keys: list[str], keep: str, with_keys: bool = False) ->
     path = scratch_dir(spark)
     df = _staged_at(df, path)
     n = partitions(spark, df.count())
-    schema = ", ".join([f"{k} long" for k in keys] + ["doc long, pos long, head long, head_pos long, last long, n long, odd long, kind int"])
-    arrow = pa.schema([(k, pa.int64()) for k in [*keys, "doc", "pos", "head", "head_pos", "last", "n", "odd"]] + [("kind", pa.int32())])
+    schema = ", ".join([f"{k} long" for k in keys] + ["doc long, pos long, head long, head_pos long, last long, n long, odd long, kind int, at array<long>"])
+    arrow = pa.schema([(k, pa.int64()) for k in [*keys, "doc", "pos", "head", "head_pos", "last", "n", "odd"]] + [("kind", pa.int32()), ("at", pa.list_(pa.int64()))])
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         batches = [b for b in batches if b.num_rows]
@@ -350,19 +351,25 @@ def runs(df: DataFrame, keys: list[str], keep: str, with_keys: bool = False) ->
         good = {"any": count[run] > 1, "heads": count[run] > 1, "open": (count > 1)[run] & (odd > 0)[run], "docs": (last > head)[run], "later": doc > head[run]}[keep]
         # Rows that no other partition can change; of a large run these are nearly all.
         sure = good & (doc > head[run]) if keep in ("docs", "later", "heads") else good
-        for rows, kind in ((good & ~edge | sure, 0), (edge & ~sure, 1)):
+        rest = [(good & ~edge | sure, 0), (edge & ~sure, 1)]
+        if not with_keys:  # what nobody reads isn't written: a row for each doc
+            settled = np.flatnonzero(rest.pop(0)[0])
+            settled = settled[np.argsort(doc[settled], kind="stable")]
+            d, p = doc[settled], pos[settled]
+            first = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]])) if len(d) else np.zeros(0, np.int64)
+            none = pa.nulls(len(first), pa.int64())
+            lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(d)), pa.int32()), pa.array(p))
+            yield pa.RecordBatch.from_arrays([*[none] * len(keys), pa.array(d[first]), *[none] * 6, pa.array(np.zeros(len(first), np.int32)), lists], schema=arrow)
+        for rows, kind in rest:
             at = np.flatnonzero(rows)
             for i in range(0, len(at), 200_000):
                 j = at[i : i + 200_000]
                 r = run[j]
                 given = [*(c[j] for c in columns), *(x[r] for x in (head, head_pos, last, count, odd))]
-                if kind == 0 and not with_keys:  # what nobody reads isn't written
-                    zero = np.zeros(len(j), np.int64)
-                    given = [zero] * len(keys) + given[len(keys) : len(keys) + 2] + [zero] * 5
-                yield pa.RecordBatch.from_arrays([*map(pa.array, given), pa.array(np.full(len(j), kind, np.int32))], schema=arrow)
+                yield pa.RecordBatch.from_arrays([*map(pa.array, given), pa.array(np.full(len(j), kind, np.int32)), pa.nulls(len(j), arrow.field("at").type)], schema=arrow)
         ends = np.unique([0, len(begin) - 1])
         at = begin[ends]
-        yield pa.RecordBatch.from_arrays([*(pa.array(c[at]) for c in columns), *(pa.array(x[ends]) for x in (head, head_pos, last, count, odd)), pa.array(np.full(len(at), 2, np.int32))], schema=arrow)
+        yield pa.RecordBatch.from_arrays([*(pa.array(c[at]) for c in columns), *(pa.array(x[ends]) for x in (head, head_pos, last, count, odd)), pa.array(np.full(len(at), 2, np.int32)), pa.nulls(len(at), arrow.field("at").type)], schema=arrow)
 
     found = staged(df.repartitionByRange(n, *keys, "doc", "pos").mapInArrow(local, schema))
     remove(spark, path)  # nothing reads the rows again
@@ -375,7 +382,9 @@ def runs(df: DataFrame, keys: list[str], keep: str, with_keys: bool = False) ->
     )
     pending = found.filter("kind = 1").select(*keys, "doc", "pos").join(F.broadcast(edges) if n <= BROADCAST_PARTITIONS else edges.hint("merge"), keys)
     pending = pending.filter({"any": "n > 1", "heads": "n > 1", "open": "n > 1 AND odd > 0", "docs": "last > head", "later": "doc > head"}[keep])
-    out = [*keys, "doc", "pos", "head", "head_pos"] if with_keys else ["doc", "pos"]
+    if not with_keys:
+        return found.filter("kind = 0").select("doc", "at").unionByName(pending.select("doc", F.array("pos").alias("at")))
+    out = [*keys, "doc", "pos", "head", "head_pos"]
     return found.filter("kind = 0").select(out).unionByName(pending.select(out))
 
 
@@ -441,4 +450,4 @@ def representatives(table: DataFrame) -> DataFrame:
 
 def by_doc(rows: DataFrame, name: str) -> DataFrame:
     """One row for each doc with its positions: as many as its text has at most."""
-    return rows.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list("pos").alias(name))
+    return rows.groupBy(F.col("doc").alias("doc_id")).agg(F.flatten(F.collect_list("at")).alias(name))

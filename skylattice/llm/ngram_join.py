@@ -2,9 +2,10 @@
 
 Two sets with Jaccard similarity t share an item among the first n - ceil(t n) + 1
 of each, in any order common to all sets.  The order here puts rare items first:
-heavy items (``HEAVY_SHARE``) last by their own counts, all others by the count of
-their slot (a table of ``SLOTS`` counts over all documents, of fixed size), ties by
-hash.  The order decides what is compared, never what links.
+by the count of the item's slot (a table of ``SLOTS`` counts over all documents, of
+fixed size), ties by hash.  An item stands out of its slot once its count is above
+the square root of the slot's, so frequent items come last at any size of input.
+The order decides what is compared, never what links.
 
 * Documents with equal sets are one; documents with equal prefix and size form a
   group, which stands in the join as one entry for each item of its prefix.
@@ -28,6 +29,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,13 +38,10 @@ from . import common
 
 WORDS = 5
 PERCENT = 80
-SLOT_BITS = 16
+SLOT_BITS = 20
 SLOTS = 1 << SLOT_BITS
-#: An item is heavy if it makes up this share of all, so there are as many heavy
-#: items at most as one divided by it.  Those with fewer than ``LOCAL`` among the
-#: ``AT_ONCE`` items that a task counts at a time aren't reported.
-HEAVY_SHARE = 1 / 500_000
-LOCAL, AT_ONCE = 4, 4_000_000
+#: Slots in a row of the count table while it is summed.
+BLOCK_SLOTS = 1 << 12
 #: Runs of more groups than this are compared block by block within tasks.
 SMALL_RUN = 32
 BLOCK = 128
@@ -74,62 +74,39 @@ def summary(words: int):
     return run
 
 
-class Order:
-    """An order of items: rare ones first."""
+def slot_of(items: np.ndarray) -> np.ndarray:
+    return (items >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
-    def __init__(self, slots: np.ndarray, heavy: np.ndarray, counts: np.ndarray):
-        """``heavy`` is sorted, and has an item for each of ``counts``."""
-        self.slots, self.heavy, self.counts = slots, heavy, counts
 
-    def of(self, items: np.ndarray) -> np.ndarray:
-        slot = self.slots[(items >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]
-        if not len(self.heavy):
-            return slot
-        at = np.minimum(np.searchsorted(self.heavy, items), len(self.heavy) - 1)
-        return np.where(self.heavy[at] == items, self.counts[at] + (1 << 48), slot)
+def slot_counts(sets: DataFrame, words: int) -> np.ndarray:
+    """How many sets have an item of each slot: ``SLOTS`` numbers for any input.
+    Tables of tasks are summed in two steps, so no step has more than some."""
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SLOTS, np.uint64)
+        for _, texts in common.unpacked(batches):
+            total += np.bincount(slot_of(shingles(texts, words)[0]), minlength=SLOTS).astype(np.uint64)
+        if total.any():
+            parts = total.reshape(-1, BLOCK_SLOTS)
+            salt = np.full(len(parts), TaskContext.get().partitionId() % 64, np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts), dtype=np.int32)), pa.array(salt), pa.array([zstandard.compress(p.tobytes(), 1) for p in parts], pa.binary())], ["block", "salt", "n"])
 
-def item_order(sets: DataFrame, words: int) -> Order:
-    """How many sets have an item of each slot, ``SLOTS`` numbers for any input, and
-    the counts of heavy items, one divided by ``HEAVY_SHARE`` at most."""
-    block = 1024
+    def add(rows: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(zstandard.decompress(x.as_py()), np.uint64) for x in rows.column("n"))
+        return pa.table([rows.column("block").slice(0, 1), rows.column("salt").slice(0, 1), pa.array([zstandard.compress(total.tobytes(), 1)], pa.binary())], ["block", "salt", "n"])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SLOTS, np.int64)
-        held: list[np.ndarray] = []
+    schema = "block int, salt int, n binary"
+    tables = sets.mapInArrow(count, schema).groupBy("block", "salt").applyInArrow(add, schema).groupBy("block").applyInArrow(add, schema)
+    out = np.zeros((SLOTS // BLOCK_SLOTS, BLOCK_SLOTS), np.int64)
+    for r in tables.collect():
+        out[r.block] = np.frombuffer(zstandard.decompress(bytes(r.n)), np.uint64)
+    return out.reshape(-1)
 
-        def repeated() -> pa.RecordBatch:
-            item, n = np.unique(np.concatenate([*held, np.zeros(0, np.uint64)]), return_counts=True)
-            item, n = item[n >= LOCAL], n[n >= LOCAL]
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.nulls(len(n), pa.int64()), pa.nulls(len(n), pa.list_(pa.int64())), pa.array(item.view(np.int64)), pa.array(n.astype(np.int64))], ["block", "n", "item", "count"])
 
-        for _, texts in common.unpacked(batches):
-            held.append(shingles(texts, words)[0])
-            total += np.bincount((held[-1] >> np.uint64(64 - SLOT_BITS)).astype(np.int64), minlength=SLOTS)
-            if sum(map(len, held)) >= AT_ONCE:
-                yield repeated()
-        yield repeated()
-        parts = total.reshape(-1, block)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts))), pa.array(list(parts), pa.list_(pa.int64())), pa.nulls(len(parts), pa.int64()), pa.nulls(len(parts), pa.int64())], ["block", "n", "item", "count"])
-
-    counted = common.staged(sets.mapInArrow(count, "block long, n array<long>, item long, count long"))
-    parts = counted.filter("block IS NOT NULL").selectExpr("block", "posexplode(n) AS (at, n)")
-    rows = parts.groupBy("block", "at").agg(F.sum("n").alias("n")).groupBy("block").agg(F.array_sort(F.collect_list(F.struct("at", "n"))).alias("n")).collect()
-    slots = np.zeros((SLOTS // block, block), np.int64)
-    for r in rows:
-        slots[r.block] = [x.n for x in r.n]
-    items = counted.filter("item IS NOT NULL").groupBy("item").agg(F.sum("count").alias("count"))
-    heavy = items.filter(F.col("count") >= float(max(slots.sum() * HEAVY_SHARE, LOCAL))).toArrow()
-    item = heavy.column("item").to_numpy().view(np.uint64)
-    by = np.argsort(item)
-    return Order(slots.reshape(-1), item[by], heavy.column("count").to_numpy()[by])
-
-
-def _prefixes(texts: list[bytes], words: int, percent: int, order: Order) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def _prefixes(texts: list[bytes], words: int, percent: int, counts: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(index, items in order, those of them in the prefix) of each text with items."""
     item, doc, first = shingles(texts, words)
-    item = item[np.lexsort((item, order.of(item), doc))]
+    item = item[np.lexsort((item, counts[slot_of(item)], doc))]
     for i, (a, z) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
         if z > a:
             yield i, item[a:z], item[a : a + (z - a) - -(-percent * (z - a) // 100) + 1]
@@ -225,8 +202,8 @@ def _near_duplicates(docs: DataFrame, words: int, percent: int, key: str, text:
     table = common.packed_table(docs, summary(words), key, text)
     reps = common.representatives(table.filter("size > 0")).select("doc_id")
     sets = table.select("doc_id", "packed").join(reps.hint("merge"), "doc_id")
-    # Of bounded size, whatever the input.
-    counts = docs.sparkSession.sparkContext.broadcast(item_order(sets, words))
+    # Of fixed size, whatever the input.
+    counts = docs.sparkSession.sparkContext.broadcast(slot_counts(sets, words))
 
     def group_info(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in common.unpacked(batches):

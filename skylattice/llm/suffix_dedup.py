@@ -196,10 +196,10 @@ def _suffix_dedup(docs: DataFrame, length: int, key: str, text: str, texts_too:
 
     table_once = first.select("doc_id")
     anchors = common.staged(common.by_doc(common.runs(level(table_once, find_anchors(length)), KEYS, "any"), "at"))
-    found = common.staged(common.runs(level(anchors, test_steps(length)), KEYS, "any").select("doc", "pos"))
+    found = common.staged(common.runs(level(anchors, test_steps(length)), KEYS, "any"))
     cores = level(anchors.join(common.by_doc(found, "found"), "doc_id", "left"), test_cores(length))
     cores = common.by_doc(common.runs(cores, KEYS, "open"), "at")
-    between = common.runs(level(cores, test_between(length)), KEYS, "any").select("doc", "pos")
+    between = common.runs(level(cores, test_between(length)), KEYS, "any")
     spans = common.by_doc(found.unionByName(between), "at")
     done = table.select("doc_id", "id", "packed").join(first, "doc_id", "left").join(spans, "doc_id", "left")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_bytes binary" * texts_too

@@ -130,13 +130,14 @@ def test_nothing_is_left_behind(spark):
     assert {t.name for t in spark.catalog.listTables()} == before and got.count() == 60
 
 
-@pytest.mark.parametrize("share", [0.0, 1.0])
-def test_heavy_items_change_no_result(spark, monkeypatch, share):
-    monkeypatch.setattr(ngram_join, "HEAVY_SHARE", share)
-    monkeypatch.setattr(ngram_join, "LOCAL", 2)
-    monkeypatch.setattr(ngram_join, "AT_ONCE", 50)
-    docs = made(9)
-    assert sorted(tuple(r) for r in ngram_join.near_duplicates(frame(spark, docs), 3, 60).collect()) == sorted(near(docs, 3, 60))
+def test_slot_counts(spark):
+    """Of all sets, whatever the number of tasks."""
+    docs = [(i, t) for i, t in made(9) if t]
+    texts = [t.encode() for _, t in docs]
+    want = ngram_join.np.bincount(ngram_join.slot_of(ngram_join.shingles(texts, 3)[0]), minlength=ngram_join.SLOTS)
+    for n in (1, 7):
+        table = common.packed_table(frame(spark, docs).repartition(n), ngram_join.summary(3))
+        assert (ngram_join.slot_counts(table.select("doc_id", "packed").repartition(n), 3) == want).all()
 
 
 def test_long_text(spark):
