@@ -342,3 +342,16 @@ def _near_duplicates(docs: DataFrame, words: int, percent: int, key: str, text:
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(common.documents(spark, sf_dir))
+
+
+SQL = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[i : i + {WORDS - 1}], ' ') AS g FROM d, unnest(range(1, greatest(len(ws) - {WORDS - 2}, 2))) AS t(i) WHERE len(ws) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both_have FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * both_have >= {PERCENT} * (x.n + y.n - both_have)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+c(doc_id, root) AS (SELECT doc_id, doc_id FROM d UNION SELECT c.doc_id, e.b FROM c JOIN e ON e.a = c.root),
+m AS (SELECT doc_id, min(root) AS component_id FROM c GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM m LEFT JOIN n USING (doc_id)
+"""

@@ -25,4 +25,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": exact_dedup.SQL, "op3_lm_score": lm_score.SQL, "op6_substring_dedup": substring_dedup.SQL, "op7_quality_rules": quality.SQL}
+    return {
+        "op1_exact_dedup": exact_dedup.SQL,
+        "op3_lm_score": lm_score.SQL,
+        "op4_suffix_dedup": suffix_dedup.SQL,
+        "op6_substring_dedup": substring_dedup.SQL,
+        "op7_quality_rules": quality.SQL,
+        "op8_ngram_join": ngram_join.SQL,
+    }

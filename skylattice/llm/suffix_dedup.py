@@ -208,3 +208,18 @@ def _suffix_dedup(docs: DataFrame, length: int, key: str, text: str, texts_too:
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(common.documents(spark, sf_dir), texts_too=False)
+
+
+SQL = f"""
+WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT doc_id, i, md5_number(substr(h, 2 * i + 1, {2 * LENGTH})) AS m FROM h, unnest(range(0, n - {LENGTH - 1})) AS t(i)),
+s AS (SELECT doc_id, i FROM w SEMI JOIN (SELECT m FROM w GROUP BY m HAVING count(*) > 1) USING (m)),
+g AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= {LENGTH} THEN 0 ELSE 1 END AS new_run FROM s),
+k AS (SELECT doc_id, i, sum(new_run) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM g),
+r AS (SELECT doc_id, min(i) AS a, max(i) + {LENGTH} AS z FROM k GROUP BY doc_id, k),
+x AS (SELECT doc_id, count(*) AS n_spans, sum(z - a) AS n_removed, [0] || list(z ORDER BY a) AS begins, list(a ORDER BY a) AS ends FROM r GROUP BY doc_id),
+o AS (SELECT doc_id, h, n, coalesce(n_spans, 0) AS n_spans, coalesce(n_removed, 0) AS n_removed, coalesce(begins, [0]) AS begins, list_append(coalesce(ends, []), n) AS ends FROM h LEFT JOIN x USING (doc_id))
+SELECT doc_id, n AS n_bytes, CAST(n_removed AS BIGINT) AS n_removed, CAST(n_spans AS BIGINT) AS n_spans,
+       sha256(unhex(array_to_string(list_transform(range(1, len(begins) + 1), lambda k: substr(h, 2 * begins[k] + 1, 2 * (ends[k] - begins[k]))), ''))) AS kept_sha256
+FROM o
+"""
