@@ -25,6 +25,9 @@ class Rules:
     min_words_unended: int = 5
     #: A line fails if more than this share of its words carry symbols.
     max_symbol_words: float = 0.3
+    #: Words of a line that one boilerplate phrase speaks for: a line fails if its
+    #: phrases speak for all of it, so one phrase doesn't fail a paragraph.
+    words_a_phrase: int = 12
     #: A document is rejected if it loses more than this share of its characters.
     max_lost: float = 0.5
     stop: str = r"""[.!?…。！？:;,][\x22'”’»)\]]*\s*$"""
@@ -78,7 +81,7 @@ def line_verdicts(text: Column, rules: Rules = RULES) -> Column:
         low = F.lower(line)
         why = (
             F.when(n == 0, F.lit(None).cast("string"))
-            .when(low.rlike(rules.boilerplate), "boilerplate")
+            .when(rules.words_a_phrase * F.regexp_count(low, F.lit(rules.boilerplate)) >= n, "boilerplate")
             .when(low.rlike(rules.navigation), "navigation")
             .when((n < rules.min_words_unended) & ~line.rlike(rules.stop), "punctuation")
             .when(odd > rules.max_symbol_words * n, "symbols")
@@ -152,7 +155,7 @@ l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d),
 v AS (SELECT doc_id, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n,
              len(regexp_extract_all(line, '[#*$%&|<>][^\x20\x09-\x0D]*')) AS odd FROM l),
 s AS (SELECT doc_id, sum(length(line)) + count(*) - 1 AS stay FROM v
-      WHERE n = 0 OR NOT (regexp_matches(lower(line), {q(rules.boilerplate)}) OR regexp_matches(lower(line), {q(rules.navigation)})
+      WHERE n = 0 OR NOT ({rules.words_a_phrase} * len(regexp_extract_all(lower(line), {q(rules.boilerplate)})) >= n OR regexp_matches(lower(line), {q(rules.navigation)})
         OR (n < {rules.min_words_unended} AND NOT regexp_matches(line, {q(rules.stop)})) OR odd > {rules.max_symbol_words} * n)
       GROUP BY doc_id),
 m AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, length(t) AS n_all,

@@ -65,3 +65,13 @@ def test_no_python_and_no_shuffle(spark, sf_dir):
 
 def test_empty_table(spark):
     assert quality.quality(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_one_phrase_does_not_fail_a_paragraph(spark):
+    """It speaks for a dozen words of its line."""
+    clean = " ".join(f"word{i} stands" for i in range(62))
+    rows = [(1, f"{clean} and she learned JavaScript last year."), (2, f"{clean}.\nShe learned JavaScript last year."), (3, "All rights reserved. " + "Privacy policy and terms of use apply. " * 3)]
+    got = {r.doc_id: r for r in quality.quality(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1].kept and got[1].clean_text == rows[0][1]
+    assert got[2].kept and got[2].clean_text == f"{clean}."
+    assert got[3].clean_text == ""
