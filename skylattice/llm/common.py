@@ -74,13 +74,14 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 @contextmanager
-def _freeing_shuffles(spark: SparkSession) -> Iterator[None]:
-    before = spark.conf.get(_CLEANUP)
-    spark.conf.set(_CLEANUP, "true")
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """Within it, the session has this setting."""
+    before = spark.conf.get(name)
+    spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(_CLEANUP, before)
+        spark.conf.set(name, before)
 
 
 def staged(df: DataFrame) -> DataFrame:
@@ -90,7 +91,7 @@ def staged(df: DataFrame) -> DataFrame:
 
 
 def _staged_at(df: DataFrame, path: str) -> DataFrame:
-    with _freeing_shuffles(df.sparkSession):
+    with setting(df.sparkSession, _CLEANUP, "true"):
         df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -134,7 +135,7 @@ def bucketed_and_plain(df: DataFrame, key: str, in_place: bool = False) -> tuple
     name = f"scratch_{uuid.uuid4().hex}"
     if _scopes.get():
         _scopes.get()[-1].append(("table", name))
-    with _freeing_shuffles(spark):
+    with setting(spark, _CLEANUP, "true"):
         (
             (df if in_place else df.repartition(n, key))
             .write.bucketBy(n, key)

@@ -38,6 +38,8 @@ BUCKET_BYTES = 32 << 20
 #: one divided by it.  A chunk of texts reports those it has this share of itself.
 HOT_SHARE = 1 / 4096
 MICRO = 1_000_000
+#: A small map before the large one, which n-grams are too many for.
+TWO_LEVEL = "spark.sql.codegen.aggregate.map.twolevel.enabled"
 
 
 def micro(x: Column) -> Column:
@@ -169,9 +171,11 @@ def _lm_score(docs: DataFrame, order: int, key: str, text: str) -> DataFrame:
     rows = rows.select(F.col(row).alias("doc"), "id", "text")
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """N-grams that a chunk has often; with a null key, its words."""
         for _, texts in common.text_chunks(batches, "text"):
             keys, _, _, only = entries(texts, order)
             yield _pairs(*often(np.concatenate([keys, only]), HOT_SHARE))
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([sum(len(x.split()) for x in texts)], pa.int64())], ["key", "n"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(hot.value.keys), np.int64)
@@ -213,21 +217,22 @@ def _lm_score(docs: DataFrame, order: int, key: str, text: str) -> DataFrame:
 
         return run
 
-    found = rows.mapInArrow(candidates, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    found = common.staged(rows.mapInArrow(candidates, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")))
+    words = sum(r.n for r in found.filter("key IS NULL").collect())
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).collect()[0][0]
     # At most one divided by the share: what chunks report is no more than there is.
-    n_grams = rows.agg(F.coalesce(F.sum(F.regexp_count(F.col("text"), F.lit(r"[^\x20\x09-\x0D]+"))), F.lit(0)).alias("n")).collect()[0].n * order
-    hot = spark.sparkContext.broadcast(Hot(found.filter(F.col("n") >= float(n_grams * HOT_SHARE)).toArrow()))
+    hot = found.filter(F.col("key").isNotNull() & (F.col("n") >= float(words * order * HOT_SHARE)))
+    hot = spark.sparkContext.broadcast(Hot(hot.toArrow()))
     hot = spark.sparkContext.broadcast(Hot(rows.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()))
     buckets = common.partitions(spark, size, PASSES * BUCKET_BYTES)
     sized = common.staged(rows.mapInArrow(begin, "doc long, id long, n_words long, score long"))
     parts = sized.select("doc", "score")
     for this in range(PASSES):
         sent = rows.mapInArrow(packed(this), "bucket int, keys array<long>, docs array<long>, signs array<int>")
-        parts = parts.unionByName(common.staged(joined(sent, buckets)))
+        with common.setting(spark, TWO_LEVEL, "false"):
+            parts = parts.unionByName(common.staged(joined(sent, buckets)))
     summed = parts.groupBy("doc").agg(F.sum("score").alias("score"))
     out = sized.select("doc", "id", "n_words").join(summed.hint("merge"), "doc")
-    words = n_grams // order
     score = F.col("score") - F.when(F.col("n_words") > 0, micro(F.lit(float(max(words, 1))))).otherwise(F.lit(0))
     mean = F.when(F.col("n_words") > 0, score / F.lit(float(MICRO)) / F.col("n_words"))
     return out.select(F.col("id").alias("doc_id"), "n_words", score.alias("log_score_micro"), mean.alias("mean_log_score"))
