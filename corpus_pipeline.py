@@ -61,8 +61,9 @@ def _first_of_each(docs: DataFrame, rows: DataFrame, row: str, first: DataFrame)
 
 STAGES = [("quality_rules", quality_rules), ("exact_dedup", exact), ("ngram_join", near), ("pii", private), ("packing", packed)]
 
-#: PII's surrogates come from a keyed digest, which SQL can't express; tests hold
-#: the stages against brute force.
+#: PII's surrogates come from a keyed digest, which SQL can't express.  Tests hold
+#: the dedup stages against brute force, and the others against their operators,
+#: which have SQL or a brute-force test of their own.
 ORACLE_SQL = None
 
 
