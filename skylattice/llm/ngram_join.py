@@ -331,9 +331,11 @@ def _near_duplicates(docs: DataFrame, words: int, percent: int, key: str, text:
     # Back to all rows: only sets with copies or links need a look-up.
     kinds = table.filter("size > 0").groupBy("digest").agg(F.min("doc_id").alias("doc"), F.count(F.lit(1)).alias("copies"))
     kinds = kinds.join(comps.hint("merge"), "doc", "left").filter("copies > 1 OR comp IS NOT NULL")
-    kinds = kinds.select("digest", F.coalesce("comp", "doc").alias("comp"))
-    # The component's least row by its own key.
+    kinds = common.staged(kinds.select("digest", F.coalesce("comp", "doc").alias("comp")))
+    # The component's least row by its own key; looked up once for each component,
+    # so that Spark can split the join of one that many sets belong to.
     names = table.select(F.col("doc_id").alias("comp"), F.col("id").alias("component_id"))
+    names = common.staged(kinds.select("comp").distinct().hint("merge").join(names, "comp"))
     kinds = common.staged(kinds.join(names.hint("merge"), "comp"))
     out = table.select("id", "digest", "size").join(kinds.hint("merge"), "digest", "left")
     comp = F.when(F.col("comp").isNotNull(), F.col("component_id")).otherwise(F.col("id"))
