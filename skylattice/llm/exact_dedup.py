@@ -50,10 +50,19 @@ class DigestIndex:
     def batches(self) -> int:
         return self.rows().select("batch").distinct().count()
 
+    def location(self) -> str:
+        return {r.col_name: r.data_type for r in self.spark.sql(f"DESCRIBE TABLE EXTENDED {self.name}").collect()}["Location"]
+
+    def drop(self) -> None:
+        """Removes the index; results of ``dedup`` stay."""
+        location = self.location()
+        self.spark.sql(f"DROP TABLE {self.name}")
+        common.remove(self.spark, location)
+
     def compact(self) -> None:
         """Writes the index anew with one sorted file in each bucket, and takes
         the new table in place of the old one."""
-        location = {r.col_name: r.data_type for r in self.spark.sql(f"DESCRIBE TABLE EXTENDED {self.name}").collect()}["Location"]
+        location = self.location()
         new = f"{self.name}_{uuid.uuid4().hex}"
         self._write(self.rows().repartition(self.buckets, "digest").sortWithinPartitions("digest"), new)
         self.spark.sql(f"DROP TABLE {self.name}")
@@ -114,9 +123,18 @@ def new_index(spark: SparkSession) -> DigestIndex:
     return DigestIndex(spark, f"digests_{uuid.uuid4().hex}", common.scratch_dir(spark))
 
 
+def once(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """As ``dedup``, by an index that only this call has."""
+    index = new_index(docs.sparkSession)
+    try:
+        return index.dedup(docs, "once", key)
+    finally:
+        index.drop()
+
+
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All of ``documents`` as the first batch of a new index."""
-    return new_index(spark).dedup(common.documents(spark, sf_dir), "documents")
+    return once(common.documents(spark, sf_dir))
 
 
 SQL = r"""

@@ -19,8 +19,31 @@ def test_batches_against_the_index(spark):
 
 
 def test_index_is_bucketed_and_not_shuffled(spark):
+    """Whatever a batch is joined for, only the batch moves."""
     index = exact_dedup.new_index(spark)
     index.dedup(spark.createDataFrame([(1, "x")], "doc_id long, text string"), "a")
-    new = spark.createDataFrame([(b"q",)], "digest binary").repartition(index.buckets, "digest")
-    plan = new.join(index.rows().hint("merge"), "digest", "left_anti")._jdf.queryExecution().executedPlan().toString()
-    assert "SortMergeJoin" in plan and plan.count("Exchange hashpartitioning") == 1
+    groups = spark.createDataFrame([(b"q", 1, 1)], "digest binary, first_id long, group_size long")
+    for joined in (index.fresh(groups, "b"), index.known(groups)):
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan
+
+
+def test_compaction_and_drop(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup.DigestIndex, "COMPACT_AFTER", 2)
+    index = exact_dedup.new_index(spark)
+    for n in range(5):
+        df = spark.createDataFrame([(10 * n + k, f"text {k * (n + 1)}") for k in range(4)], "doc_id long, text string")
+        index.dedup(df, f"batch {n}")
+    texts = {f"text {k * (n + 1)}" for k in range(4) for n in range(5)}
+    assert index.rows().count() == len(texts)
+    again = exact_dedup.DigestIndex(spark, index.name, "unused", 3)
+    assert again.buckets == index.buckets
+    assert rows(again.dedup(spark.createDataFrame([(99, "text 1")], "doc_id long, text string"), "z")) == [(99, 1, 1, False)]
+    index.drop()
+    assert not spark.catalog.tableExists(index.name)
+
+
+def test_long_text(spark):
+    long = "word  " * 300_000
+    df = spark.createDataFrame([(1, long), (2, long.replace("  ", "\t"))], "doc_id long, text string")
+    assert rows(exact_dedup.once(df)) == [(1, 1, 2, True), (2, 1, 2, False)]
