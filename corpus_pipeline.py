@@ -29,7 +29,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each text."""
     rows, row = common.numbered(docs, "doc_id")
-    return _first_of_each(docs, rows, row, exact_dedup.new_index(spark).dedup(rows, "pipeline", key=row).filter("kept"))
+    return _first_of_each(docs, rows, row, exact_dedup.once(rows, row).filter("kept"))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
