@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, lm_score, ngram_join, packing, pii, quality, substring_dedup, suffix_dedup
+from . import bpe, exact_dedup, lm_score, ngram_join, packing, phrases, pii, quality, spelling, substring_dedup, suffix_dedup, token_file
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_ngram_join": ngram_join.op8_ngram_join,
         "op9_best_fit_packing": packing.op9_best_fit_packing,
         "op10_token_counts": bpe.op10_token_counts,
+        "op11_token_files": token_file.op11_token_files,
+        "op12_phrases": phrases.op12_phrases,
+        "op13_spelling": spelling.op13_spelling,
     }
 
 
@@ -32,4 +35,6 @@ def oracle_sql() -> dict[str, str]:
         "op6_substring_dedup": substring_dedup.SQL,
         "op7_quality_rules": quality.SQL,
         "op8_ngram_join": ngram_join.SQL,
+        "op12_phrases": phrases.SQL,
+        "op13_spelling": spelling.SQL,
     }
