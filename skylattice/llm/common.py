@@ -401,7 +401,8 @@ def numbered(docs: DataFrame, key: str) -> tuple[DataFrame, str]:
     if odd.isEmpty():
         return docs, key
     row = free_name(docs, "_row")
-    return staged(docs.orderBy(F.col(key).asc_nulls_last()).withColumn(row, F.monotonically_increasing_id())), row
+    # The second key lets a range end among rows of one key, so these spread out.
+    return staged(docs.orderBy(F.col(key).asc_nulls_last(), F.rand(7)).withColumn(row, F.monotonically_increasing_id())), row
 
 
 def packed_table(docs: DataFrame, summary, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -22,6 +22,8 @@ from . import common
 SIZES = (512, 1024, 2048, 4096)
 #: Items packed together; bins of different shards aren't filled up with each other's.
 SHARD = 20_000
+#: Equal rows that are dealt together at first.
+RUN = 10_000
 #: The cost of a sequence: a fixed part, its length, and its length squared over this.
 FIXED, SQUARE = 16.0, 65_536.0
 
@@ -94,21 +96,27 @@ def best_fit(docs: DataFrame, length: Column, sizes: Sequence[int] = SIZES, shar
     A row longer than the largest size is cut into pieces of that size and a
     rest; ``start`` is where a piece begins.  Every row has a piece 0, also those
     of length 0 or null (taken as 0).  ``bin`` is unique.  Repeated rows are
-    packed each and null keys are kept; rows are dealt by their key and place in
-    the table, so that many of one key don't meet in one shard.  An empty table gives no rows; other
-    columns aren't carried.  Which bin a row gets depends on the rows of its shard
-    only.
+    packed each and null keys are kept.  Rows are dealt by key, length and, of equal
+    rows, a running number: many of one key don't meet in one shard, and the same
+    rows are packed alike however they lie in files.  An empty table gives no rows;
+    other columns aren't carried.  The number of shards follows from that of all
+    pieces; which bin a row gets depends on that number and the rows of its shard.
     """
     largest = max(sizes)
     spark = docs.sparkSession
     items = docs.select(F.col(key).alias("doc_id"), F.greatest(F.coalesce(length, F.lit(0)), F.lit(0)).cast("long").alias("total"))
+    # Equal rows are counted, then made again in runs of bounded length.
+    run_of = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(RUN).cast("long"))).alias("first")
+    items = items.groupBy("doc_id", "total").agg(F.count(F.lit(1)).alias("n")).select("doc_id", "total", "n", run_of)
+    items = items.repartition(common.partitions(spark), "doc_id", "total", "first")
+    items = items.select("doc_id", "total", F.explode(F.sequence(F.col("first"), F.least(F.col("first") + RUN, F.col("n")) - 1)).alias("nth"))
     pieces = F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("total") / largest) - 1, F.lit(0)).cast("int"))).alias("piece")
-    items = common.staged(items.select("doc_id", "total", pieces).select("doc_id", "piece", (F.col("piece").cast("long") * largest).alias("start"), F.least(F.col("total") - F.col("piece").cast("long") * largest, F.lit(largest).cast("long")).alias("length")))
+    items = common.staged(items.select("doc_id", "total", "nth", pieces).select("doc_id", "total", "nth", "piece", (F.col("piece").cast("long") * largest).alias("start"), F.least(F.col("total") - F.col("piece").cast("long") * largest, F.lit(largest).cast("long")).alias("length")))
     shards = max(1, -(-items.count() // shard))
-    items = items.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", F.monotonically_increasing_id()), F.lit(shards)))
+    items = items.withColumn("shard", F.pmod(F.xxhash64("doc_id", "total", "nth", "piece"), F.lit(shards))).drop("total", "nth")
 
     def run(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by([("doc_id", "ascending"), ("piece", "ascending")])
+        rows = rows.sort_by([("doc_id", "ascending"), ("piece", "ascending"), ("length", "ascending")])
         bins, offsets, final = pack(rows.column("length").to_numpy(), sizes)
         used = np.bincount(bins, weights=rows.column("length").to_numpy(), minlength=len(final)).astype(np.int64)
         base = int(rows.column("shard")[0].as_py()) << 32

@@ -5,7 +5,8 @@ without case, the parts of a name without title.  Each identity of all documents
 surrogate made from a keyed digest, of the same kind, script and gender, which
 every mention shows in its own format; so texts stay natural and what referred to
 the same still does.  Surrogates that two identities share, or that are somebody's
-real identity, are found by joins and drawn again until all are distinct.  Only
+real identity, are found by joins and drawn again until all are distinct; where a
+format is too small for that, a keyed permutation of its words is taken.  Only
 documents that have mentions are moved; all others pass as they are.
 """
 
@@ -14,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import hmac
 import ipaddress
+import math
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
@@ -83,7 +85,7 @@ PATTERNS = {
 }
 GENDER = {t: g for g, ts in TITLES.items() for t in ts}
 GENDER_OF_NAME = {n.lower(): g for genders in GIVEN.values() for g, names in genders.items() for n in names}
-#: Tries that keep every detail of the format; later ones may change less visible ones.
+#: Tries in which a secret or the local part of an address keeps its length.
 STRICT_TRIES = 6
 
 
@@ -256,51 +258,177 @@ def _name(s: Stream, kind: str, part: str, attempt: int) -> str:
     return head[:cut].lower() + "".join(s.pick(SYLLABLES[script]) for _ in range(attempt)) + tail[cut - 1 :].lower()
 
 
+DIGITS, LOW, UP = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+#: Kinds of a fixed format.
+FIXED = ("phone", "card", "ssn", "ip", "iban")
+
+
+def form(kind: str, identity: str) -> tuple[str, list[str]] | None:
+    """Of kinds whose numbers have a fixed format: its name, and the letters that each
+    free place may have.  All identities of a form are its words, so a permutation of
+    these maps them one to one; forms have no word in common.  None for other kinds,
+    whose surrogates can always be made longer."""
+    if kind not in FIXED:
+        return None
+    if kind == "phone":
+        head = identity[:3] if identity[0] == "+" else ""
+        rest = identity[len(head) :]
+        # No area or exchange begins with 0 or 1 where numbers have ten digits.
+        part = lambda i, d: ("23456789" if d in "23456789" else "01") if i == 0 or i == 3 and len(rest) == 10 else DIGITS
+        places = [part(i, d) for i, d in enumerate(rest)]
+        return f"phone {head} " + " ".join(p if len(p) < 10 else "d" for p in places), places
+    if kind == "card":
+        return f"card {len(identity)} {identity[0]}", [DIGITS] * (len(identity) - 2)
+    if kind == "ssn":
+        return "ssn", [DIGITS] * 9
+    if kind == "ip":
+        fixed, places = _octets(identity)
+        return f"ip {fixed} {' '.join(str(len(x)) for x in identity.split('.'))} {_is_private(identity)}", places
+    places = [DIGITS if c.isdigit() else UP for c in identity[4:]]
+    return f"iban {identity[:2]} " + "".join("9" if p is DIGITS else "A" for p in places), places
+
+
+def _is_private(ip: str) -> bool:
+    return ipaddress.ip_address(ip).is_private
+
+
+def _octets(ip: str) -> tuple[str, list]:
+    """What stays of an address, and the numbers that its other parts may be."""
+    old = ip.split(".")
+    fixed = {"10": 1, "172": 2, "192": 2, "127": 1}.get(old[0], 0) if _is_private(ip) else 0
+    return ".".join(old[:fixed]), [{1: range(10), 2: range(10, 100), 3: range(100, 256)}[len(o)] for o in old[fixed:]]
+
+
+def number_of(kind: str, identity: str) -> int:
+    """The place of an identity among the words of its form."""
+    _, places = form(kind, identity)
+    free = {"card": identity[1:-1], "iban": identity[4:], "phone": identity[-len(places) :]}.get(kind, identity)
+    parts = [int(o) for o in identity.split(".")[-len(places) :]] if kind == "ip" else free
+    n = 0
+    for p, x in zip(places, parts, strict=True):
+        n = n * len(p) + p.index(x)
+    return n
+
+
+def word_of(kind: str, identity: str, n: int) -> str:
+    """The ``n``-th word of an identity's form."""
+    _, places = form(kind, identity)
+    parts = []
+    for p in reversed(places):
+        n, at = divmod(n, len(p))
+        parts.append(str(p[at]))
+    return _word(kind, identity, parts[::-1])
+
+
+def _word(kind: str, identity: str, parts: list[str]) -> str:
+    """The word of the identity's form that has ``parts`` in its free places."""
+    text = "".join(parts)
+    if kind == "phone":
+        return (identity[:3] if identity[0] == "+" else "") + text
+    if kind == "card":
+        return identity[0] + text + next(d for d in DIGITS if luhn_ok(identity[0] + text + d))
+    if kind == "iban":
+        return f"{identity[:2]}{98 - iban_rest(identity[:2] + '00' + text):02d}{text}"
+    if kind == "ip":
+        return ".".join([*identity.split(".")[: 4 - len(parts)], *parts])
+    return text
+
+
+def size_of(kind: str, identity: str) -> float:
+    """How many surrogates ``surrogate`` draws from for an identity of a fixed format."""
+    found = form(kind, identity)
+    if found is None:
+        return float("inf")
+    if kind == "ssn":
+        return 100 * 99 * 9999
+    return float(math.prod(len(p) for p in found[1])) / (4 if kind == "ip" else 1)  # some words are drawn for nobody
+
+
+class Permutation:
+    """A keyed permutation of 0 .. n - 1 and its inverse: Feistel rounds over the next
+    even number of bits, again until the result is below ``n``."""
+
+    def __init__(self, key: bytes, name: str, n: int):
+        self.key, self.name, self.n = key, name.encode(), n
+        self.half = max(1, -(-(n - 1).bit_length() // 2))
+
+    def _mix(self, k: int, x: int) -> int:
+        data = hmac.new(self.key, b"%d\0%d\0" % (k, x) + self.name, hashlib.sha256).digest()
+        return int.from_bytes(data, "big") & ((1 << self.half) - 1)
+
+    def _once(self, x: int, rounds) -> int:
+        a, b = x >> self.half, x & ((1 << self.half) - 1)
+        for k in rounds:
+            a, b = b, a ^ self._mix(k, b)
+        return a << self.half | b
+
+    def at(self, x: int) -> int:
+        x = self._once(x, range(8))
+        while x >= self.n:
+            x = self._once(x, range(8))
+        return x
+
+    def back(self, y: int) -> int:
+        swap = lambda v: (v & ((1 << self.half) - 1)) << self.half | v >> self.half
+        once = lambda v: swap(self._once(swap(v), reversed(range(8))))
+        y = once(y)
+        while y >= self.n:
+            y = once(y)
+        return y
+
+
+def permuted(key: bytes, kind: str, identity: str) -> str:
+    """The word of the identity's form that stands for it where the form has too few
+    words to leave all real ones out.  Distinct identities get distinct words, none
+    its own: words are in a ring in keyed order, and each gets the next.  Words that no
+    identity of the form can be (a public address that is private) are passed over."""
+    name, places = form(kind, identity)
+    n = math.prod(len(p) for p in places)
+    order = Permutation(key, name, n)
+    at = order.at(number_of(kind, identity))
+    while True:  # ends at the identity itself at the latest
+        at = (at + 1) % n
+        word = word_of(kind, identity, order.back(at))
+        if form(kind, word)[0] == name:
+            return word
+
+
 def surrogate(key: bytes, kind: str, identity: str, attempt: int) -> str:
     """The identity that stands for another one of the kind; another for each attempt."""
     s = Stream(key, kind, identity, str(attempt))
-    loose = attempt >= STRICT_TRIES
-    extra = "" if not loose else _like(s, "a" * (attempt - STRICT_TRIES + 1))
     if kind == "email":
         local, host = identity.split("@", 1)
         labels = host.split(".")
         # A host keeps one surrogate host, below a domain that is nobody's.
         h = Stream(key, "host", host)
         name = ".".join(_like(h, x) for x in labels[:-1]) or "mail"
-        return f"{_like(s, local)}{extra}@{re.sub('^-|-$', 'x', name)}.example"
+        return f"{_like(s, local)}{_like(s, 'a' * _longer(local, attempt))}@{re.sub('^-|-$', 'x', name)}.example"
     if kind == "key":
-        at = 4
-        return identity[:at] + _like(s, identity[at:])
+        return identity[:4] + _like(s, identity[4:])
     if kind == "secret":
-        return _like(s, identity) + extra
-    if kind == "iban":
-        body = _like(s, identity[4:])
-        return f"{identity[:2]}{98 - iban_rest(identity[:2] + '00' + body):02d}{body}"
+        return _like(s, identity) + _like(s, "a" * _longer(identity, attempt))
     if kind == "ssn":
         # Area numbers from 900 on are never given out.
         return f"9{s.below(100):02d}{1 + s.below(99):02d}{1 + s.below(9999):04d}"
     if kind == "ip":
-        old = identity.split(".")
-        private = ipaddress.ip_address(identity).is_private
-        fixed = {"10": 1, "172": 2, "192": 2, "127": 1}.get(old[0], 0) if private else 0
-        new = list(old[:fixed])
-        for o in old[fixed:]:
-            lo, hi = (1, 254) if loose else {1: (1, 9), 2: (10, 99), 3: (100, 254)}[len(o)]
-            new.append(str(lo + s.below(hi - lo + 1)))
-        if not private and ipaddress.ip_address(".".join(new)).is_private:
-            new[0] = str({1: 8, 2: 20, 3: 130}[len(new[0])])
-        return ".".join(new)
-    if kind == "phone":
-        head = identity[:3] if identity[0] == "+" else ""
-        rest = identity[len(head) :]
-        # No area or exchange begins with 0 or 1 where numbers have ten digits.
-        return head + "".join(s.pick("23456789" if i == 0 or i == 3 and len(rest) == 10 else "0123456789") for i in range(len(rest)))
-    if kind == "card":
-        body = identity[0] + _like(s, identity[1:-1])
-        return body + next(d for d in "0123456789" if luhn_ok(body + d))
+        places = [range(max(p[0], 1), min(p[-1], 254) + 1) for p in _octets(identity)[1]]
+        new = _word(kind, identity, [str(s.pick(p)) for p in places])
+        while _is_private(new) != _is_private(identity):
+            new = _word(kind, identity, [str(s.pick(p)) for p in places])
+        return new
+    if (found := form(kind, identity)) is not None:
+        return _word(kind, identity, [s.pick(p) for p in found[1]])
     return _name(s, kind, identity, attempt)
 
 
+def _longer(text: str, attempt: int) -> int:
+    """Letters that a surrogate has more than ``text``: none at first, so its length is
+    kept where that leaves enough to choose from."""
+    return max(0, attempt - STRICT_TRIES + 1)
+
+
 def shown(kind: str, entity: str, table: dict[tuple[str, str], str], secret: bytes) -> str:
     """The mention's surrogate in the mention's format.  ``table`` has (space,
     identity) of all that the mention has."""
@@ -337,18 +465,41 @@ SPACE = "split_part(kind, '_', 1) AS space"
 
 
 def assign(entities: DataFrame, secret: bytes, make=surrogate) -> DataFrame:
-    """kind, entity and a surrogate for each, all distinct and none a real entity
-    of its kind (all kinds of names are one).  Of entities that draw the same surrogate the least keeps it.
-    ``make`` draws as ``surrogate`` does."""
+    """kind, entity and a surrogate for each, all distinct (all kinds of names are one).
+
+    None is a real entity of its kind, but where more than a quarter of the words of a
+    fixed format are real: there surrogates are other words of the format in a keyed
+    order, each entity's other than itself (``permuted``), which is distinct without
+    any draw.  All others draw, and those that meet a real entity or another's surrogate
+    draw again; of entities that draw the same the least keeps it.  At least half of
+    what a format has is free, or surrogates grow by a letter or syllable, so at least
+    half of those left settle in a round on average.  ``make`` draws as ``surrogate`` does.
+    """
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             new = [make(secret, k, e, a) for k, e, a in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(new, pa.string()), b.column(2)], ["kind", "entity", "surrogate", "attempt"])
 
+    def formed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(k, e, f[0], size_of(k, e)) for k, e in zip(*(c.to_pylist() for c in b.columns), strict=True) if (f := form(k, e))]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.string(), pa.float64()))], ["kind", "entity", "form", "size"])
+
+    def ringed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([permuted(secret, k, e) for k, e in zip(*(c.to_pylist() for c in b.columns), strict=True)], pa.string())], ["kind", "entity", "surrogate"])
+
     entities = common.staged(entities.select("kind", "entity").distinct())
     real = entities.selectExpr(SPACE, "entity AS surrogate")
     left, settled, attempt = entities, None, 0
+    if make is surrogate:
+        forms = entities.filter(F.col("kind").isin(*FIXED)).mapInArrow(formed, "kind string, entity string, form string, size double")
+        crowded = common.staged(forms.groupBy("form", "size").count().filter("4 * count > size").select("form"))
+        if not crowded.isEmpty():
+            full = forms.join(crowded.hint("merge"), "form", "left_semi").select("kind", "entity")
+            settled = common.staged(full.mapInArrow(ringed, "kind string, entity string, surrogate string"))
+            left = common.staged(left.join(settled.select("kind", "entity").hint("merge"), ["kind", "entity"], "left_anti"))
     while True:
         asked = left.select("kind", "entity", F.lit(attempt).alias("attempt"))
         drawn = common.staged(asked.mapInArrow(draw, "kind string, entity string, surrogate string, attempt int"))
@@ -427,10 +578,17 @@ def replaced(docs: DataFrame, secret: bytes, text: str = "text") -> DataFrame:
     return both.select(*order, "n_replaced")
 
 
-#: For the query only; a deployment passes its own.
+#: What the query and the pipeline use where the session names no secret of its own.
 DEMO_SECRET = b"demonstration key"
+SETTING = "spark.skylattice.pii.secret"
+
+
+def secret(spark: SparkSession) -> bytes:
+    """The key of surrogates: the session's or its context's ``SETTING``, else a public one."""
+    own = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING)
+    return own.encode() if own else DEMO_SECRET
 
 
 def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.documents(spark, sf_dir).select("doc_id", "lang", "source", "text")
-    return replaced(docs, DEMO_SECRET)
+    return replaced(docs, secret(spark))

@@ -150,3 +150,18 @@ def test_odd_rows(spark, shard):
     rows = packing.best_fit(df, packing.n_words(), shard=shard).collect()
     assert sorted((r.doc_id or 0, r.piece, r.length) for r in rows) == [(0, 0, 1), (1, 0, 0), (1, 0, 0), (2, 0, 4096), (2, 1, 4096), (2, 2, 808), (3, 0, 0)]
     assert packing.best_fit(df.limit(0), packing.n_words()).count() == 0
+
+
+def test_layout_of_files_does_not_matter(spark):
+    """The same rows, equal ones among them, in one partition and in five."""
+    df = spark.range(3000).selectExpr("CASE WHEN id % 3 = 0 THEN null ELSE id % 700 END AS doc_id", "cast(id % 5 * 37 AS long) AS n")
+    out = [sorted(map(repr, packing.best_fit(df.repartition(k), packing.F.col("n"), shard=500).collect())) for k in (1, 5)]
+    assert out[0] == out[1] and len(out[0]) == 3000
+    assert len({r.split("bin=")[1].split(",")[0] for r in out[0]}) < 3000
+
+
+def test_runs_of_equal_rows(spark, monkeypatch):
+    monkeypatch.setattr(packing, "RUN", 7)
+    df = spark.range(100).selectExpr("cast(null AS long) AS doc_id", "5 AS n")
+    rows = packing.best_fit(df, packing.F.col("n"), shard=40).collect()
+    assert len(rows) == 100 and len({(r.bin, r.bin_offset) for r in rows}) == 100

@@ -1,5 +1,6 @@
 import ipaddress
 import re
+from contextlib import contextmanager
 
 import pytest
 
@@ -179,6 +180,70 @@ def test_collisions_are_drawn_again(spark):
     assert not {r.surrogate for r in out} & {e for _, e in rows}
 
 
+def assigned(spark, rows):
+    out = {(r.kind, r.entity): r.surrogate for r in pii.assign(spark.createDataFrame(rows, "kind string, entity string"), KEY).collect()}
+    assert {*out} == {*rows} and len({*out.values()}) == len(out)
+    assert all(e != new for (_, e), new in out.items())
+    return out
+
+
+def test_full_spaces_end(spark):
+    """All numbers of a format are real: surrogates are others of them, each once."""
+    phones = [("phone", f"+12{n:03d}") for n in range(1000)]
+    private = [("ip", f"192.168.{a}.{b}") for a in range(256) for b in range(256)]
+    out = assigned(spark, [*phones, *private, ("phone", "9885552485"), ("ip", "70.123.182.155")])
+    assert {out[x] for x in phones} == {e for _, e in phones}
+    assert {out[x] for x in private} == {e for _, e in private}
+    assert out["ip", "70.123.182.155"] not in {e for _, e in private} and out["phone", "9885552485"] != "9885552485"
+
+
+def test_half_full_spaces_end(spark):
+    """Under a quarter is real: none is anybody's; above, surrogates are still distinct."""
+    few = [("ip", f"10.1.2.{b}") for b in range(100, 130)]  # of 10.d.d.ddd
+    many = [("phone", f"+99{n:02d}") for n in range(20, 60)]
+    out = assigned(spark, [*few, *many])
+    assert not {out[x] for x in few} & {e for _, e in few}
+    assert all(re.fullmatch(r"\+99[2-9]\d", out[x]) for x in many)
+
+
+def test_public_words_stay_public(spark):
+    rows = [("ip", f"{a}.1.1.1") for a in range(1, 10)] + [("ip", f"{a}.{b}.1.1") for a in range(1, 10) for b in range(1, 10)] + [("ip", f"{a}.{b}.{c}.{d}") for a in range(1, 10) for b in range(10) for c in range(10) for d in range(10)]
+    out = assigned(spark, sorted({*rows}))
+    assert not any(ipaddress.ip_address(x).is_private for x in out.values())
+
+
+def test_secrets_without_letters_and_short_addresses(spark):
+    rows = [("secret", "!!!!!!"), ("secret", "??????"), *(("email", f"{c}@a.org") for c in "abcdefghijklmnopqrstuvwxyz")]
+    assigned(spark, rows)
+
+
+@pytest.mark.parametrize("n", [1, 2, 5, 64, 1000])
+def test_permutation(n):
+    p = pii.Permutation(KEY, "x", n)
+    got = [p.at(i) for i in range(n)]
+    assert sorted(got) == [*range(n)] and [p.back(y) for y in got] == [*range(n)]
+
+
+@pytest.mark.parametrize("kind,identity", [("phone", "9885552485"), ("phone", "+4930123456"), ("card", "4111111111111111"), ("ssn", "123456789"), ("ip", "70.0.182.255"), ("ip", "10.0.0.7"), ("iban", "GB82WEST12345698765432")])
+def test_words_of_a_form(kind, identity):
+    assert pii.word_of(kind, identity, pii.number_of(kind, identity)) == identity
+    new = pii.permuted(KEY, kind, identity)
+    assert new != identity and pii.form(kind, new) == pii.form(kind, identity)
+
+
+def test_secret_of_the_session(spark):
+    assert pii.secret(spark) == pii.DEMO_SECRET
+    with common_setting(spark, pii.SETTING, "own"):
+        assert pii.secret(spark) == b"own"
+
+
+@contextmanager
+def common_setting(spark, name, value):
+    spark.conf.set(name, value)
+    yield
+    spark.conf.unset(name)
+
+
 def luhn(number):
     digits = [int(c) for c in number if c.isdigit()][::-1]
     return (sum(digits[::2]) + sum(d * 2 // 10 + d * 2 % 10 for d in digits[1::2])) % 10 == 0
