@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skylattice.llm import common, exact_dedup, ngram_join, packing, pii, quality
@@ -22,8 +22,7 @@ from skylattice.llm import common, exact_dedup, ngram_join, packing, pii, qualit
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass, without the lines that failed."""
-    good = quality.quality(docs).filter("kept")
-    return good.select(*_columns(docs, F.col("clean_text")))
+    return _unfolded(docs, quality.quality(_folded(docs)).filter("kept"), F.col("clean_text"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +39,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data and secrets replaced."""
-    return pii.replaced(docs, pii.DEMO_SECRET).select(*_columns(docs, F.col("text")))
+    return _unfolded(docs, pii.replaced(_folded(docs), pii.secret(spark)), F.col("text"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,8 +47,19 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.best_fit(docs, packing.n_words())
 
 
-def _columns(docs: DataFrame, text) -> list:
-    return [text.alias(c) if c == "text" else F.char_length(text).cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
+def _folded(docs: DataFrame) -> DataFrame:
+    """The text, and all other columns in one, so that none has a name that an
+    operator gives to a column of its own."""
+    return docs.select("text", F.struct(F.lit(0).alias("text"), *(c for c in docs.columns if c != "text")).alias(_CARRIED))
+
+
+def _unfolded(docs: DataFrame, rows: DataFrame, text: Column) -> DataFrame:
+    """The columns of ``docs`` with the new ``text``, and n_chars to go with it."""
+    own = lambda c: F.char_length(text).cast("long") if c == "n_chars" else F.col(_CARRIED)[c]
+    return rows.select(*((text if c == "text" else own(c)).alias(c) for c in docs.columns))
+
+
+_CARRIED = "_carried"
 
 
 def _first_of_each(docs: DataFrame, rows: DataFrame, row: str, first: DataFrame) -> DataFrame:
