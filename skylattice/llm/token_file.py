@@ -45,7 +45,7 @@ LIMIT = 20
 #: Ids that a partition of the written files holds.
 PART_IDS = 1 << 24
 #: Characters of stretches whose ids a task keeps, besides those of the chunk at hand.
-CACHE_CHARACTERS = 4_000_000
+CACHE_CHARACTERS = 12_000_000
 
 # --- the code ----------------------------------------------------------------
 
@@ -193,33 +193,42 @@ class Encoder:
 
     def _learn(self, new: set[str]) -> None:
         """Puts the ids of what follows a space into the cache."""
-        cuts = {x: m.groups() for x in new if (m := _SENTENCE.fullmatch(" " + x))}
-        parts = {p for groups in cuts.values() for p in groups if p} | {" " + x for x in new if x not in cuts}
-        ids = self._known(parts)
+        ended = [x for x in new if x[-1] in _STOPS or "\n" in x]
+        cuts = {x: m.groups() for x in ended if (m := _SENTENCE.fullmatch(" " + x))}
+        parts = {p for groups in cuts.values() for p in groups if p}
+        ids = {p: i for p in parts if (i := self.cache.get(p[1:])) is not None and p[0] == " "}
+        parts.update([" " + x for x in new if x not in cuts])
+        self._ask([p for p in parts if p not in ids], ids)
         for x in new:
-            self.cache[x] = b"".join(ids[p] for p in cuts.get(x, (" " + x,)) if p)
-            self.held += len(x)
-
-    def _known(self, parts: set[str]) -> dict[str, bytes]:
-        """Ids of parts.  Those between which the split cuts for certain go to the
-        library as one text, and its ids are told apart by their bytes."""
-        out = {p: i for p in parts if p[0] == " " and (i := self.cache.get(p[1:])) is not None}
-        rest = [p for p in parts if p not in out]
-        joint = [p for p in rest if _PLAIN.fullmatch(p) and not any(x in p for x in self.special)]
-        other = [p for p in rest if not _PLAIN.fullmatch(p) or any(x in p for x in self.special)]
-        out.update(zip(other, self.library(other), strict=True))
+            groups = cuts.get(x)
+            self.cache[x] = ids[" " + x] if groups is None else b"".join([ids[p] for p in groups if p])
+        self.held += sum(map(len, new))
+
+    def _ask(self, parts: list[str], ids: dict[str, bytes]) -> None:
+        """Puts the library's ids of parts into ``ids``.  Parts between which the split
+        cuts for certain go to it as one text, whose ids are told apart by their bytes."""
+        whole = "".join(parts)
+        special = [x for x in self.special if x in whole]
+        joint = [p for p in parts if _PLAIN.fullmatch(p) and not (special and any(x in p for x in special))]
+        if len(joint) < len(parts):
+            taken = {*joint}
+            other = [p for p in parts if p not in taken]
+            ids.update(zip(other, self.library(other), strict=True))
         if joint:
-            (ids,) = (np.array(x.ids, "<u4") for x in self.lib.encode_batch_fast(["".join(joint)], add_special_tokens=False))
-            cuts = np.searchsorted(np.cumsum(self.size[ids]), np.cumsum([len(p.encode()) for p in joint])) + 1
-            data, begin = ids.tobytes(), 0
-            for p, end in zip(joint, (4 * cuts).tolist(), strict=True):
-                out[p] = data[begin:end]
+            (got,) = (np.array(x.ids, "<u4") for x in self.lib.encode_batch_fast(["".join(joint)], add_special_tokens=False))
+            sizes = np.fromiter(map(len, joint), np.int64, len(joint))
+            if not whole.isascii():
+                sizes = np.fromiter((len(p.encode()) for p in joint), np.int64, len(joint))
+            ends = 4 * (np.searchsorted(np.cumsum(self.size[got]), np.cumsum(sizes)) + 1)
+            data, begin = got.tobytes(), 0
+            for p, end in zip(joint, ends.tolist(), strict=True):
+                ids[p] = data[begin:end]
                 begin = end
-        return out
 
 
 #: Parts that begin with a space and end in no white space, and have none in between.
 _PLAIN = re.compile(f" {_SOLID}+")
+_STOPS = frozenset(".,;:!?")
 
 
 _encoders: dict[bytes, Encoder] = {}
@@ -233,19 +242,23 @@ def _encoder(data: bytes) -> Encoder:
     return _encoders[key]
 
 
-def token_ids(docs: DataFrame, path: str, end: int | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id and ids (binary, little-endian unsigned 32-bit integers) of each row, as
-    the tokenizers library gives them, and ``end`` after them.  A null or empty text
-    has only ``end``."""
+def token_ids(docs: DataFrame, path: str, end: int | None = None, key: str = "doc_id", text: str = "text", width: int = 4) -> DataFrame:
+    """doc_id and ids (binary, little-endian unsigned integers of ``width`` bytes: 4, or 2
+    if the vocabulary is that small) of each row, as the tokenizers library gives them,
+    and ``end`` after them.  A null or empty text has only ``end``."""
     with open(path, "rb") as f:
-        data = docs.sparkSession.sparkContext.broadcast(f.read())  # a tokenizer's file: fixed size
+        given = f.read()
+    if width not in (2, 4) or width == 2 and max([end or 0, *Tokenizer.from_str(given.decode()).get_vocab().values()]) >> 16:
+        raise ValueError(f"ids don't fit {width} bytes")
+    data = docs.sparkSession.sparkContext.broadcast(given)  # a tokenizer's file: fixed size
     tail = b"" if end is None else np.array([end], "<u4").tobytes()
+    narrow = (lambda x: x) if width == 4 else lambda x: np.frombuffer(x, "<u4").astype("<u2").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(data.value)
         for batch, raw in common.text_chunks(batches):
             ids = encoder.encode([x.decode("utf-8", "replace") for x in raw])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x + tail for x in ids], pa.binary())], ["doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([narrow(x + tail) for x in ids], pa.binary())], ["doc_id", "ids"])
 
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, ids binary")
 
@@ -253,7 +266,7 @@ def token_ids(docs: DataFrame, path: str, end: int | None = None, key: str = "do
 # --- files -------------------------------------------------------------------
 
 
-def _counts(ids: DataFrame) -> DataFrame:
+def _counts(ids: DataFrame, width: int) -> DataFrame:
     """id and how often it occurs; each task sends one row for an id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,7 +274,7 @@ def _counts(ids: DataFrame) -> DataFrame:
         for batch in batches:
             for i in range(0, batch.num_rows, 1000):
                 part = batch.column(0).slice(i, 1000)
-                n = np.bincount(np.frombuffer(b"".join(x for x in part.to_pylist() if x), "<u4"), minlength=len(total))
+                n = np.bincount(np.frombuffer(b"".join(x for x in part.to_pylist() if x), f"<u{width}"), minlength=len(total))
                 n[: len(total)] += total
                 total = n
         at = np.flatnonzero(total)
@@ -270,8 +283,9 @@ def _counts(ids: DataFrame) -> DataFrame:
     return ids.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
-def write(ids: DataFrame, path: str) -> None:
-    """Writes rows (doc_id, ids) to a new folder in ascending doc_id order.
+def write(ids: DataFrame, path: str, width: int = 4) -> None:
+    """Writes rows (doc_id, ids) to a new folder in ascending doc_id order; ids are
+    integers of ``width`` bytes, as ``token_ids`` gives them.
 
     Rows with a null doc_id come last; rows that share a doc_id are rows of their
     own, in the order of their ids' bytes.  Null ids count as none, and a row without
@@ -281,7 +295,7 @@ def write(ids: DataFrame, path: str) -> None:
     ``ids`` is read three times, so it should be a written table.
     """
     spark = ids.sparkSession
-    counts = _counts(ids).toPandas()  # one row for each id of the vocabulary
+    counts = _counts(ids, width).toPandas()  # one row for each id of the vocabulary
     lengths = code_lengths(counts["n"].to_numpy(np.int64), max(LIMIT, int(len(counts)).bit_length()))
     symbols = counts["id"].to_numpy(np.int64)
     spark.createDataFrame(pa.table({"id": symbols, "length": lengths}) if len(symbols) else [], "id long, length long").coalesce(1).write.parquet(f"{path}/code")
@@ -294,14 +308,14 @@ def write(ids: DataFrame, path: str) -> None:
         size = before = 0
 
         def block() -> pa.RecordBatch:
-            bits, offsets = code.write(np.frombuffer(b"".join(x for _, x in held), "<u4").astype(np.int64))
-            row = {"part": part, "before": before // 4, "doc_id": [k for k, _ in held], "n_ids": [len(x) // 4 for _, x in held], "bits": bits, "offsets": offsets.tolist()}
+            bits, offsets = code.write(np.frombuffer(b"".join(x for _, x in held), f"<u{width}").astype(np.int64))
+            row = {"part": part, "before": before // width, "doc_id": [k for k, _ in held], "n_ids": [len(x) // width for _, x in held], "bits": bits, "offsets": offsets.tolist()}
             return pa.RecordBatch.from_pylist([row], _BLOCKS)
 
         for batch in batches:
             for k, x in zip(batch.column(0), batch.column(1), strict=True):
                 x = x.as_py() or b""
-                if held and size + len(x) > 4 * BLOCK_IDS:
+                if held and size + len(x) > width * BLOCK_IDS:
                     yield block()
                     held, size, before = [], 0, before + size
                 held.append((k.as_py(), x))
@@ -368,7 +382,7 @@ def _decoded(spark: SparkSession, path: str, columns: Callable, schema: str) ->
 def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    ids = token_ids(common.documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end=2)
+    ids = token_ids(common.documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end=2, width=2)
     path = common.scratch_dir(spark)
-    write(common.staged(ids), path)
+    write(common.staged(ids), path, 2)
     return digests(spark, path)

@@ -117,6 +117,15 @@ def test_null_and_repeated_keys_and_missing_ids(spark, tmp_path):
     assert order[0].doc_id == 0 and {r.doc_id for r in order if r.start >= 5} <= {None} and sum(r.n_tokens for r in got) == 6
 
 
+def test_narrow_ids(spark, tmp_path, library):
+    rows = [*enumerate(TEXTS)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    token_file.write(common.staged(token_file.token_ids(docs, PATH, end=2, width=2)), f"{tmp_path}/files", 2)
+    assert sorted(map(tuple, token_file.digests(spark, f"{tmp_path}/files").collect())) == expected(rows, library)
+    with pytest.raises(ValueError):
+        token_file.token_ids(docs, PATH, end=65_536, width=2)
+
+
 def test_empty_table(spark, tmp_path):
     docs = spark.createDataFrame([], "doc_id long, text string")
     token_file.write(common.staged(token_file.token_ids(docs, PATH)), f"{tmp_path}/files")
