@@ -11,12 +11,12 @@ sorted once, not once for each length.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,7 +36,9 @@ DICTIONARY_WORDS = 400_000
 #: Distinct words that a task counts before it sends its counts on.
 COUNTED_WORDS = 500_000
 #: Positions that a task sorts and counts before it sends them on.
-SORTED_KEYS = 2_000_000
+SORTED_KEYS = 4_000_000
+#: Rows, and keys of each, from which it is seen how to cut all keys into ranges.
+SAMPLED_ROWS, SAMPLED_KEYS = 4_000, 50
 #: Bins in which words are numbered, each by itself.
 BINS = 1024
 _LOW = bytes.maketrans(bytes(range(65, 91)) + b"\t.,;:!?\x0b\x0c\r", bytes(range(97, 123)) + b" " + b"\n" * 9)
@@ -94,15 +96,29 @@ def radix_order(keys: np.ndarray) -> np.ndarray:
     return order
 
 
-def _packed(keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    """Keys in sorted order with counts of equal ones."""
+def _counted(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys in order, each once, with their counts."""
     order = radix_order(keys)
     keys, n = keys[order], n[order]
-    first = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(1)])) if len(keys) else np.zeros(0, np.int64)
-    data = np.ascontiguousarray(keys[first]).astype(">u4").tobytes()
-    ends = np.arange(len(first) + 1, dtype=np.int32) * (4 * LONGEST)
-    packed = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends), pa.py_buffer(data)])
-    return pa.RecordBatch.from_arrays([packed, pa.array(np.add.reduceat(n, first) if len(first) else n)], ["key", "n"])
+    first = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(1)]))
+    return keys[first], np.add.reduceat(n, first)
+
+
+def _bytes(keys: np.ndarray) -> np.ndarray:
+    """Keys as byte strings of fixed width, in the same order."""
+    return np.ascontiguousarray(keys.astype(">u4")).view(f"S{4 * LONGEST}").reshape(-1)
+
+
+def _block(keys: np.ndarray, n: np.ndarray) -> bytes:
+    """Sorted keys and counts, one plane of bytes after another."""
+    rows = np.concatenate([keys, n.astype(np.uint32)[:, None]], 1).astype(">u4")
+    return zstandard.compress(np.ascontiguousarray(rows.view(np.uint8).reshape(len(rows), -1).T).tobytes(), 3)
+
+
+def _unblock(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4 * LONGEST + 4, -1)
+    rows = np.ascontiguousarray(planes.T).view(">u4").astype(np.uint32)
+    return rows[:, :LONGEST], rows[:, LONGEST].astype(np.int64)
 
 
 def _windows(ids: np.ndarray, many: int) -> np.ndarray:
@@ -121,7 +137,7 @@ def _windows(ids: np.ndarray, many: int) -> np.ndarray:
     return rows
 
 
-def _gathered(texts: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
+def _gathered(texts: Iterator[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Sorted and counted keys of texts (arrays of words), some millions at a time."""
     held, size = [], 0
     for ids in texts:
@@ -129,36 +145,36 @@ def _gathered(texts: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
             held.append(_windows(ids[at : at + SORTED_KEYS + LONGEST - 1], SORTED_KEYS))
             size += len(held[-1])
             if size >= SORTED_KEYS:
-                yield _packed(np.concatenate(held), np.ones(size, np.int64))
+                yield _counted(np.concatenate(held), np.ones(size, np.int64))
                 held, size = [], 0
     if size:
-        yield _packed(np.concatenate(held), np.ones(size, np.int64))
+        yield _counted(np.concatenate(held), np.ones(size, np.int64))
 
 
-def _by_broadcast(texts: DataFrame, words: DataFrame) -> DataFrame:
+#: Rows, and what gives from their batches the words of each text as numbers, 0 at breaks.
+Numbered = tuple[DataFrame, Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]]]
+
+
+def _by_broadcast(texts: DataFrame, words: DataFrame) -> Numbered:
     rows = words.select("lang", "word", "id").toArrow()  # at most DICTIONARY_WORDS
-    columns = [rows.column(0).combine_chunks(), rows.column(1).cast(pa.binary()).combine_chunks(), rows.column(2).combine_chunks()]
-    shared = texts.sparkSession.sparkContext.broadcast([c.to_pylist() for c in columns])
+    columns = [rows.column(0).to_pylist(), rows.column(1).cast(pa.binary()).to_pylist(), rows.column(2).to_pylist()]
+    shared = texts.sparkSession.sparkContext.broadcast(columns)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         known: dict[str, dict[bytes, int]] = {}
         for lang, word, i in zip(*shared.value, strict=True):
             known.setdefault(lang, {b"": -1})[word] = i
+        for batch, raw in common.text_chunks(batches):
+            for lang, text in zip(batch.column(0).to_pylist(), raw, strict=True):
+                if own := known.get(lang):
+                    split = text.translate(_LOW).replace(b"\n", b" \n ").split(b" ")
+                    ids = np.fromiter(map(own.get, split, repeat(0)), np.int64, len(split))
+                    yield ids[ids >= 0]
 
-        def numbers() -> Iterator[np.ndarray]:
-            for batch, raw in common.text_chunks(batches):
-                for lang, text in zip(batch.column(0).to_pylist(), raw, strict=True):
-                    if own := known.get(lang):
-                        split = text.translate(_LOW).replace(b"\n", b" \n ").split(b" ")
-                        ids = np.fromiter(map(own.get, split, repeat(0)), np.int64, len(split))
-                        yield ids[ids >= 0]
-
-        yield from _gathered(numbers())
-
-    return texts.mapInArrow(run, "key binary, n long")
+    return texts, numbers
 
 
-def _by_join(texts: DataFrame, words: DataFrame) -> DataFrame:
+def _by_join(texts: DataFrame, words: DataFrame) -> Numbered:
     """The same for a dictionary of any size: each word is a row."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,55 +189,89 @@ def _by_join(texts: DataFrame, words: DataFrame) -> DataFrame:
                         n = len(some)
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(n, piece)), pa.array(np.arange(at, at + n)), pa.array([lang] * n, pa.string()), pa.array(some, pa.binary()).cast(pa.string())], ["piece", "pos", "lang", "word"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _gathered(common.lists(b, "ids")[0][a:z] for b in batches for a, z in _spans(b))
+    def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        for batch in batches:
+            for row in batch.column(0):
+                yield row.values.to_numpy()
 
     every = common.staged(texts.mapInArrow(split, "piece long, pos long, lang string, word string"))
     # Both sides are shuffled afresh, so Spark can split a word that many rows have.
     ids = every.join(words.select("lang", "word", "id").hint("merge"), ["lang", "word"], "left")
     rows = ids.groupBy("piece").agg(F.sort_array(F.collect_list(F.struct("pos", F.coalesce("id", F.lit(0).cast("long")).alias("id")))).alias("x"))
-    return rows.select(F.col("x.id").alias("ids")).mapInArrow(run, "key binary, n long")
+    return common.staged(rows.select(F.col("x.id").alias("ids"))), numbers
+
+
+def _splitters(numbered: Numbered, ranges: int) -> np.ndarray:
+    """Sorted keys that cut all keys into about equal ranges, from a sample: some
+    thousand rows, or twenty for each range, and a few keys of each.  They decide how
+    evenly keys are dealt, nothing else."""
+    rows, numbers = numbered
 
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids in numbers(batches):
+            keys = _windows(ids[:SORTED_KEYS], SORTED_KEYS)
+            keys = keys[:: max(1, len(keys) // SAMPLED_KEYS)]
+            yield pa.RecordBatch.from_arrays([pa.array(_bytes(keys).astype(object), pa.binary())], ["key"])
 
-def _spans(batch: pa.RecordBatch) -> list[tuple[int, int]]:
-    ends = np.cumsum(pa.compute.list_value_length(batch.column(0)).to_numpy(zero_copy_only=False))
-    return [*zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+    share = min(1.0, max(SAMPLED_ROWS, 20 * ranges) / max(1, rows.count()))
+    sampled = rows if share == 1 else rows.sample(share, seed=11)
+    keys = np.sort(np.array(sampled.mapInArrow(some, "key binary").toArrow().column(0).to_pylist(), f"S{4 * LONGEST}"))
+    return np.unique(keys[np.arange(1, ranges) * len(keys) // ranges]) if len(keys) else keys
 
 
-def frequent(keys: DataFrame, least: int = LEAST) -> DataFrame:
-    """ids (array) and f of all phrases of two words or more with ``least`` occurrences,
-    from sorted and counted keys."""
-    spark = keys.sparkSession
-    keys = common.staged(keys)
-    n = common.partitions(spark, keys.count())
+def frequent(numbered: Numbered, ranges: int, least: int = LEAST) -> DataFrame:
+    """ids (array) and f of all phrases of two words or more with ``least`` occurrences.
+
+    Tasks sort and count the keys of their texts, cut them at the splitters, and send
+    each range as one block; a range's blocks are sorted together, and runs of equal
+    first words counted.  Runs at a range's two ends may go on in others, so they are
+    summed with theirs, whatever their count.
+    """
+    splitters = _splitters(numbered, ranges)
+    rows, numbers = numbered
+    n = len(splitters) + 1
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, count in _gathered(numbers(batches)):
+            ends = [*np.searchsorted(_bytes(keys), splitters).tolist(), len(keys)]
+            some = [(k, a, z) for k, (a, z) in enumerate(zip([0, *ends], ends, strict=False)) if z > a]
+            for i in range(0, len(some), 100):
+                own = some[i : i + 100]
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, *_ in own], pa.int32()), pa.array([_block(keys[a:z], count[a:z]) for _, a, z in own], pa.binary())], ["range", "block"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        batches = [b for b in batches if b.num_rows]
-        if not batches:
-            return
-        table = pa.Table.from_batches(batches)
-        rows = np.frombuffer(b"".join(b"".join(c.to_pylist()) for c in table.column(0).chunks), ">u4").reshape(-1, LONGEST).astype(np.uint32)
-        order = radix_order(rows)
-        rows, n = rows[order], table.column(1).to_numpy()[order]
-        new = np.zeros(len(rows), bool)
-        new[0] = True
-        for k in range(LONGEST):
-            new[1:] |= rows[1:, k] != rows[:-1, k]
-            if not k:
-                continue
-            first = np.flatnonzero(new)
-            total = np.add.reduceat(n, first)
-            good = total >= least
-            good[[0, -1]] = True  # these may go on in other partitions
-            good &= rows[first, k] > 0
-            own = rows[first[good], : k + 1].astype(np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1) * (k + 1), pa.int32()), pa.array(own.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([lists, pa.array(total[good])], ["ids", "f"])
-
-    counted = keys.repartitionByRange(n, "key").mapInArrow(run, "ids array<long>, f long")
+        blocks: dict[int, list[bytes]] = {}
+        for b in batches:
+            for k, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                blocks.setdefault(k, []).append(data)
+        for k in [*blocks]:
+            parts = [*map(_unblock, blocks.pop(k))]
+            yield from _runs(*_counted(np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts])), least)
+
+    dealt = rows.mapInArrow(cut, "range int, block binary").repartitionById(n, F.col("range"))
+    counted = dealt.mapInArrow(run, "ids array<long>, f long")
     return counted.groupBy("ids").agg(F.sum("f").alias("f")).filter(F.col("f") >= least)
 
 
+def _runs(rows: np.ndarray, n: np.ndarray, least: int) -> Iterator[pa.RecordBatch]:
+    """Of a range's keys in order: phrases of each length with their counts, those of
+    ``least`` or more and those at the ends."""
+    new = np.zeros(len(rows), bool)
+    new[0] = True
+    for k in range(LONGEST):
+        new[1:] |= rows[1:, k] != rows[:-1, k]
+        if not k:
+            continue
+        first = np.flatnonzero(new)
+        total = np.add.reduceat(n, first)
+        good = total >= least
+        good[[0, -1]] = True
+        good &= rows[first, k] > 0
+        own = rows[first[good], : k + 1].astype(np.int64)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1) * (k + 1), pa.int32()), pa.array(own.reshape(-1)))
+        yield pa.RecordBatch.from_arrays([lists, pa.array(total[good])], ["ids", "f"])
+
+
 # --- phrases -----------------------------------------------------------------
 
 
@@ -235,11 +285,13 @@ def mined(docs: DataFrame, least: int = LEAST, percent: int = PERCENT, top: int
     without a phrase of ``least`` occurrences, gives no rows.  A text of any length is
     read whole by one task.
     """
+    spark = docs.sparkSession
     texts = _texts(docs, lang, text)
     counts = common.staged(word_counts(docs, lang, text))
     words = common.staged(numbered_words(counts, least))
-    keys = (_by_broadcast if words.count() <= dictionary_words else _by_join)(texts, words)
-    phrases = common.staged(frequent(keys, least))
+    n_words, positions = words.agg(F.count(F.lit(1)), F.sum("n")).first()
+    numbered = (_by_broadcast if n_words <= dictionary_words else _by_join)(texts, words)
+    phrases = common.staged(frequent(numbered, common.partitions(spark, positions or 0), least))
     # What phrases are made of: phrases, and single words.
     parts = phrases.unionByName(words.select(F.array("id").alias("ids"), F.col("n").alias("f")))
     part = lambda side: parts.select(F.col("ids").alias(side), F.col("f").alias(f"f_{side}")).hint("merge")

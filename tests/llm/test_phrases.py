@@ -56,6 +56,7 @@ def test_small_tasks_and_partitions(spark, monkeypatch):
     monkeypatch.setattr(phrases, "COUNTED_WORDS", 5)
     monkeypatch.setattr(phrases, "SORTED_KEYS", 50)
     monkeypatch.setattr(phrases.common, "RUN_ROWS", 20)
+    monkeypatch.setattr(phrases, "SAMPLED_ROWS", 1)
     rows = [("en", "a b a b a a a a b " * 40), ("en", "a a a a a a. b b b " * 25)]
     docs = spark.createDataFrame(rows, "lang string, text string")
     assert sorted(map(tuple, phrases.mined(docs, least=10).collect())) == brute(rows, 10, phrases.TOP)
