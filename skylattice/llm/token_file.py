@@ -44,8 +44,8 @@ STEP = 128
 LIMIT = 20
 #: Ids that a partition of the written files holds.
 PART_IDS = 1 << 24
-#: Characters of stretches whose ids a task keeps, besides those of the chunk at hand.
-CACHE_CHARACTERS = 12_000_000
+#: Bytes of stretches whose ids a task keeps, besides those of the chunk at hand.
+CACHE_BYTES = 14_000_000
 
 # --- the code ----------------------------------------------------------------
 
@@ -137,17 +137,34 @@ class Code:
 
 # --- ids of texts ------------------------------------------------------------
 
-#: Characters that no engine takes for white space, and letters.
-_SOLID, _LETTER = r"[!-~¡-࿿、-퟿]", r"[A-Za-zÀ-ÖØ-öø-ÿ]"
-#: Where a byte-level split always cuts: before a lone space between such characters,
-_CERTAIN = re.compile(f"(?<={_SOLID}) (?={_SOLID})")
-#: and at the ends of what these groups match.
-_SENTENCE = re.compile(rf"( {_LETTER}+)([.,;:!?]+)(?:(\n)({_LETTER}+))?")
+_is = lambda *spans: np.array([any(lo <= b <= hi for lo, hi in spans) for b in range(256)])
+#: By byte: letters, and what else isn't white space for any engine, of ASCII; the first
+#: bytes of U+00C0 to U+07FF, whose letters (or signs) have two; marks that end words.
+_LETTER, _SOLID = _is((0x41, 0x5A), (0x61, 0x7A)), _is((0x21, 0x7E))
+_LEAD, _STOP = _is((0xC3, 0xDF)), np.isin(np.arange(256), list(b".,;:!?"))
+#: Part of the above: letters of U+00C0 to U+00FF but for the two signs among them.
+_LATIN = _is((0x80, 0x96), (0x98, 0xB6), (0xB8, 0xBF))
+
+
+def certain_cuts(data: np.ndarray) -> np.ndarray:
+    """Where a byte-level split cuts for certain, whatever stands around: before a lone
+    space between solid characters, at both sides of such a line's end, and between a
+    letter and a mark: a flag for each byte.  ``data`` has two spaces at both ends."""
+    two, before, now, after = data[:-3], data[1:-2], data[2:-1], data[3:]
+    solid = _SOLID[before] | _LEAD[two] & (before >= 0x80)
+    letter = _LETTER[before] | (two == 0xC3) & _LATIN[before]
+    alone = solid & (_SOLID[after] | _LEAD[after])
+    end = (now == 0x0A) & alone
+    out = np.zeros(len(data), bool)
+    out[2:-1] = (now == 0x20) & alone | end | _STOP[now] & letter
+    out[3:] |= end
+    return out
 
 
 class Encoder:
     """The tokenizers library over texts, each distinct stretch between certain cuts
-    once.  A file with another split than the byte-level one is given whole texts."""
+    once.  Stretches are told apart by hashes, and then compared byte by byte.  A file
+    with another split than the byte-level one is given whole texts."""
 
     def __init__(self, data: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -157,78 +174,94 @@ class Encoder:
         spec = json.loads(data)
         split = spec.get("pre_tokenizer") or {}
         plain = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
-        self.special = [x["content"] for x in spec["added_tokens"]]
-        spaced = any(" " in x["content"] or any(x.get(k) for k in ("lstrip", "rstrip", "single_word")) for x in spec["added_tokens"])
-        self.cut = plain and not spec.get("normalizer") and not spaced
+        self.special = [x["content"].encode() for x in spec["added_tokens"]]
+        odd = any({*x["content"]} & {*" \n.,;:!?"} or any(x.get(k) for k in ("lstrip", "rstrip", "single_word")) for x in spec["added_tokens"])
+        self.cut = plain and not spec.get("normalizer") and not odd
         self.size = np.zeros(max(self.lib.get_vocab().values()) + 1, np.int64)
         for token, i in self.lib.get_vocab().items():
             self.size[i] = len(token)  # a letter for each byte
-        self.cache: dict[str, bytes] = {}
+        self.cache: dict[bytes, np.ndarray] = {}
         self.held = 0
 
-    def library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
+    def library(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, "<u4") for x in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
+    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        """The ids (uint32) of each text, given in UTF-8."""
         if not self.cut:
-            return self.library(texts)
-        pieces = [_CERTAIN.split(x) for x in texts]
-        begins = self.library([x[0] for x in pieces])
-        flat = [p for x in pieces for p in x[1:]]
-        known = [*map(self.cache.get, flat)]
-        new = [i for i, x in enumerate(known) if x is None]
+            return self.library([x.decode("utf-8", "replace") for x in texts])
+        sizes = np.array([len(x) for x in texts], np.int64)
+        data = np.frombuffer(b"  " + b"".join(texts) + b"  ", np.uint8)
+        begins = 2 + np.cumsum(sizes) - sizes
+        cut = certain_cuts(data)
+        cut[begins + sizes - 1] = False  # it would look into the next text
+        cut[begins[sizes > 0]] = True
+        cut[-2:] = False
+        starts = np.flatnonzero(cut)
+        if not len(starts):
+            return [np.zeros(0, "<u4") for _ in texts]
+        ends = np.append(starts[1:], len(data) - 2)
+        lengths = ends - starts
+        code = common.Windows(common.BYTE_CODE[data]).at(starts, lengths) ^ common.mixed(lengths.astype(np.uint64))
+        _, first, which = np.unique(code, return_index=True, return_inverse=True)
+        self._same(data, starts, starts[first][which], lengths)
+        raw = data.tobytes()
+        known = self._known([raw[a:z] for a, z in zip(starts[first].tolist(), ends[first].tolist(), strict=True)])
+        n = np.fromiter(map(len, known), np.int64, len(known))
+        flat, at = np.concatenate(known), np.cumsum(n) - n
+        many = n[which]
+        to = np.cumsum(many)
+        ids = flat[np.arange(to[-1]) + np.repeat(at[which] - (to - many), many)]
+        cuts = np.append(0, to)[np.searchsorted(starts, np.append(begins, len(data)))]
+        return [ids[a:z] for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+
+    @staticmethod
+    def _same(data: np.ndarray, a: np.ndarray, b: np.ndarray, lengths: np.ndarray) -> None:
+        """Raises where stretches that share a hash differ."""
+        other = np.flatnonzero(a != b)
+        n = lengths[other]
+        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        if (data[np.repeat(a[other], n) + step] != data[np.repeat(b[other], n) + step]).any():
+            raise ValueError("two stretches of text share a hash")
+
+    def _known(self, pieces: list[bytes]) -> list[np.ndarray]:
+        """The ids of distinct pieces."""
+        out = [*map(self.cache.get, pieces)]
+        new = [i for i, x in enumerate(out) if x is None]
         if new:
-            if self.held > CACHE_CHARACTERS:
+            asked = [pieces[i] for i in new]
+            got = self._ask(asked)
+            for i, x in zip(new, got, strict=True):
+                out[i] = x
+            if self.held > CACHE_BYTES:
                 self.cache.clear()
                 self.held = 0
-            self._learn({flat[i] for i in new})
-            for i in new:
-                known[i] = self.cache[flat[i]]
-        out, at = [], 0
-        for x, begin in zip(pieces, begins, strict=True):
-            out.append(begin + b"".join(known[at : at + len(x) - 1]))
-            at += len(x) - 1
+            self.held += sum(map(len, asked))
+            self.cache.update(zip(asked, got, strict=True))
         return out
 
-    def _learn(self, new: set[str]) -> None:
-        """Puts the ids of what follows a space into the cache."""
-        ended = [x for x in new if x[-1] in _STOPS or "\n" in x]
-        cuts = {x: m.groups() for x in ended if (m := _SENTENCE.fullmatch(" " + x))}
-        parts = {p for groups in cuts.values() for p in groups if p}
-        ids = {p: i for p in parts if (i := self.cache.get(p[1:])) is not None and p[0] == " "}
-        parts.update([" " + x for x in new if x not in cuts])
-        self._ask([p for p in parts if p not in ids], ids)
-        for x in new:
-            groups = cuts.get(x)
-            self.cache[x] = ids[" " + x] if groups is None else b"".join([ids[p] for p in groups if p])
-        self.held += sum(map(len, new))
-
-    def _ask(self, parts: list[str], ids: dict[str, bytes]) -> None:
-        """Puts the library's ids of parts into ``ids``.  Parts between which the split
-        cuts for certain go to it as one text, whose ids are told apart by their bytes."""
-        whole = "".join(parts)
+    def _ask(self, pieces: list[bytes]) -> list[np.ndarray]:
+        """The library's ids of pieces.  Those between which it cuts for certain go to it
+        as one text, whose ids are told apart by their bytes."""
+        whole = b"".join(pieces)
         special = [x for x in self.special if x in whole]
-        joint = [p for p in parts if _PLAIN.fullmatch(p) and not (special and any(x in p for x in special))]
-        if len(joint) < len(parts):
-            taken = {*joint}
-            other = [p for p in parts if p not in taken]
-            ids.update(zip(other, self.library(other), strict=True))
-        if joint:
-            (got,) = (np.array(x.ids, "<u4") for x in self.lib.encode_batch_fast(["".join(joint)], add_special_tokens=False))
-            sizes = np.fromiter(map(len, joint), np.int64, len(joint))
-            if not whole.isascii():
-                sizes = np.fromiter((len(p.encode()) for p in joint), np.int64, len(joint))
-            ends = 4 * (np.searchsorted(np.cumsum(self.size[got]), np.cumsum(sizes)) + 1)
-            data, begin = got.tobytes(), 0
-            for p, end in zip(joint, ends.tolist(), strict=True):
-                ids[p] = data[begin:end]
-                begin = end
-
-
-#: Parts that begin with a space and end in no white space, and have none in between.
-_PLAIN = re.compile(f" {_SOLID}+")
-_STOPS = frozenset(".,;:!?")
+        joint = [_JOINT.fullmatch(p) is not None and not any(x in p for x in special) for p in pieces]
+        out: list[np.ndarray] = [_NONE] * len(pieces)
+        other = [i for i, x in enumerate(joint) if not x]
+        for i, x in zip(other, self.library([pieces[i].decode("utf-8", "replace") for i in other]), strict=True):
+            out[i] = x
+        own = [i for i, x in enumerate(joint) if x]
+        if own:
+            (got,) = self.library([b"".join([pieces[i] for i in own]).decode()])
+            ends = np.searchsorted(np.cumsum(self.size[got]), np.cumsum([len(pieces[i]) for i in own])) + 1
+            for i, a, z in zip(own, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+                out[i] = got[a:z].copy()
+        return out
+
+
+#: A space and solid characters, by bytes.
+_JOINT = re.compile(rb" (?:[!-~]|[\xc3-\xdf][\x80-\xbf])+")
+_NONE = np.zeros(0, "<u4")
 
 
 _encoders: dict[bytes, Encoder] = {}
@@ -251,14 +284,13 @@ def token_ids(docs: DataFrame, path: str, end: int | None = None, key: str = "do
     if width not in (2, 4) or width == 2 and max([end or 0, *Tokenizer.from_str(given.decode()).get_vocab().values()]) >> 16:
         raise ValueError(f"ids don't fit {width} bytes")
     data = docs.sparkSession.sparkContext.broadcast(given)  # a tokenizer's file: fixed size
-    tail = b"" if end is None else np.array([end], "<u4").tobytes()
-    narrow = (lambda x: x) if width == 4 else lambda x: np.frombuffer(x, "<u4").astype("<u2").tobytes()
+    tail = b"" if end is None else np.array([end], f"<u{width}").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(data.value)
         for batch, raw in common.text_chunks(batches):
-            ids = encoder.encode([x.decode("utf-8", "replace") for x in raw])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([narrow(x + tail) for x in ids], pa.binary())], ["doc_id", "ids"])
+            ids = encoder.encode(raw)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.astype(f"<u{width}").tobytes() + tail for x in ids], pa.binary())], ["doc_id", "ids"])
 
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, ids binary")
 
