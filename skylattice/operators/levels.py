@@ -36,6 +36,26 @@ def at_level(z: Column, v: Column, level: Column) -> Column:
 
 
 def at_levels(z: Column, v: Column, levels: Sequence[float]) -> Column:
-    """array<struct<height, value>> for the levels, sorted and each once."""
-    each = [F.struct(F.lit(float(h)).alias("height"), at_level(z, v, F.lit(float(h))).alias("value")) for h in sorted({float(x) for x in levels})]
-    return F.array(*each)
+    """array<struct<height, value>> for the levels, sorted and each once; values as
+    ``at_level`` has them.
+
+    Heights ascend, so heights and levels are merged into one order: a level's place in
+    it, less the levels before, is the number of heights up to it.  The work grows with
+    heights plus levels, not with their product.
+    """
+    asked = F.array(*(F.struct(F.lit(h).alias("h"), F.lit(1).alias("kind")) for h in sorted({float(x) for x in levels})))
+    none = F.array().cast("array<struct<h:double,kind:int>>")
+    known = F.coalesce(F.transform(z, lambda x: F.struct(F.coalesce(x.cast("double"), F.lit(float("nan"))).alias("h"), F.lit(0).alias("kind"))), none)
+    order = F.array_sort(F.concat(known, asked))
+    places = F.filter(F.transform(order, lambda e, p: F.struct(e["h"].alias("h"), e["kind"].alias("kind"), p.alias("p"))), lambda e: e["kind"] == 1)
+    return F.transform(places, lambda e, r: F.struct(e["h"].alias("height"), _above(z, v, e["h"], e["p"] - r - 1).alias("value")))
+
+
+def _above(z: Column, v: Column, level: Column, k: Column) -> Column:
+    """The value at ``level``, whose last height not above it is the ``k``-th."""
+    n = F.size(z)
+    lo = F.greatest(F.least(k, n - 2), F.lit(0))
+    share = F.try_divide(level - F.get(z, lo), F.get(z, lo + 1) - F.get(z, lo))
+    between = F.get(v, lo) + share * (F.get(v, lo + 1) - F.get(v, lo))
+    value = F.when(level == F.get(z, lo), F.get(v, lo)).when(level == F.get(z, lo + 1), F.get(v, lo + 1)).otherwise(between)
+    return F.when((k >= 0) & (level <= F.get(z, n - 1)), value)

@@ -31,18 +31,21 @@ class Request:
     def times(self, df: DataFrame) -> DataFrame:
         return timeaxis.between_times(df, self.start, self.end)
 
-    def cells(self, table: str, step_before: bool = False, **halo: int) -> DataFrame:
-        """Rows of the box; times are the range's, or those and the step before it,
-        or more (``times`` cuts them)."""
+    def cells(self, table: str, columns: Sequence[str], step_before: bool = False, **halo: int) -> DataFrame:
+        """Rows of the box; times are the range's, or those and the step before it.
+        ``columns`` are the variables that are used."""
         names = {"u_stag": {"i": "i_stag"}, "v_stag": {"j": "j_stag"}}.get(table, {})
         start = self.source.before(self.start) if step_before else self.start
-        return bbox.within(self.source.timed(table, start, self.end), self.window, **halo, **names)
+        return bbox.within(self.source.timed(table, start, self.end, columns), self.window, **halo, **names)
 
 
 def request(source: ModelSource, variables=None, start=None, end=None, bbox_degrees=None, target_levels=None, above_ground=False) -> Request:
     keys = resolve.resolve(variables, source.variables)
     resolve.check_levels(keys, source.variables, target_levels)
     window = bbox.to_indices(source.projection, bbox_degrees, *source.axes) if bbox_degrees is not None else None
+    needed = {s for k in keys for s in source.variables[k].sources} | ({"HGT"} if above_ground and target_levels else set())
+    accumulated = any(source.variables[k].transform == "accumulation_increment" for k in keys)
+    source.check(needed, source.before(start) if accumulated else start, end)
     return Request(source, keys, sorted({float(x) for x in target_levels or ()}), start, end, window, above_ground)
 
 
@@ -50,7 +53,7 @@ def request(source: ModelSource, variables=None, start=None, end=None, bbox_degr
 
 
 def _rotated(r: Request) -> DataFrame:
-    df = wind.attach_rotation(r.cells("surface"), r.source.rotation)
+    df = wind.attach_rotation(r.cells("surface", ["U10", "V10"]), r.source.rotation)
     u, v = wind.rotate(F.col("U10").cast("double"), F.col("V10").cast("double"), F.col("cosa"), F.col("sina"))
     return df.withColumns({"_ue": u, "_ve": v})
 
@@ -66,14 +69,14 @@ WINDS = {
 def _surface(r: Request, v: Variable) -> DataFrame:
     """time, j, i, value of a variable at a fixed height."""
     if v.transform is None:
-        return r.times(r.cells("surface")).select(*CELL, F.col(v.sources[0]).alias("value"))
+        return r.times(r.cells("surface", v.sources)).select(*CELL, F.col(v.sources[0]).alias("value"))
     if v.transform in WINDS:
         return r.times(_rotated(r)).select(*CELL, WINDS[v.transform]().alias("value"))
     if v.transform == "sea_level_pressure":
-        return r.times(r.cells("surface")).select(*CELL, derive.sea_level_pressure(*(F.col(s).cast("double") for s in v.sources)).alias("value"))
+        return r.times(r.cells("surface", v.sources)).select(*CELL, derive.sea_level_pressure(*(F.col(s).cast("double") for s in v.sources)).alias("value"))
     if v.transform == "accumulation_increment":
         total = accum.total([F.col(s) for s in v.sources])
-        df = accum.increments_between(r.cells("surface", step_before=True), r.source.axis, total, ["j", "i"], "value", r.start, r.end)
+        df = accum.increments_between(r.cells("surface", v.sources, step_before=True), r.source.axis, total, ["j", "i"], "value", r.start, r.end)
         return df.select(*CELL, "value")
     raise ValueError(f"Unknown transform {v.transform!r}")
 
@@ -81,21 +84,25 @@ def _surface(r: Request, v: Variable) -> DataFrame:
 # --- level variables: one column of the model in, one value for each level out
 
 
-def _columns(r: Request) -> DataFrame:
+def _columns(r: Request, v: Variable) -> DataFrame:
     """Mass columns with the height of each level."""
-    df = r.times(r.cells("columns3d"))
+    df = r.times(r.cells("columns3d", v.sources))
     terrain = None
     if r.above_ground:
-        df = df.join(r.times(r.cells("surface")).select(*CELL, "HGT"), CELL)
+        df = df.join(r.times(r.cells("surface", ["HGT"])).select(*CELL, "HGT"), CELL)
         terrain = F.col("HGT")
     return df.withColumn("_z", derive.geo_height(F.col("PH"), F.col("PHB"), terrain))
 
 
-def _winds_3d(r: Request) -> DataFrame:
-    """Heights and rotated components of each mass column."""
-    u = stagger.unstagger_join(r.times(r.cells("u_stag", stagger_x=1)), ["time", "j"], "i_stag", "U").withColumnRenamed("i_stag", "i")
-    v = stagger.unstagger_join(r.times(r.cells("v_stag", stagger_y=1)), ["time", "i"], "j_stag", "V").withColumnRenamed("j_stag", "j")
-    df = wind.attach_rotation(_columns(r).select(*CELL, "_z").join(u, CELL).join(v, CELL), r.source.rotation)
+def _winds_3d(r: Request, variable: Variable) -> DataFrame:
+    """Heights and rotated components of each mass column.  All four winds are made of
+    the same rows, so in one job they share its shuffles."""
+    df = _columns(r, variable)
+    if not r.source.unstaggered:
+        u = r.times(r.cells("u_stag", ["U"], stagger_x=1)).select(*CELL[:2], "i_stag", "U")
+        v = r.times(r.cells("v_stag", ["V"], stagger_y=1)).select("time", "j_stag", "i", "V")
+        df = stagger.on_mass_points(df.select(*CELL, "_z"), u, v)
+    df = wind.attach_rotation(df, r.source.rotation)
     pairs = F.arrays_zip(F.col("U").cast("array<double>").alias("u"), F.col("V").cast("array<double>").alias("v"))
     turned = lambda part: F.transform(pairs, lambda x: wind.rotate(x["u"], x["v"], F.col("cosa"), F.col("sina"))[part])
     return df.withColumns({"_ue": turned(0), "_ve": turned(1)})
@@ -119,7 +126,7 @@ def _on_levels(r: Request, v: Variable, heights: Sequence[float]) -> DataFrame:
     if v.transform not in LEVELS:
         raise ValueError(f"Unknown transform {v.transform!r}")
     rows, values = LEVELS[v.transform]
-    df = rows(r).withColumn("_v", values())
+    df = rows(r, v).withColumn("_v", values())
     return df.select(*CELL, F.inline(levels.at_levels(F.col("_z"), F.col("_v"), heights)))
 
 
@@ -186,4 +193,4 @@ def write(source: ModelSource, path: str, variables=None, start=None, end=None,
     if len(shape) != 4 or min(shape) < 1:
         raise ValueError("chunk_shape must be four positive numbers: time, height, y, x")
     cube = convert(source, variables, start, end, bbox_degrees, target_levels, above_ground)
-    write_cube(source.spark, path, cube, coordinates(r), source.projection.parameters(), shape, dataset_type, compression, packing)
+    write_cube(source.spark, path, cube, coordinates(r), source.projection, shape, dataset_type, compression, packing)

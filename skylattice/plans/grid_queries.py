@@ -8,7 +8,10 @@ from __future__ import annotations
 import contextlib
 import io
 from collections.abc import Callable
+from datetime import datetime, timedelta
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,8 +19,11 @@ from .. import cli
 from ..catalog import Variable
 from ..functions.projection import Projection
 from ..session import scratch_folder
+from ..operators import bbox
 from ..sources import sink
+from ..sources.history import HistorySource
 from ..sources.model import ModelSource
+from ..testing import chunked
 from . import convert as plan
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -162,6 +168,33 @@ def corners_of_grid(spark, d):
     return spark.createDataFrame(inside if touched else [], "right_ int, top_ int")
 
 
+def _inverse_sql() -> str:
+    """A conic projection back to degrees, by the textbook's fixed point, with numbers
+    of the query's own: WGS 84, standard parallels 30 and 60 south, origin 41 S 173 E."""
+    t = lambda lat: f"tan(pi() / 4 - ({lat}) / 2) / pow((1 - e * sin({lat})) / (1 + e * sin({lat})), e / 2)"
+    steps, last = "", "i0"
+    for k in range(1, 9):
+        steps += f", i{k} AS (SELECT * EXCLUDE (lat), pi() / 2 - 2 * atan(ti * pow((1 - e * sin(lat)) / (1 + e * sin(lat)), e / 2)) AS lat FROM {last})"
+        last = f"i{k}"
+    return f"""WITH c AS (SELECT vec_id, 27000.0::DOUBLE * (vec_id % 97 - 48) AS x, 27000.0::DOUBLE * (vec_id % 89 - 44) AS y, 6378137.0::DOUBLE AS a, 0.08181919084262149::DOUBLE AS e,
+  radians(-30.0::DOUBLE) AS p1, radians(-60.0::DOUBLE) AS p2, radians(-41.0::DOUBLE) AS p0 FROM embeddings),
+m AS (SELECT *, cos(p1) / sqrt(1 - e * e * sin(p1) * sin(p1)) AS m1, cos(p2) / sqrt(1 - e * e * sin(p2) * sin(p2)) AS m2, {t("p1")} AS t1, {t("p2")} AS t2, {t("p0")} AS t0 FROM c),
+n AS (SELECT *, (ln(m1) - ln(m2)) / (ln(t1) - ln(t2)) AS n FROM m),
+f AS (SELECT *, m1 / (n * pow(t1, n)) AS f FROM n),
+r AS (SELECT *, a * f * pow(t0, n) AS r0 FROM f),
+i0 AS (SELECT *, pow(-sqrt(x * x + (r0 - y) * (r0 - y)) / (a * f), 1 / n) AS ti, 0.0::DOUBLE AS lat FROM r){steps}
+SELECT vec_id, round(173 + degrees(atan2(-x, -(r0 - y)) / n), 7) AS lon, round(degrees(lat), 7) AS lat FROM {last}"""
+
+
+@query("S10_F14_inverse_cells", _inverse_sql())
+def inverse_cells(spark, d):
+    """Degrees of every cell, worked out within the plan."""
+    p = Projection("lcc", -30.0, -60.0, -41.0, 173.0)
+    cells = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", (27000.0 * (F.col("vec_id") % 97 - 48)).alias("x"), (27000.0 * (F.col("vec_id") % 89 - 44)).alias("y"))
+    lon, lat = p.inverse(F.col("x"), F.col("y"))
+    return cells.select("vec_id", F.round(lon, 7).alias("lon"), F.round(lat, 7).alias("lat"))
+
+
 # --- conversions
 
 
@@ -247,10 +280,120 @@ def coordinates(spark, d):
     said = [(f"projection {meta['projection']['kind']}", 1), ("chunk " + " ".join(map(str, meta["chunk_shape"])), 1)]
     parts = spark.createDataFrame(said, "name string, n long")
     for c in ("time", "height", "x", "y"):
-        parts = parts.unionByName(spark.read.parquet(f"{out}/coordinates/{c}").agg(F.count(F.lit(1)).alias("n")).select(F.lit(c).alias("name"), "n"))
+        parts = parts.unionByName(sink.read_coordinate(spark, out, c).agg(F.count(F.lit(1)).alias("n")).select(F.lit(c).alias("name"), "n"))
     return parts
 
 
+@query("K3_S8_crs", _E + """SELECT DISTINCT j, i, CAST(-54000 + 27000.0::DOUBLE * i AS DOUBLE) AS x, CAST(-54000 + 27000.0::DOUBLE * j AS DOUBLE) AS y,
+  'lcc' AS kind, -30.0::DOUBLE AS lat_1, -60.0::DOUBLE AS lat_2, -41.0::DOUBLE AS lat_0, 173.0::DOUBLE AS lon_0, 'Lambert Conic Conformal (2SP)' AS method FROM e""")
+def crs_round_trip(spark, d):
+    """The projection as the written text has it, and as it is read back, beside the axes."""
+    out = scratch_folder(spark)
+    plan.write(source(spark, d), out, ["T2"], start="2024-01-01", end="2024-01-01T00:00")
+    p = sink.read_projection(spark, out)
+    cells = sink.read_variable(spark, out, "air_temperature").select("j", "i", F.round(F.col("x").cast("double")).alias("x"), F.round(F.col("y").cast("double")).alias("y"))
+    method = F.get_json_object(F.lit(sink.read_meta(spark, out)["crs"]), "$.conversion.method.name")
+    return cells.select("*", F.lit(p.kind).alias("kind"), *(F.lit(float(getattr(p, n))).alias(n) for n in ("lat_1", "lat_2", "lat_0", "lon_0")), method.alias("method"))
+
+
+@query("K1_K6_replaced_cube", _E + """SELECT 'u_wind' AS variable, t, j, i, CAST(q[2] * ca + q[3] * sa AS FLOAT)::DOUBLE AS value FROM g WHERE t BETWEEN 1 AND 2""")
+def replaced_cube(spark, d):
+    """A second write of other variables and times leaves nothing of the first."""
+    out = scratch_folder(spark)
+    s = source(spark, d)
+    plan.write(s, out, ["T2", "PSFC"], chunk_shape=(2, 1, 2, 2))
+    plan.write(s, out, ["U10"], start="2024-01-01T01:00", end="2024-01-01T02:00", chunk_shape=(1, 1, 3, 3))
+    names = [*sink.read_meta(spark, out)["variables"]]
+    parts = [sink.read_variable(spark, out, n).select(F.lit(n).alias("variable"), (F.col("t") + 1).cast("long").alias("t"), "j", "i", F.col(n).cast("double").alias("value")) for n in names]
+    whole = parts[0]
+    for p in parts[1:]:
+        whole = whole.unionByName(p)
+    return whole
+
+
+@query("K5_K8_box_of_blocks", _E + """SELECT time, j, i, round(round_even((q[1] + 280 + 61.0::DOUBLE) * 10, 0) / 10 - 61, 3) AS value FROM e WHERE t BETWEEN 5 AND 9 AND j BETWEEN 1 AND 3 AND i BETWEEN 2 AND 4""")
+def box_of_blocks(spark, d):
+    """A box of packed chunk blocks: only chunks that it touches are read."""
+    out = scratch_folder(spark)
+    plan.write(source(spark, d), out, ["T2"], chunk_shape=(3, 1, 2, 2), packing={"air_temp": (1, -61)})
+    rows = sink.read_variable(spark, out, "air_temperature", {"t": (5, 9), "j": (1, 3), "i": (2, 4)})
+    return rows.select("time", "j", "i", F.round(F.col("air_temperature").cast("double"), 3).alias("value"))
+
+
+@query("U4_dense_cube", _cube_sql("CAST(NULL AS DOUBLE)", 2.0, "list_transform(range(1, 64), lambda k: (k / 1024.0::DOUBLE) / (1 + k / 1024.0::DOUBLE))", 6, (500.0, 1e9)))
+def dense_cube(spark, d):
+    """Every cell of the axes, from a cube whose blocks have only some: no value lies at
+    the highest level, so its chunks were never written, and one variable has no 2 m."""
+    out = scratch_folder(spark)
+    s = source(spark, d)
+    s.catalogue = {k: s.catalogue[k] for k in ("Q", "T2")}
+    plan.write(s, out, ["Q", "T2"], target_levels=[500, 1e9], chunk_shape=(3, 1, 2, 3))
+    rows = sink.read_variable(spark, out, "specific_humidity", dense=True)
+    return rows.select("time", "height", "j", "i", F.round(F.col("specific_humidity").cast("double"), 6).alias("value"))
+
+
+def history(spark: SparkSession, d: str) -> list[str]:
+    """The same steps as ``gridded`` as two chunked history files, each step's planes
+    written by the task that has its rows.  Half of a file's plane is a chunk."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(scratch_folder(spark))
+    if folder.getFileSystem(spark._jsc.hadoopConfiguration()).getScheme() != "file":
+        raise ValueError("history files need a folder that driver and executors can open")
+    base = folder.toUri().getPath()
+    e = spark.read.parquet(f"{d}/embeddings.parquet").select(F.floor(F.col("vec_id") / (N * N)).alias("step"), (F.col("vec_id") % (N * N)).cast("int").alias("cell"), "embedding")
+    steps, size = e.agg(F.max("step"), F.max(F.size("embedding"))).first()
+    steps, nz = steps + 1, size - 1
+    first = steps // 2
+    attrs = dict(ATTRS)
+    paths = [f"{base}/{x}" for x in "ab"]
+    for path, n, shift in ((paths[0], first, 0), (paths[1], steps - first, first)):
+        shapes = {v: (n, N, N) for v in ("T2", "U10", "V10", "COSALPHA", "SINALPHA")} | {v: (n, z, N, N) for v, z in (("T", nz), ("PH", nz + 1), ("PHB", nz + 1))} | {"U": (n, nz, N, N + 1), "V": (n, nz, N + 1, N)}
+        index = {v: (x, "float32", (1, *x[1:-2], 3, x[-1])) for v, x in shapes.items()}
+        chunked.write_index(path, index | {"Times": ((n, 19), "S1", (n, 19))}, attrs)
+        text = [f"{datetime(2024, 1, 1) + timedelta(hours=shift + k):%Y-%m-%d_%H:%M:%S}" for k in range(n)]  # a row a step
+        chunked.write_chunk(path, "Times", (0, 0), np.array([list(x) for x in text], "S1"))
+
+    def planes(rows):
+        step = int(rows["step"].iloc[0])
+        q = np.rint(np.stack(rows.sort_values("cell")["embedding"].to_list()).astype(np.float64) * 64).T.reshape(size, N, N)  # value, j, i
+        j, i = np.meshgrid(np.arange(N), np.arange(N), indexing="ij")
+        angle = np.radians(i * 2.0 - j)
+        u, v = np.concatenate([q, q[..., -1:]], 2), np.concatenate([q, q[:, -1:]], 1)
+        level = np.arange(nz + 1)[:, None, None]
+        data = {
+            "T2": q[0] + 280, "U10": q[1], "V10": q[2], "COSALPHA": np.cos(angle), "SINALPHA": np.sin(angle), "T": q[:nz], "PH": 0 * level + 0 * j, "PHB": level * 2048 * (j + 1),
+            "U": u[:nz] + np.arange(N + 1), "V": v[:nz] - np.arange(N + 1)[:, None],
+        }
+        path, t = (paths[0], step) if step < first else (paths[1], step - first)
+        for name, x in data.items():
+            x = x[None].astype(np.float32)
+            for k in range(-(-x.shape[-2] // 3)):
+                chunked.write_chunk(path, name, (t, *[0] * (x.ndim - 3), k, 0), x[..., 3 * k : 3 * k + 3, :])
+        return pd.DataFrame({"step": [step]})
+
+    e.groupBy("step").applyInPandas(planes, "step long").count()  # a step's plane at a time
+    return paths
+
+
+@query("S11_history_box", _E + """SELECT time, j, i, CAST(q[1] + 280 AS DOUBLE) AS t2, CAST(q[2] AS DOUBLE) AS u10, CAST(k - 1 AS INTEGER) AS level, CAST((q[k] + i + q2[k] + i + 1) / 2 AS DOUBLE) AS u
+FROM (SELECT e.*, r.q AS q2 FROM e JOIN e r ON r.t = e.t AND r.j = e.j AND r.i = least(e.i + 1, 4)), unnest(range(1, 64)) AS l(k) WHERE t BETWEEN 9 AND 13 AND j BETWEEN 1 AND 3 AND i BETWEEN 2 AND 4""")
+def history_box(spark, d):
+    """A box over two chunked files, read where they lie: surface values, and a component
+    that comes out at the cells' middles."""
+    s = HistorySource(spark, history(spark, d), library="skylattice.testing.chunked")
+    cells = lambda table, columns: bbox.within(s.timed(table, "2024-01-01T09:00", "2024-01-01T13:00", columns), (1, 3, 2, 4))
+    wide = cells("columns3d", ["U"]).select("time", "j", "i", F.posexplode(F.col("U").cast("array<double>")).alias("level", "u"))
+    flat = cells("surface", ["T2", "U10"]).select("time", "j", "i", F.col("T2").cast("double").alias("t2"), F.col("U10").cast("double").alias("u10"))
+    return flat.join(wide, ["time", "j", "i"])
+
+
+@query("S11_F10_history_winds", _cube_sql("ve10", 10.0, "ve"))
+def history_winds(spark, d):
+    """A whole conversion from chunked files: no shuffle but the last join with the axis."""
+    s = HistorySource(spark, history(spark, d), library="skylattice.testing.chunked")
+    cube = plan.convert(s, "v_wind", target_levels=LEVELS)["v_wind"]
+    return cube.select("time", "height", "j", "i", F.round(F.col("value").cast("double"), 3).alias("value"))
+
+
 class _OtherModel(ModelSource):
     """Another model: a catalogue of its own and a projection from other attributes."""
 
