@@ -171,6 +171,17 @@ def output_names(spark, d):
     return catalog.as_frame(spark).join(broadcast_if_small(table), "out_name").select("key", "name", "standard_name", "units")
 
 
+_KEYS = [x.split(" ")[0] for x in _STORED.strip().splitlines()]
+
+
+@query("K4_names_of_parts", f"""SELECT p_partkey, t.key, t.name, t.standard_name, t.units FROM part
+JOIN (VALUES {_values([tuple(x.split(' ', 3)) for x in _STORED.strip().splitlines()])}) AS t(key, name, standard_name, units) ON t.key = {_KEYS!r}[p_partkey % {len(_KEYS)} + 1]""")
+def names_of_parts(spark, d):
+    """Each row of a table asks for a key's stored name and attributes."""
+    parts = _t(spark, d, "part").select("p_partkey", F.element_at(F.array(*map(F.lit, _KEYS)), (F.col("p_partkey") % len(_KEYS) + 1).cast("int")).alias("key"))
+    return parts.join(broadcast_if_small(output_names(spark, d)), "key").select("p_partkey", "key", "name", "standard_name", "units")
+
+
 @query("K5_chunk", "SELECT event_id, CAST(user_id // 50 AS BIGINT) AS user_id_chunk, CAST(event_id // 24 AS BIGINT) AS event_id_chunk FROM events")
 def chunk(spark, d):
     e = _t(spark, d, "events").select("event_id", "user_id")
@@ -210,6 +221,23 @@ def resolve_names(spark, d):
     return resolve.resolve_frame(requests, catalog.as_frame(spark))
 
 
+@query("P1_resolve_orders", """
+WITH c AS (SELECT * FROM (VALUES %s) AS c(pos, key, out_name, source_vars)),
+q AS (SELECT o_orderkey AS "at", %r[o_orderkey %% %d + 1] AS name FROM orders),
+s AS (SELECT pos, key, unnest(source_vars) AS name FROM c),
+w AS (SELECT "at", pos, key, 1 AS way FROM q JOIN c ON key = name
+      UNION ALL SELECT "at", pos, key, 2 FROM q JOIN c ON out_name = name
+      UNION ALL SELECT "at", max(pos), max_by(key, pos), 3 FROM q JOIN s USING (name) GROUP BY "at"),
+b AS (SELECT *, min(way) OVER (PARTITION BY "at") AS best FROM w),
+o AS (SELECT "at", pos, key, row_number() OVER (PARTITION BY key ORDER BY "at", pos) AS n FROM b WHERE way = best)
+SELECT "at", pos, key FROM o WHERE n = 1
+""" % (_values([(i, v.key, v.out, list(v.sources)) for i, v in enumerate(catalog.CATALOGUE.values())]), _REQUESTS, len(_REQUESTS)))
+def resolve_orders(spark, d):
+    """A name for each order; each key comes at the first order that means it."""
+    name = F.element_at(F.array(*map(F.lit, _REQUESTS)), (F.col("o_orderkey") % len(_REQUESTS) + 1).cast("int"))
+    return resolve.resolve_frame(_t(spark, d, "orders").select(F.col("o_orderkey").alias("at"), name.alias("name")), catalog.as_frame(spark))
+
+
 @query("P2_prune", "SELECT l_orderkey, l_quantity FROM lineitem")
 def prune(spark, d):
     return _t(spark, d, "lineitem").select("l_orderkey", "l_quantity")
@@ -364,6 +392,26 @@ def accumulation(spark, d):
     return timeaxis.between_times(accum.increments(e, F.col("total"), ["user_id"], ["ts", "event_id"], "increment"), "2024-01-10", None, "ts").select("event_id", "ts", "increment")
 
 
+@query("W1_J4_segments", """
+WITH c AS (SELECT user_id, ts, event_id, CAST(round_even(value * 100, 0) AS BIGINT) AS cents FROM events),
+a AS (SELECT *, sum(cents) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS total FROM c)
+SELECT user_id, event_id, ts, CAST(total - lag(total) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS increment FROM a
+""")
+def segments(spark, d):
+    """Days as segments: all but the last two at once, then each of these from its own
+    rows and the edges of those before."""
+    w = accum.W.partitionBy("user_id").orderBy("ts", "event_id")
+    e = _t(spark, d, "events").withColumn("total", F.sum(_cents()).over(w)).withColumn("day", F.date_trunc("DAY", "ts"))
+    last = e.agg(F.max("day")).first()[0]
+    parts, earlier, order = [], None, ["ts", "event_id"]
+    for own in (F.date_diff(F.lit(last), "day") > 1, F.date_diff(F.lit(last), "day") == 1, F.date_diff(F.lit(last), "day") == 0):
+        rows = e.filter(own)
+        edges = accum.segment_edges(rows, F.col("total"), "day", ["user_id"], order)
+        parts.append(accum.increments_by_segment(rows, F.col("total"), "day", ["user_id"], order, "increment", earlier, edges))
+        earlier = edges if earlier is None else earlier.unionByName(edges)
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @query("W1_halo", """
 WITH g AS (SELECT n_nationkey AS cell, CAST(k AS BIGINT) AS k, TIMESTAMP '2024-01-01' + to_hours(CAST(k AS INTEGER)) AS time, CAST((k * k + n_nationkey * k) AS DOUBLE) AS total FROM nation, unnest(range(48)) AS t(k)),
 i AS (SELECT *, total - lag(total) OVER (PARTITION BY cell ORDER BY time) AS increment FROM g)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skylattice.functions.projection import SPHERE, Projection
-from skylattice.operators import levels, stagger
+from skylattice.operators import accum, levels, stagger
 from skylattice.plans import convert as plan
 from skylattice.sources.model import ModelSource
 from skylattice.testing import synth
@@ -68,6 +68,30 @@ def test_winds_share_one_shuffle(spark, tmp_path):
     assert len(cells) == 1 and final.count("ReusedExchange") >= 3
 
 
+def test_segments_give_the_same_increments(spark):
+    """Cells that miss in some segments, null totals, and a segment that is added."""
+    rows = [(f, c, 10 * f + t, None if (f, c, t) == (1, 2, 3) else float((10 * f + t) ** 2 * c)) for f in range(4) for c in range(3) for t in range(4) if (f, c) != (2, 1)]
+    df = spark.createDataFrame(rows, "file int, cell int, t int, total double").repartition(3)
+    total, order = F.col("total"), ["t"]
+    want = sorted(map(repr, accum.increments(df, total, ["cell"], order, "inc").select("cell", "t", "inc").collect()))
+    assert sorted(map(repr, accum.increments_by_segment(df, total, "file", ["cell"], order, "inc").collect())) == want
+    old, new = df.filter("file < 3"), df.filter("file = 3")
+    edges = accum.segment_edges(old, total, "file", ["cell"], order)
+    added = accum.increments_by_segment(new, total, "file", ["cell"], order, "inc", edges)
+    assert sorted(map(repr, accum.increments_by_segment(old, total, "file", ["cell"], order, "inc").unionByName(added).collect())) == want
+
+
+def test_a_new_segment_reads_only_edges(spark, tmp_path):
+    df = spark.range(1000).selectExpr("id div 100 AS file", "id % 5 AS cell", "id AS t", "cast(id * id AS double) AS total")
+    df.filter("file < 9").write.parquet(f"{tmp_path}/rows")
+    accum.segment_edges(spark.read.parquet(f"{tmp_path}/rows"), F.col("total"), "file", ["cell"], ["t"]).filter("file = 8").write.parquet(f"{tmp_path}/edges")
+    added = accum.increments_by_segment(df.filter("file = 9"), F.col("total"), "file", ["cell"], ["t"], "inc", spark.read.parquet(f"{tmp_path}/edges"))
+    text = added._jdf.queryExecution().executedPlan().toString()
+    assert text.count("FileScan") == 1 and "rows]" not in text
+    want = accum.increments(df, F.col("total"), ["cell"], ["t"], "inc").filter("file = 9").select("cell", "t", "inc")
+    assert sorted(map(repr, added.collect())) == sorted(map(repr, want.collect()))
+
+
 def test_on_mass_points(spark):
     mass = spark.createDataFrame([(0, j, i, [float(j)], "m") for j in range(2) for i in range(3)], "time int, j int, i int, z array<double>, name string")
     u = spark.createDataFrame([(0, j, i, [10.0 * i + j]) for j in range(2) for i in range(4)], "time int, j int, i_stag int, U array<double>")
