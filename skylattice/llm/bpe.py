@@ -28,6 +28,19 @@ WHITE = r"\t\n\v\f\r \x85\xa0  -     　"
 #: The byte-level split that a file names by ``use_regex`` only.
 BYTE_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 NONE = np.iinfo(np.int64).max
+#: Lower case of letters that are newer than this Python's tables but not
+#: than the library's: single ones, and (first, last, distance).
+NEWER_LOWER = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
+NEWER_LOWER |= {c: c + d for a, z, d in ((0x10D50, 0x10D65, 0x20), (0x16EA0, 0x16EB8, 0x1B)) for c in range(a, z + 1)}
+#: Letters and digits (first, last) that Unicode 16 added, which the
+#: library has and Python's tables don't.
+ADDED = (
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D40, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4), (0x11380, 0x11389), (0x1138B, 0x1138B),
+    (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3), (0x116D0, 0x116E3), (0x11BC0, 0x11BE0), (0x11BF0, 0x11BF9), (0x13460, 0x143FA),
+    (0x16100, 0x1611D), (0x16130, 0x16139), (0x16D40, 0x16D6C), (0x16D70, 0x16D79), (0x18CFF, 0x18CFF), (0x1CCF0, 0x1CCF9), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5FA),
+)
+#: Below, every character is in all tables.
+_FAR = regex.compile("[\u0530-\U0010ffff]")
 
 
 def byte_letters() -> list[str]:
@@ -121,18 +134,30 @@ class Vocabulary:
         if not self.normalised:
             return text
         text = self.white.sub(" ", unicodedata.normalize("NFC", text))
+        if _FAR.search(text):
+            text = text.translate(NEWER_LOWER)
         return text.replace("Σ", "σ").lower()  # letter by letter: no final sigma
 
+    def cut(self, text: str) -> list[str]:
+        """The split of a text without special tokens.  Characters that Python's tables
+        don't have are no letters for the library, whatever this split's tables say."""
+        if not _FAR.search(text):
+            return self.split.findall(text)
+        odd = {ord(c): "§" for c in {*text} if unicodedata.category(c) == "Cn" and not any(a <= ord(c) <= z for a, z in ADDED)}
+        if not odd:
+            return self.split.findall(text)
+        return [text[m.start() : m.end()] for m in self.split.finditer(text.translate(odd))]
+
     def pieces(self, text: str) -> list[str]:
         """The text's pre-tokens; special tokens stand among them as they are."""
         if not any(x in text for x in self.special):
-            return self.split.findall(self.normalise(text))
+            return self.cut(self.normalise(text))
         out: list[str] = []
         for part in self.at_special.split(text):
             if part in self.special:
                 out.append(part)
             else:
-                out += self.split.findall(self.normalise(part))
+                out += self.cut(self.normalise(part))
         return out
 
     def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -219,6 +244,10 @@ class PrefixCounts(Vocabulary):
 
     def __init__(self, data: bytes):
         super().__init__(data)
+        spec = json.loads(data)
+        steps = _steps(spec["pre_tokenizer"], "pretokenizers")
+        if self.normalised or self.suffix or [x["type"] for x in steps] != ["ByteLevel"] or not steps[0].get("use_regex", True):
+            raise ValueError("prefixes are counted for the plain byte-level split only")
         n = len(self.text_of)
         byte_of = {c: b for b, c in enumerate(byte_letters())}
         self.born = np.full(n, -1)

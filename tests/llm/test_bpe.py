@@ -1,6 +1,7 @@
 """The numpy merges and prefix counts against the tokenizers library."""
 
 import numpy as np
+import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -132,3 +133,27 @@ def test_long_text(spark):
     (row,) = bpe.token_counts(df, BYTE).collect()
     assert row.n_bytes == len(text) and row.n_tokens == len(tokenizers.Tokenizer.from_file(BYTE).encode(text).ids)
     assert len(bpe.encode(df, WORD).collect()[0].ids) == len(tokenizers.Tokenizer.from_file(WORD).encode(text, add_special_tokens=False).ids)
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_every_character(name):
+    """Each code point among letters and digits, those of newer tables included."""
+    import unicodedata
+
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(public_tokenizers.path(name))
+    lib.no_padding()
+    lib.no_truncation()
+    with open(public_tokenizers.path(name), "rb") as f:
+        own = bpe.Vocabulary(f.read())
+    points = [c for c in range(0x20000) if not 0xD800 <= c < 0xE000 and unicodedata.category(chr(c)) != "Co"]
+    for k in range(0, len(points), 10_000):
+        texts = [f"a{chr(c)}b 1{chr(c)}2 {chr(c)}{chr(c)} x" for c in points[k : k + 10_000]]
+        want = lib.encode_batch(texts, add_special_tokens=False)
+        assert [points[k + i] for i, (a, b) in enumerate(zip(own.encode(texts), want, strict=True)) if a.tolist() != b.ids] == []
+
+
+def test_other_splits_are_refused_for_prefixes():
+    with open(public_tokenizers.path("word_bpe_49k.json"), "rb") as f, pytest.raises(ValueError, match="byte-level"):
+        bpe.PrefixCounts(f.read())
