@@ -9,6 +9,7 @@ import contextlib
 import io
 from collections.abc import Callable
 from datetime import datetime, timedelta
+from functools import wraps
 
 import numpy as np
 import pandas as pd
@@ -22,7 +23,7 @@ from ..session import scratch_folder
 from ..operators import bbox
 from ..sources import sink
 from ..sources.history import HistorySource
-from ..sources.model import ModelSource
+from ..sources.model import ModelSource, exists
 from ..testing import chunked
 from . import convert as plan
 
@@ -57,9 +58,29 @@ def oracle_sql() -> dict[str, str]:
 # --- the input, as files and as SQL
 
 
-def gridded(spark: SparkSession, d: str) -> list[str]:
+_made: dict[tuple[str, str, str], list[str]] = {}
+
+
+def once(make: Callable[[SparkSession, str, str], list[str]]) -> Callable[[SparkSession, str], list[str]]:
+    """Input files are made once for an application and a folder of tables, and go when
+    the application ends."""
+
+    @wraps(make)
+    def found(spark: SparkSession, d: str) -> list[str]:
+        key = (spark.sparkContext.applicationId, d, make.__name__)
+        if key not in _made or not all(exists(spark, p) for p in _made[key]):
+            base = scratch_folder(spark)
+            _made[key] = make(spark, d, base)
+            path = spark._jvm.org.apache.hadoop.fs.Path(base)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+        return _made[key]
+
+    return found
+
+
+@once
+def gridded(spark: SparkSession, d: str, base: str) -> list[str]:
     """Two input folders, the later half of the steps in the second."""
-    base = scratch_folder(spark)
     e = spark.read.parquet(f"{d}/embeddings.parquet")
     q = F.transform("embedding", lambda x: F.rint(x.cast("double") * 64))
     cell = F.col("vec_id") % (N * N)
@@ -332,10 +353,11 @@ def dense_cube(spark, d):
     return rows.select("time", "height", "j", "i", F.round(F.col("specific_humidity").cast("double"), 6).alias("value"))
 
 
-def history(spark: SparkSession, d: str) -> list[str]:
+@once
+def history(spark: SparkSession, d: str, base: str) -> list[str]:
     """The same steps as ``gridded`` as two chunked history files, each step's planes
     written by the task that has its rows.  Half of a file's plane is a chunk."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(scratch_folder(spark))
+    folder = spark._jvm.org.apache.hadoop.fs.Path(base)
     if folder.getFileSystem(spark._jsc.hadoopConfiguration()).getScheme() != "file":
         raise ValueError("history files need a folder that driver and executors can open")
     base = folder.toUri().getPath()
