@@ -1,73 +1,115 @@
 """Exact dedup against a persistent digest index.
 
-The index is a table of digests bucketed and sorted by digest.  A batch of new
-rows is reduced to one row for each digest, a sort-merge anti-join against the
-index finds digests not seen before, and those are appended.  Digests, not
-texts, are shuffled, and of the index nothing is.
+The index has its digests in tables bucketed and sorted by digest.  A batch of new
+rows is reduced to one row for each digest, sort-merge anti-joins against the
+index find digests not seen before, and those are appended.  Digests, not texts,
+are shuffled; of the index nothing is shuffled or sorted.
 """
 
 from __future__ import annotations
 
+import re
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
 
+#: With it, a scan of buckets of one sorted file each counts as sorted.
+IN_ORDER = "spark.sql.legacy.bucketedTableScan.outputOrdering"
 
 def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), common.SPACE_CLASS + "+", " ")
 
 
 class DigestIndex:
-    """A table (digest binary, keep_id long, batch string), bucketed and sorted by
-    digest.  Joins on the digest leave it where it is: only the batch moves."""
-
-    #: Batches after which a bucket's files are merged into one sorted file again.
+    """Rows (digest binary, keep_id long, batch string) in segments: a table for each
+    batch, bucketed and sorted by digest, with one file in each bucket, and each
+    digest in one segment only.  Joins on the digest leave segments where they are
+    and read them in their order: only the batch is moved and sorted.
+
+    Segment ``name_a_z`` has batches number a to z.  A table gets into the catalog
+    when its files are whole, and a segment within another's range doesn't count, so
+    an append or a compaction that breaks off anywhere leaves the index as it was or
+    as it should be.  One writer at a time.
+    """
+
+    #: Segments after which they are merged into one.
     COMPACT_AFTER = 8
 
     def __init__(self, spark: SparkSession, name: str, path: str, buckets: int | None = None):
-        """Opens the table ``name``, and creates it below ``path`` if the catalog has
-        none.  ``buckets`` counts for a new table only."""
+        """Opens the index ``name``, and makes an empty one below ``path`` if the
+        catalog has none.  ``path`` and ``buckets`` count for a new one only."""
         self.spark, self.name, self.path = spark, name, path
         self.buckets = buckets or common.partitions(spark)
-        if spark.catalog.tableExists(name):
-            detail = {r.col_name: r.data_type for r in spark.sql(f"DESCRIBE TABLE EXTENDED {name}").collect()}
-            self.buckets = int(detail["Num Buckets"])
+        there = self._ranges()
+        if there:
+            detail = self._detail(self._table(*there[0]))
+            self.buckets, self.path = int(detail["Num Buckets"]), detail["Location"].rpartition("/")[0]
+            self._clean()
         else:
-            self._write(spark.createDataFrame([], "digest binary, keep_id long, batch string"), name)
+            self._write(spark.createDataFrame([], "digest binary, keep_id long, batch string"), 0, 0)
+
+    def _table(self, a: int, z: int) -> str:
+        return f"{self.name}_{a}_{z}"
+
+    def _detail(self, table: str) -> dict[str, str]:
+        return {r.col_name: r.data_type for r in self.spark.sql(f"DESCRIBE TABLE EXTENDED {table}").collect()}
+
+    def _ranges(self) -> list[tuple[int, int]]:
+        """The ranges of all tables of this index: at most some more than ``COMPACT_AFTER``."""
+        base, _, table = self.name.rpartition(".")
+        found = self.spark.sql(f"SHOW TABLES{f' IN {base}' if base else ''} LIKE '{table}_*'").collect()
+        ends = (re.fullmatch(rf"{re.escape(table)}_(\d+)_(\d+)", r.tableName, re.I) for r in found)
+        return sorted((int(m[1]), int(m[2])) for m in ends if m)
+
+    def segments(self) -> list[tuple[int, int]]:
+        """The ranges that count, in order: those that aren't within another."""
+        out: list[tuple[int, int]] = []
+        for a, z in sorted(self._ranges(), key=lambda r: (r[0], -r[1])):
+            if not out or z > out[-1][1]:
+                out.append((a, z))
+        return out
+
+    def _tables(self) -> list[DataFrame]:
+        return [self.spark.table(self._table(*r)) for r in self.segments()]
+
+    def _write(self, rows: DataFrame, a: int, z: int) -> None:
+        out = rows.write.bucketBy(self.buckets, "digest").sortBy("digest").format("parquet")
+        # A folder of its own, as one that broke off may have left files.
+        out.option("path", f"{self.path}/{self.name}_{uuid.uuid4().hex}").saveAsTable(self._table(a, z))
 
-    def _write(self, rows: DataFrame, name: str) -> None:
-        out = rows.write.bucketBy(self.buckets, "digest").sortBy("digest").mode("append").format("parquet")
-        if not self.spark.catalog.tableExists(name):
-            out = out.option("path", f"{self.path}/{name}")
-        out.saveAsTable(name)
+    def append(self, rows: DataFrame) -> None:
+        """Adds a segment of rows that lie by digest in ``buckets`` partitions."""
+        number = self.segments()[-1][1] + 1
+        self._write(rows, number, number)
 
     def rows(self) -> DataFrame:
-        return self.spark.table(self.name)
+        return reduce(DataFrame.union, self._tables())
 
-    def batches(self) -> int:
-        return self.rows().select("batch").distinct().count()
+    def _remove(self, table: str) -> None:
+        location = self._detail(table)["Location"]
+        self.spark.sql(f"DROP TABLE {table}")
+        common.remove(self.spark, location)
 
-    def location(self) -> str:
-        return {r.col_name: r.data_type for r in self.spark.sql(f"DESCRIBE TABLE EXTENDED {self.name}").collect()}["Location"]
+    def _clean(self) -> None:
+        """Removes segments that another one took the place of."""
+        for r in {*self._ranges()} - {*self.segments()}:
+            self._remove(self._table(*r))
 
     def drop(self) -> None:
         """Removes the index; results of ``dedup`` stay."""
-        location = self.location()
-        self.spark.sql(f"DROP TABLE {self.name}")
-        common.remove(self.spark, location)
+        for r in self._ranges():
+            self._remove(self._table(*r))
 
     def compact(self) -> None:
-        """Writes the index anew with one sorted file in each bucket, and takes
-        the new table in place of the old one."""
-        location = self.location()
-        new = f"{self.name}_{uuid.uuid4().hex}"
-        self._write(self.rows().repartition(self.buckets, "digest").sortWithinPartitions("digest"), new)
-        self.spark.sql(f"DROP TABLE {self.name}")
-        self.spark.sql(f"ALTER TABLE {new} RENAME TO {self.name}")
-        common.remove(self.spark, location)
+        """Writes all segments as one, then removes them."""
+        own = self.segments()
+        if len(own) > 1:
+            self._write(self.rows().repartition(self.buckets, "digest").sortWithinPartitions("digest"), own[0][0], own[-1][1])
+        self._clean()
 
     def dedup(self, docs: DataFrame, batch: str, key: str = "doc_id", text: str = "text") -> DataFrame:
         """Each row of ``docs`` with keep_id, group_size, kept and text_sha256.
@@ -83,13 +125,14 @@ class DigestIndex:
         within its row.  A batch that is given again after its append (``batch``
         is the same) gets the same result, and nothing is appended twice.
         """
-        return common.finished(self.spark, lambda: self._dedup(docs, batch, key, text))
+        with common.setting(self.spark, IN_ORDER, "true"):
+            return common.finished(self.spark, lambda: self._dedup(docs, batch, key, text))
 
     def _dedup(self, docs: DataFrame, batch: str, key: str, text: str) -> DataFrame:
         digests = common.staged(docs.select(F.col(key).alias("doc_id"), F.unhex(F.sha2(normalised(F.col(text)), 256)).alias("digest")))
         groups = digests.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("group_size"))
         groups = common.staged(groups.repartition(self.buckets, "digest").sortWithinPartitions("digest"))
-        self._write(self.fresh(groups, batch), self.name)
+        self.append(self.fresh(groups, batch))
         known = self.known(groups)
         # A text that stands alone needs no look-up of its group: fewer rows meet in the join below.
         shared = common.staged(known.filter((F.col("group_size") > 1) | (F.col("batch") != batch)))
@@ -102,20 +145,26 @@ class DigestIndex:
             (new & keep.eqNullSafe(F.col("doc_id"))).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"),
         )
         out = common.staged(out)
-        if self.batches() > self.COMPACT_AFTER:
+        if len(self.segments()) > self.COMPACT_AFTER:
             self.compact()
         return out
 
     def fresh(self, groups: DataFrame, batch: str) -> DataFrame:
-        """Rows to append: the batch's digests that no batch, this one included, has."""
+        """Rows to append: the batch's digests that no batch, this one included, has.
+        Of segments only digests are read; the batch keeps its order from join to join."""
         new = groups.select("digest", F.col("first_id").alias("keep_id")).repartition(self.buckets, "digest")
-        new = new.join(self.rows().select("digest").hint("merge"), "digest", "left_anti")
+        for segment in self._tables():
+            new = new.join(segment.select("digest").hint("merge"), "digest", "left_anti")
         return new.withColumn("batch", F.lit(batch)).sortWithinPartitions("digest")
 
     def known(self, groups: DataFrame) -> DataFrame:
         """What the index has of the batch's digests, now that they are in it."""
-        found = self.rows().select("digest", "keep_id", "batch").hint("merge")
-        return groups.repartition(self.buckets, "digest").join(found, "digest").select("digest", "group_size", "keep_id", "batch")
+        out, at = groups.select("digest", "group_size").repartition(self.buckets, "digest"), range(len(self.segments()))
+        for n, segment in enumerate(self._tables()):
+            out = out.join(segment.toDF("digest", f"keep_{n}", f"batch_{n}").hint("merge"), "digest", "left")
+        # A digest is in one segment, so the others' values are null.
+        keep, batch = (F.coalesce(*(F.col(f"{c}_{n}") for n in at)) for c in ("keep", "batch"))
+        return out.select("digest", "group_size", keep.alias("keep_id"), batch.alias("batch")).filter("batch IS NOT NULL")
 
 
 def new_index(spark: SparkSession) -> DigestIndex:

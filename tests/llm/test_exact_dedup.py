@@ -1,4 +1,6 @@
-from skylattice.llm import exact_dedup
+import pytest
+
+from skylattice.llm import common, exact_dedup
 
 
 def rows(df):
@@ -28,6 +30,61 @@ def test_index_is_bucketed_and_not_shuffled(spark):
         assert "SortMergeJoin" in plan and plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan
 
 
+def test_index_is_not_sorted_again(spark):
+    """Of three segments none is sorted, only the batch."""
+    index = exact_dedup.new_index(spark)
+    for n in range(2):
+        index.dedup(spark.createDataFrame([(n, f"x{k}") for k in range(40 * n, 40 * n + 60)], "doc_id long, text string").repartition(3), f"{n}")
+    assert len(index.segments()) == 3 and index.rows().count() == 100
+    groups = common.staged(spark.createDataFrame([(b"q", 1, 1)], "digest binary, first_id long, group_size long"))
+    with common.setting(spark, exact_dedup.IN_ORDER, "true"):
+        for joined in (index.fresh(groups, "b"), index.known(groups)):
+            plan = joined._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("SortMergeJoin") == 3 and plan.count("Exchange hashpartitioning") == 1
+            assert plan.count("Sort [") == 1
+    assert spark.conf.get(exact_dedup.IN_ORDER) == "false"
+    index.drop()
+
+
+@pytest.mark.parametrize("at", ["_write", "_clean", "_remove"])
+def test_compaction_that_breaks_off(spark, monkeypatch, at):
+    """Before the merged segment is there, after it, or between two removals."""
+    index = exact_dedup.new_index(spark)
+    for n in range(3):
+        index.dedup(spark.createDataFrame([(n, f"x{n}"), (n, "x0")], "doc_id long, text string"), f"{n}")
+    have = sorted(map(tuple, index.rows().collect()))
+    assert len(have) == 3
+    own, calls = getattr(exact_dedup.DigestIndex, at), []
+
+    def broken(self, *args):
+        calls.append(args)
+        if at == "_remove" and len(calls) < 2:
+            return own(self, *args)
+        raise RuntimeError("stopped")
+
+    with monkeypatch.context() as m, pytest.raises(RuntimeError):
+        m.setattr(exact_dedup.DigestIndex, at, broken)
+        index.compact()
+    again = exact_dedup.DigestIndex(spark, index.name, "unused")
+    assert sorted(map(tuple, again.rows().collect())) == have
+    assert again._ranges() == again.segments()
+    assert rows(again.dedup(spark.createDataFrame([(9, "x1"), (8, "y")], "doc_id long, text string"), "z")) == [(8, 8, 1, True), (9, 1, 1, False)]
+    assert again.rows().count() == 4
+    again.drop()
+
+
+def test_append_that_breaks_off(spark, monkeypatch):
+    """A batch whose append failed is given again."""
+    index = exact_dedup.new_index(spark)
+    df = spark.createDataFrame([(2, "a"), (1, "a")], "doc_id long, text string")
+    with monkeypatch.context() as m, pytest.raises(RuntimeError):
+        m.setattr(exact_dedup.DigestIndex, "known", lambda *a: (_ for _ in ()).throw(RuntimeError("stopped")))
+        index.dedup(df, "a")
+    assert rows(index.dedup(df, "a")) == [(1, 1, 2, True), (2, 1, 2, False)]
+    assert index.rows().count() == 1
+    index.drop()
+
+
 def test_compaction_and_drop(spark, monkeypatch):
     monkeypatch.setattr(exact_dedup.DigestIndex, "COMPACT_AFTER", 2)
     index = exact_dedup.new_index(spark)
