@@ -161,19 +161,21 @@ def inputs(spark, d):
     return spark.createDataFrame([(n, float(v)) for n, v in rows], "name string, value double")
 
 
-_POINTS = [(k, 160.0 + 5 * x, -55.0 + 7.5 * y) for k in ("lcc", "polar", "mercator") for x in range(6) for y in range(6)]
+_KINDS = ("lcc", "polar", "mercator")
 
 
-@query("S10_F14_inverse", "SELECT kind, lon, lat, lon AS back_lon, lat AS back_lat FROM (VALUES " + ", ".join(f"('{k}', {a}::DOUBLE, {b}::DOUBLE)" for k, a, b in _POINTS) + ") AS t(kind, lon, lat)")
+@query("S10_F14_inverse", f"""SELECT vec_id, kind, lon, lat, lon AS back_lon, lat AS back_lat
+FROM (SELECT vec_id, ({[*_KINDS]!r})[vec_id % 3 + 1] AS kind, 160 + vec_id % 101 * 0.25::DOUBLE AS lon, -55 + vec_id % 151 * 0.25::DOUBLE AS lat FROM embeddings)""")
 def inverse(spark, d):
-    """Forward in columns and back in numbers, as for a box's corners, gives the place again."""
+    """Forward and back in columns gives the place again, for three kinds of projections."""
     kinds = {p.kind: p for p in (Projection("lcc", -30.0, -60.0, -41.0, 173.0), Projection("polar", -71.0, 0.0, -90.0, 173.0), Projection("mercator", -41.0, 0.0, 0.0, 173.0))}
-    points = spark.createDataFrame(_POINTS, "kind string, lon double, lat double")
+    v = F.col("vec_id")
+    points = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", F.element_at(F.array(*map(F.lit, _KINDS)), (v % 3 + 1).cast("int")).alias("kind"), (160 + v % 101 * 0.25).alias("lon"), (-55 + v % 151 * 0.25).alias("lat"))
+    pick = lambda at, n: F.coalesce(*(F.when(F.col("kind") == k, xy[n]) for k, xy in at.items()))
     at = {k: p.forward(F.col("lon"), F.col("lat")) for k, p in kinds.items()}
-    pick = lambda n: F.coalesce(*(F.when(F.col("kind") == k, xy[n]) for k, xy in at.items()))
-    rows = points.select("*", pick(0).alias("x"), pick(1).alias("y")).collect()
-    back = [(r.kind, r.lon, r.lat, *(round(v, 6) for v in kinds[r.kind].inverse(r.x, r.y))) for r in rows]
-    return spark.createDataFrame(back, "kind string, lon double, lat double, back_lon double, back_lat double")
+    points = points.select("*", pick(at, 0).alias("x"), pick(at, 1).alias("y"))
+    back = {k: p.inverse(F.col("x"), F.col("y")) for k, p in kinds.items()}
+    return points.select("vec_id", "kind", "lon", "lat", F.round(pick(back, 0), 6).alias("back_lon"), F.round(pick(back, 1), 6).alias("back_lat"))
 
 
 @query("S10_corners_of_grid", f"""SELECT * FROM (VALUES {", ".join(f"({x}, {y})" for x in (0, 1) for y in (0, 1))}) AS t(right_, top_)
