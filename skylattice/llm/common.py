@@ -306,12 +306,14 @@ def multikey_order(columns: list[np.ndarray]) -> np.ndarray:
     return order
 
 
-def runs(df: DataFrame, keys: list[str], keep: str, with_keys: bool = False) -> DataFrame:
+def runs(df: DataFrame, keys: list[str], keep: str, with_keys: bool = False, singly: bool = False) -> DataFrame:
     """Rows whose key repeats.  ``df`` has long key columns, ``doc`` and ``pos``
     (long).  ``keep`` names the rows that stay: "any" (the key has two rows or
     more), "heads" (the same), "open" (the same, and one of them has an odd pos),
     "docs" (rows of two docs or more) or "later" (a smaller doc has it).
-    Returns doc and ``at``, arrays of pos; a doc may have several rows.  With
+    Returns doc and ``at``, arrays of pos; a doc may have several rows: one in each
+    partition, or with ``singly`` one for each pos, so that rows grow with the input
+    where docs times partitions would grow faster.  With
     ``with_keys`` a row each with the keys, doc, pos, and head and head_pos of the
     key's first row by (doc, pos) in the partition; with "docs" and "heads"
     the rows of that doc have those of the first row of all partitions, so that
@@ -353,11 +355,11 @@ def runs(df: DataFrame, keys: list[str], keep: str, with_keys: bool = False) ->
         # Rows that no other partition can change; of a large run these are nearly all.
         sure = good & (doc > head[run]) if keep in ("docs", "later", "heads") else good
         rest = [(good & ~edge | sure, 0), (edge & ~sure, 1)]
-        if not with_keys:  # what nobody reads isn't written: a row for each doc
+        if not with_keys:  # what nobody reads isn't written
             settled = np.flatnonzero(rest.pop(0)[0])
             settled = settled[np.argsort(doc[settled], kind="stable")]
             d, p = doc[settled], pos[settled]
-            first = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]])) if len(d) else np.zeros(0, np.int64)
+            first = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | singly])) if len(d) else np.zeros(0, np.int64)
             none = pa.nulls(len(first), pa.int64())
             lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(d)), pa.int32()), pa.array(p))
             yield pa.RecordBatch.from_arrays([*[none] * len(keys), pa.array(d[first]), *[none] * 6, pa.array(np.zeros(len(first), np.int32)), lists], schema=arrow)

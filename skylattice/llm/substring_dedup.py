@@ -154,9 +154,9 @@ def _substring_dedup(docs: DataFrame, window: int, key: str, text: str, texts_to
     def level(rows: DataFrame, run) -> DataFrame:
         return table.select("doc_id", "packed").join(rows, "doc_id").mapInArrow(run, ROWS)
 
-    found = common.runs(level(first.select("doc_id"), first_level(window)), keys, "docs")
-    found = common.runs(level(common.by_doc(found, "at"), second_level(window)), keys, "docs")
-    found = common.runs(level(common.by_doc(found, "at"), third_level(window)), keys, "later")
+    found = common.runs(level(first.select("doc_id"), first_level(window)), keys, "docs", singly=True)
+    found = common.runs(level(common.by_doc(found, "at"), second_level(window)), keys, "docs", singly=True)
+    found = common.runs(level(common.by_doc(found, "at"), third_level(window)), keys, "later", singly=True)
     done = table.select("doc_id", "id", "packed").join(first, "doc_id", "left").join(common.by_doc(found, "at"), "doc_id", "left")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * texts_too
     return done.mapInArrow(finish(window, texts_too), schema)
