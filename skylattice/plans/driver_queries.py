@@ -13,7 +13,7 @@ from .. import catalog
 from ..functions import text as text_functions
 from ..functions.projection import Ellipsoid, Projection, from_attributes
 from ..operators import accum, bbox, derive, levels, merge, packing, resolve, stagger, timeaxis, wind
-from ..session import broadcast_if_small
+from ..session import broadcast_if_small, staged
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -48,6 +48,8 @@ def _values(rows: list[tuple]) -> str:
 def _cents():
     return F.rint(F.col("value") * 100).cast("long")
 
+#: Rows of a task that sorts segments.
+SEGMENT_ROWS = 500_000
 _LEVELS = (5.0, 100.0, 333.0, 630.0, 9999.0)
 
 # --- sources and metadata
@@ -399,15 +401,19 @@ SELECT user_id, event_id, ts, CAST(total - lag(total) OVER (PARTITION BY user_id
 """)
 def segments(spark, d):
     """Days as segments: all but the last two at once, then each of these from its own
-    rows and the edges of those before."""
-    w = accum.W.partitionBy("user_id").orderBy("ts", "event_id")
-    e = _t(spark, d, "events").withColumn("total", F.sum(_cents()).over(w)).withColumn("day", F.date_trunc("DAY", "ts"))
-    last = e.agg(F.max("day")).first()[0]
-    parts, earlier, order = [], None, ["ts", "event_id"]
+    rows and the edges of those before.  Totals and edges are worked out once, and a task
+    sorts about ``SEGMENT_ROWS`` rows, however many there are."""
+    events, by, order = _t(spark, d, "events"), ["user_id"], ["ts", "event_id"]
+    n = max(1, -(-events.count() // SEGMENT_ROWS))
+    running = F.sum("cents").over(accum.W.partitionBy(*by).orderBy(*order))
+    e = events.select(*by, *order, _cents().alias("cents")).repartition(n, *by).select(*by, *order, running.alias("total"), F.date_trunc("DAY", "ts").alias("day"))
+    e = staged(e)
+    known = staged(accum.segment_edges(e.repartition(n, "day", *by), F.col("total"), "day", by, order))
+    last = known.agg(F.max("day")).first()[0]
+    parts, earlier = [], None
     for own in (F.date_diff(F.lit(last), "day") > 1, F.date_diff(F.lit(last), "day") == 1, F.date_diff(F.lit(last), "day") == 0):
-        rows = e.filter(own)
-        edges = accum.segment_edges(rows, F.col("total"), "day", ["user_id"], order)
-        parts.append(accum.increments_by_segment(rows, F.col("total"), "day", ["user_id"], order, "increment", earlier, edges))
+        rows, edges = e.filter(own).repartition(n, "day", *by), known.filter(own)
+        parts.append(accum.increments_by_segment(rows, F.col("total"), "day", by, order, "increment", earlier, edges))
         earlier = edges if earlier is None else earlier.unionByName(edges)
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 

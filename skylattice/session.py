@@ -48,3 +48,12 @@ def scratch_folder(spark: SparkSession) -> str:
         atexit.register(shutil.rmtree, base, True)
         base = f"file://{base}"
     return f"{base}/{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """``df`` written to a scratch folder, which goes when the application ends, and read back."""
+    spark, path = df.sparkSession, scratch_folder(df.sparkSession)
+    df.write.parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return spark.read.parquet(path)
