@@ -23,9 +23,9 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-import re
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -144,20 +144,23 @@ _LETTER, _SOLID = _is((0x41, 0x5A), (0x61, 0x7A)), _is((0x21, 0x7E))
 _LEAD, _STOP = _is((0xC3, 0xDF)), np.isin(np.arange(256), list(b".,;:!?"))
 #: Part of the above: letters of U+00C0 to U+00FF but for the two signs among them.
 _LATIN = _is((0x80, 0x96), (0x98, 0xB6), (0xB8, 0xBF))
+#: All of them as bits: solid, lead, stop, letter, Latin, beyond ASCII, 0xC3.
+_KIND = sum(flag.astype(np.uint8) << k for k, flag in enumerate((_SOLID, _LEAD, _STOP, _LETTER, _LATIN, _is((0x80, 0xFF)), _is((0xC3, 0xC3))))).astype(np.uint8).tobytes()
 
 
 def certain_cuts(data: np.ndarray) -> np.ndarray:
     """Where a byte-level split cuts for certain, whatever stands around: before a lone
     space between solid characters, at both sides of such a line's end, and between a
     letter and a mark: a flag for each byte.  ``data`` has two spaces at both ends."""
-    two, before, now, after = data[:-3], data[1:-2], data[2:-1], data[3:]
-    solid = _SOLID[before] | _LEAD[two] & (before >= 0x80)
-    letter = _LETTER[before] | (two == 0xC3) & _LATIN[before]
-    alone = solid & (_SOLID[after] | _LEAD[after])
-    end = (now == 0x0A) & alone
+    kind = np.frombuffer(data.tobytes().translate(_KIND), np.uint8)
+    two, before, now, after = kind[:-3], kind[1:-2], kind[2:-1], kind[3:]
+    solid = before | (two >> 1) & (before >> 5)
+    letter = before >> 3 | (two >> 6) & (before >> 4)
+    alone = solid & (after | after >> 1) & 1
+    end = (data[2:-1] == 0x0A) & alone
     out = np.zeros(len(data), bool)
-    out[2:-1] = (now == 0x20) & alone | end | _STOP[now] & letter
-    out[3:] |= end
+    out[2:-1] = (data[2:-1] == 0x20) & alone | end | (now >> 2) & letter & 1
+    out[3:] |= end.view(bool)
     return out
 
 
@@ -180,8 +183,7 @@ class Encoder:
         self.size = np.zeros(max(self.lib.get_vocab().values()) + 1, np.int64)
         for token, i in self.lib.get_vocab().items():
             self.size[i] = len(token)  # a letter for each byte
-        self.cache: dict[bytes, np.ndarray] = {}
-        self.held = 0
+        self._forget()
 
     def library(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(x.ids, "<u4") for x in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
@@ -200,68 +202,108 @@ class Encoder:
         starts = np.flatnonzero(cut)
         if not len(starts):
             return [np.zeros(0, "<u4") for _ in texts]
-        ends = np.append(starts[1:], len(data) - 2)
-        lengths = ends - starts
+        lengths = np.append(starts[1:], len(data) - 2) - starts
         code = common.Windows(common.BYTE_CODE[data]).at(starts, lengths) ^ common.mixed(lengths.astype(np.uint64))
-        _, first, which = np.unique(code, return_index=True, return_inverse=True)
-        self._same(data, starts, starts[first][which], lengths)
-        raw = data.tobytes()
-        known = self._known([raw[a:z] for a, z in zip(starts[first].tolist(), ends[first].tolist(), strict=True)])
-        n = np.fromiter(map(len, known), np.int64, len(known))
-        flat, at = np.concatenate(known), np.cumsum(n) - n
-        many = n[which]
+        distinct, first, which = np.unique(code, return_index=True, return_inverse=True)
+        self._same(data, starts, data, starts[first][which], lengths, np.flatnonzero(starts != starts[first][which]))
+        place = self._known(data, distinct, starts[first], lengths[first])[which]
+        many = self.n.data[place]
         to = np.cumsum(many)
-        ids = flat[np.arange(to[-1]) + np.repeat(at[which] - (to - many), many)]
+        ids = self.ids.data[np.arange(to[-1]) + np.repeat(self.ids_at.data[place] - (to - many), many)]
         cuts = np.append(0, to)[np.searchsorted(starts, np.append(begins, len(data)))]
         return [ids[a:z] for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
 
     @staticmethod
-    def _same(data: np.ndarray, a: np.ndarray, b: np.ndarray, lengths: np.ndarray) -> None:
-        """Raises where stretches that share a hash differ."""
-        other = np.flatnonzero(a != b)
-        n = lengths[other]
-        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        if (data[np.repeat(a[other], n) + step] != data[np.repeat(b[other], n) + step]).any():
+    def _same(data: np.ndarray, a: np.ndarray, other: np.ndarray, b: np.ndarray, lengths: np.ndarray, which: np.ndarray) -> None:
+        """Raises where stretches that share a hash differ: of ``which``, at ``a`` in
+        ``data`` and at ``b`` in ``other``."""
+        n = lengths[which]
+        if len(n) and (_gathered(data, a[which], n) != _gathered(other, b[which], n)).any():
             raise ValueError("two stretches of text share a hash")
 
-    def _known(self, pieces: list[bytes]) -> list[np.ndarray]:
-        """The ids of distinct pieces."""
-        out = [*map(self.cache.get, pieces)]
-        new = [i for i, x in enumerate(out) if x is None]
-        if new:
-            asked = [pieces[i] for i in new]
-            got = self._ask(asked)
-            for i, x in zip(new, got, strict=True):
-                out[i] = x
-            if self.held > CACHE_BYTES:
-                self.cache.clear()
-                self.held = 0
-            self.held += sum(map(len, asked))
-            self.cache.update(zip(asked, got, strict=True))
+    def _forget(self) -> None:
+        """Known stretches: the place of each by its hash; by place, its bytes and ids."""
+        self.place: dict[int, int] = {}
+        self.text, self.text_at, self.text_n = Growing(np.uint8), Growing(np.int64), Growing(np.int64)
+        self.ids, self.ids_at, self.n = Growing("<u4"), Growing(np.int64), Growing(np.int64)
+
+    def _known(self, data: np.ndarray, codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """The places of distinct stretches, whose hashes are ``codes``."""
+        if len(self.text.data) > CACHE_BYTES:
+            self._forget()
+        asked = codes.tolist()
+        out = np.fromiter(map(self.place.get, asked, repeat(-1)), np.int64, len(asked))
+        old, new = np.flatnonzero(out >= 0), np.flatnonzero(out < 0)
+        if len(old):
+            at, n = np.zeros(len(out), np.int64), self.text_n.data[out[old]]
+            if (n != lengths[old]).any():
+                raise ValueError("two stretches of text share a hash")
+            at[old] = self.text_at.data[out[old]]
+            self._same(data, starts, self.text.data, at, lengths, old)
+        if len(new):
+            joint = self._joint(_gathered(data, starts[new], lengths[new]), lengths[new])
+            new = new[np.argsort(~joint, kind="stable")]
+            base, held, own = len(self.n.data), (len(self.text.data), len(self.ids.data)), lengths[new]
+            text = _gathered(data, starts[new], own)
+            ids, n = self._ask(text.tobytes(), own, int(joint.sum()))
+            for array, more in ((self.text, text), (self.text_at, held[0] + np.cumsum(own) - own), (self.text_n, own), (self.ids, ids), (self.ids_at, held[1] + np.cumsum(n) - n), (self.n, n)):
+                array.append(more)
+            out[new] = np.arange(base, base + len(new))
+            self.place.update(zip(codes[new].tolist(), range(base, base + len(new)), strict=True))
         return out
 
-    def _ask(self, pieces: list[bytes]) -> list[np.ndarray]:
-        """The library's ids of pieces.  Those between which it cuts for certain go to it
-        as one text, whose ids are told apart by their bytes."""
-        whole = b"".join(pieces)
-        special = [x for x in self.special if x in whole]
-        joint = [_JOINT.fullmatch(p) is not None and not any(x in p for x in special) for p in pieces]
-        out: list[np.ndarray] = [_NONE] * len(pieces)
-        other = [i for i, x in enumerate(joint) if not x]
-        for i, x in zip(other, self.library([pieces[i].decode("utf-8", "replace") for i in other]), strict=True):
-            out[i] = x
-        own = [i for i, x in enumerate(joint) if x]
-        if own:
-            (got,) = self.library([b"".join([pieces[i] for i in own]).decode()])
-            ends = np.searchsorted(np.cumsum(self.size[got]), np.cumsum([len(pieces[i]) for i in own])) + 1
-            for i, a, z in zip(own, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
-                out[i] = got[a:z].copy()
+    def _joint(self, text: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Whether stretches, one after another in ``text``, are a space and solid
+        characters without a special token."""
+        ends = np.cumsum(lengths)
+        starts = ends - lengths
+        tail = (text >= 0x80) & (text < 0xC0)
+        lead = _LEAD[text] & np.append(tail[1:], False)
+        bad = np.append(0, np.cumsum(~(_SOLID[text] | lead | tail & np.append(False, lead[:-1])), dtype=np.int64))
+        out = (text[starts] == 0x20) & (lengths > 1) & (bad[ends] == bad[starts + 1])
+        whole = text.tobytes()
+        if special := [x for x in self.special if x in whole]:
+            out &= ~np.array([any(x in whole[a:z] for x in special) for a, z in zip(starts.tolist(), ends.tolist(), strict=True)])
         return out
 
-
-#: A space and solid characters, by bytes.
-_JOINT = re.compile(rb" (?:[!-~]|[\xc3-\xdf][\x80-\xbf])+")
-_NONE = np.zeros(0, "<u4")
+    def _ask(self, text: bytes, lengths: np.ndarray, joint: int) -> tuple[np.ndarray, np.ndarray]:
+        """The library's ids of stretches that lie one after another, and how many each
+        has.  The first ``joint``, between which it cuts for certain, go to it as one text,
+        whose ids are told apart by their bytes."""
+        ends = np.cumsum(lengths)
+        n, out = np.zeros(len(ends), np.int64), []
+        if joint:
+            (got,) = self.library([text[: ends[joint - 1]].decode()])
+            n[:joint] = np.diff(np.searchsorted(np.cumsum(self.size[got]), ends[:joint]) + 1, prepend=0)
+            out.append(got)
+        if joint < len(ends):
+            got = self.library([text[e - k : e].decode("utf-8", "replace") for e, k in zip(ends[joint:].tolist(), lengths[joint:].tolist(), strict=True)])
+            n[joint:] = [*map(len, got)]
+            out += got
+        return np.concatenate(out), n
+
+
+def _gathered(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Stretches one after another."""
+    ends = np.cumsum(lengths)
+    return data[np.arange(ends[-1]) + np.repeat(starts - (ends - lengths), lengths)]
+
+
+class Growing:
+    """An array to which more is added: ``data`` is what it has."""
+
+    def __init__(self, kind):
+        self._room = np.zeros(1 << 10, kind)
+        self.data = self._room[:0]
+
+    def append(self, more: np.ndarray) -> None:
+        n = len(self.data) + len(more)
+        if n > len(self._room):
+            room = np.zeros(2 * n, self._room.dtype)
+            room[: len(self.data)] = self.data
+            self._room = room
+        self._room[len(self.data) : n] = more
+        self.data = self._room[:n]
 
 
 _encoders: dict[bytes, Encoder] = {}

@@ -136,3 +136,18 @@ def test_query_against_the_library(spark, library):
     sf = "/root/testdata/sf0.001"
     rows = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect())
     assert sorted(map(tuple, token_file.op11_token_files(spark, sf).collect())) == expected(rows, library)
+
+
+def test_known_stretches_give_the_ids_of_the_library(monkeypatch):
+    """Also those with a special token, and after the known ones were forgotten."""
+    with open(PATH, "rb") as f:
+        data = f.read()
+    texts = ["", " ", "the cat, the café; the cat", "the<|endoftext|> cat the<|endoftext|>cat", "naïve 漢字  the\n\ncat × the", "x" * 300, " the cat"]
+    library = Tokenizer.from_str(data.decode())
+    want = [library.encode(x, add_special_tokens=False).ids for x in texts]
+    for most in (1, 20, token_file.CACHE_BYTES):
+        monkeypatch.setattr(token_file, "CACHE_BYTES", most)
+        encoder = token_file.Encoder(data)
+        for _ in range(3):
+            assert [x.tolist() for x in encoder.encode([x.encode() for x in texts])] == want
+        assert len(encoder.n.data) == len(encoder.place) and len(encoder.text.data) == encoder.text_n.data.sum()
